@@ -18,17 +18,25 @@ def _schema(df: DataFrame, made: dict[str, T.DataType]) -> tuple[DataFrame, T.St
     return base, T.StructType([*base.schema.fields, *(T.StructField(k, v) for k, v in made.items())])
 
 
-def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """docs with ids (array of int) and n_tokens. Null: no ids. A column of these names is replaced."""
-    base, schema = _schema(docs, {"ids": T.ArrayType(T.IntegerType(), False), "n_tokens": T.LongType()})
+def encode(docs: DataFrame, path: str, text: str = "text", check: bool = False) -> DataFrame:
+    """docs with ids (array of int) and n_tokens. Null: no ids. A column of these names is replaced.
+
+    check: also round_trip, whether decoding the ids gives the text again (true for null).
+    """
+    made = {"ids": T.ArrayType(T.IntegerType(), False), "n_tokens": T.LongType()}
+    base, schema = _schema(docs, made | ({"round_trip": T.BooleanType()} if check else {}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in batches:
-            for a, z, flat, at in enc.lookup(texts_of(b.column(text))):
+            texts = texts_of(b.column(text))
+            for a, z, flat, at in enc.lookup(texts):
                 ids = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int32()))
-                part = b.slice(a, z - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array(np.diff(at), pa.int64())], names=[f.name for f in schema.fields])
+                columns = [*b.slice(a, z - a).columns, ids, pa.array(np.diff(at), pa.int64())]
+                if check:
+                    back = (b"".join([enc.bytes_of[i] for i in flat[x:y].tolist()]).decode("utf-8", "replace") for x, y in zip(at[:-1].tolist(), at[1:].tolist()))
+                    columns.append(pa.array([x == y for x, y in zip(back, texts[a:z])], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
 
     return base.mapInArrow(run, schema)
 
