@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bayes, bpe_codec, decontaminate, langid, packing, substring, url_filter
+from millrace.llm import bayes, bpe_codec, decontaminate, langid, packing, sharding, substring, url_filter, va_file
 from millrace.llm.common import table
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -31,6 +31,14 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents")).drop("digest")
+
+
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return va_file.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bayes.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "class_id", "n_links", "is_first")
@@ -59,6 +67,8 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_sharding": op2_sharding,
+    "op4_top_k": op4_top_k,
     "op5_ngram_join": op5_ngram_join,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_bpe": op7_bpe,
@@ -68,6 +78,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op4_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+    "op6_substring_dedup": r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+n AS (SELECT doc_id, w, len(w) AS n FROM d),
+s AS (SELECT doc_id, unnest(range(1, n - 18)) AS i, w, n FROM n),
+k AS (SELECT doc_id, i, row_number() OVER (PARTITION BY md5(array_to_string(w[i:i + 19], ' ')) ORDER BY doc_id, i) AS seen FROM s),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM k WHERE seen > 1),
+each AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, n + 1)) AS i FROM n),
+kept AS (SELECT e.doc_id, string_agg(e.word, ' ' ORDER BY e.i) AS t, count(*) AS c FROM each e ANTI JOIN gone g ON e.doc_id = g.doc_id AND e.i = g.i GROUP BY e.doc_id)
+SELECT n.doc_id, n.n AS n_words, n.n - coalesce(kept.c, 0) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM n LEFT JOIN kept ON n.doc_id = kept.doc_id""",
     "op9_url_filters": r"""
 WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 parts AS (
