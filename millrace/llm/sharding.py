@@ -1,10 +1,11 @@
 """Sharding by balanced label propagation.
 
-Documents that share a link (here: an equal text) should lie in one shard. Linked documents start in shards by hash; in each round
-a link counts its members by shard (partial sums, so a hot link costs no more than others) and
-names the shards it wants: those with most of its members that have room for it, one if it fits into one, as few as possible otherwise. Members
-elsewhere ask to move there; a shard accepts as many as its quota has room for, by whole links where it can. Rounds go on until few moves
-are left. Then unlinked documents fill the room that is left, which makes the law exact:
+Documents that share a link (here: an equal text) should lie in one shard. Linked documents start in the shard of
+their first link's hash; in each round a link counts its members by shard (partial sums, so a hot link costs no
+more than others) and names the shards it wants: those with most of its members that have room for it, one if it
+fits into one, as few as possible otherwise. Members elsewhere, and those over a shard's quota, ask to move
+there; a shard accepts as many as its quota has room for, by whole links where it can. Rounds go on until few moves
+are left. Then what is still over a quota and the unlinked documents fill the room that is left, which makes the law exact:
 
 `rows`: the numbers of documents of any two shards differ by one at most.
 
@@ -26,13 +27,13 @@ RUN_ROWS = 50_000
 LINK_PARTS, NODE_PARTS = 64, 64
 
 
-def number(df: DataFrame, group: list[str], part: Column, name: str) -> DataFrame:
+def number(df: DataFrame, group: list[str], part: Column, name: str, order: tuple[str, ...] = ("node",)) -> DataFrame:
     """A gapless number from 0 within each group. Only rows of one part are sorted together; parts are counted first."""
     df = df.withColumn("_part", part)
     counts = df.groupBy(*group, "_part").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*group, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy(*group, "_part").orderBy("node")
+    within = Window.partitionBy(*group, "_part").orderBy(*order)
     placed = df.withColumn("_at", F.row_number().over(within) - 1)
     return placed.join(offsets, [*group, "_part"]).withColumn(name, (F.col("_before") + F.col("_at")).cast("long")).drop("_part", "_before", "_at")
 
@@ -72,27 +73,29 @@ def _accepted(asks: DataFrame, room: list[int]) -> DataFrame:
 def propagate(members: DataFrame, quotas: list[int], rounds: int = ROUNDS, settle: float = 0.001) -> DataFrame:
     """members: node, link (a node may have several). Returns node, link, label: one label a node, within the quotas but for the start."""
     shards = len(quotas)
-    labels = stage_table(members.select("node").distinct().withColumn("label", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int")), "labels")
+    labels = stage_table(members.groupBy("node").agg(F.min("link").alias("link")).select("node", F.pmod(F.xxhash64("link"), F.lit(shards)).cast("int").alias("label")), "labels")
     total = labels.count()
     single = members.count() == total
     for _ in range(rounds):
         load = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}
         room = [max(0, quotas[s] - load.get(s, 0)) for s in range(shards)]
+        share = [min(1.0, quotas[s] / max(1, load.get(s, 0))) for s in range(shards)]  # of those there, how many can stay
         placed = members.join(labels, "node")
         tally = placed.groupBy("link").agg(F.array(*[F.sum((F.col("label") == s).cast("long")) for s in range(shards)]).alias("had"), F.count("*").alias("size"))
         # best shards first: (members there, a tie by hash), and how many of the link each could hold
-        places = F.array(*[F.struct((-F.col("had")[s]).alias("n"), F.xxhash64("link", F.lit(s)).alias("h"), F.lit(s).alias("s"), (F.col("had")[s] + F.lit(room[s])).alias("can")) for s in range(shards)])
+        places = F.array(*[F.struct((-F.col("had")[s]).alias("n"), F.xxhash64("link", F.lit(s)).alias("h"), F.lit(s).alias("s"), F.floor(F.col("had")[s] * F.lit(share[s]) + F.lit(room[s])).alias("can")) for s in range(shards)])
         usable = F.filter(F.array_sort(places), lambda p: p["can"] > 0)
         held = F.aggregate(usable, F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("m")), lambda a, p: F.when(a["sum"] >= F.col("size"), a).otherwise(F.struct((a["sum"] + p["can"]).alias("sum"), (a["m"] + 1).alias("m"))))
         wants = tally.select("link", F.transform(F.slice(usable, 1, F.greatest(held["m"], F.lit(1))), lambda p: F.struct(p["s"].alias("s"), (-p["n"]).alias("n"))).alias("want"))
-        asks = placed.join(wants, "link").select("node", "link", "label", "want", F.exists("want", lambda w: w["s"] == F.col("label")).alias("home"))
-        pick = F.get("want", F.pmod(F.xxhash64("node", F.lit(2)), F.size("want")).cast("int"))
-        asks = asks.select("node", "link", "label", F.when(F.col("home"), F.col("label")).otherwise(pick["s"]).alias("target"), F.coalesce(pick["n"], F.lit(0)).alias("n"))
+        stays = F.pmod(F.xxhash64("node", F.lit(5)), F.lit(1 << 20)) < F.element_at(F.array(*[F.lit(int(x * (1 << 20))) for x in share]), F.col("label") + 1)
+        asks = placed.join(wants, "link").select("node", "link", "label", F.filter("want", lambda w: w["s"] != F.col("label")).alias("others"), F.exists("want", lambda w: w["s"] == F.col("label")).alias("home"), stays.alias("stays"))
+        pick = F.get("others", F.pmod(F.xxhash64("node", F.lit(2)), F.greatest(F.size("others"), F.lit(1))).cast("int"))
+        asks = asks.select("node", "link", "label", F.when(F.col("home") & F.col("stays"), F.col("label")).otherwise(F.coalesce(pick["s"], F.col("label"))).alias("target"), F.coalesce(pick["n"], F.lit(0)).alias("n"))
         if not single:
             # of several links' wishes, the shard with most neighbours
             asks = asks.groupBy("node", "label", "target").agg(F.sum("n").alias("n"), F.min("link").alias("link"))
             asks = asks.groupBy("node", "label").agg(F.max(F.struct("n", F.col("target"), F.col("link"))).alias("x")).select("node", "label", "x.link", "x.target")
-        moving = stage_table(asks.where("target is not null and target <> label").select("node", "link", "target"), "asks")
+        moving = stage_table(asks.where("target <> label").select("node", "link", "target"), "asks")
         moves = stage_table(_accepted(moving, room), "moves")
         labels = stage_table(labels.join(moves, "node", "left").select("node", F.coalesce("target", "label").alias("label")), "labels")
         if moves.count() <= settle * total:
@@ -118,12 +121,14 @@ def shard_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     linked = propagate(members, quotas, rounds).select("node", "link", "label")
     spread = F.pmod(F.xxhash64("link"), F.lit(16)) * 1_000_000 + F.pmod(F.xxhash64("node"), F.lit(max(1, total // RUN_ROWS)))
     # the start may have put more into a shard than its quota: what is over is dealt out with the rest
-    over = number(linked, ["label"], spread, "at")
+    over = number(linked, ["label"], spread, "at", ("link", "node"))
     quota = F.element_at(F.array(*[F.lit(q) for q in quotas]), F.col("label") + 1)
     kept = stage_table(over.where(F.col("at") < quota).select("node", F.col("label").alias("shard")), "kept")
     load = {r["shard"]: r["count"] for r in kept.groupBy("shard").count().collect()}
     parts = max(1, total // RUN_ROWS)
-    free = number(slim.select("node").join(kept, "node", "left_anti").withColumn("g", F.lit(0)), ["g"], F.pmod(F.xxhash64("node", F.lit(3)), F.lit(parts)), "at")
+    rest = slim.select("node").join(kept, "node", "left_anti").join(linked.select("node", "link"), "node", "left").withColumn("g", F.lit(0))
+    by_node = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(parts))
+    free = number(rest, ["g"], F.when(F.col("link").isNull(), F.lit(1 << 60) + by_node).otherwise(F.pmod(F.xxhash64("link"), F.lit(64)) * parts + by_node), "at", ("link", "node"))
     shard = F.lit(None).cast("int")
     edge = 0
     cases = []
