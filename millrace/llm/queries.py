@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bayes, bpe_codec, decontaminate, langid, packing, sharding, substring, url_filter, va_file
+from millrace.llm import bayes, bpe_codec, decontaminate, langid, packing, sharding, substring, token_tree, url_filter, va_file
 from millrace.llm.common import table
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -35,6 +35,26 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents")).drop("digest")
 
 
+def planned_edits(doc_id: Column, text: Column) -> Column:
+    """Three edits of every document, at places that follow from its id: a replacement, an insertion and a deletion."""
+    length = F.coalesce(F.char_length(text), F.lit(0))
+
+    def place(n: int) -> Column:
+        return F.pmod(F.xxhash64(doc_id, F.lit(n)), length + 1).cast("int")
+
+    def edit(n: int, delete: int, insert: str) -> Column:
+        return F.struct(place(n).alias("place"), F.lit(delete).alias("delete"), F.lit(insert).alias("insert"))
+
+    return F.array(edit(1, 12, " revised wording "), edit(2, 0, "(sic) it's 42"), edit(3, 25, ""))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("edits", planned_edits(F.col("doc_id"), F.col("text")))
+    before = token_tree.build(docs, vocabulary()).withColumn("tokens_before", F.col("n_tokens"))
+    after = token_tree.apply_edits(before, vocabulary())
+    return after.select("doc_id", "tokens_before", F.col("n_tokens").alias("tokens_after"), F.char_length("text").cast("long").alias("chars_after"), "encoded_chars", F.size("leaf_chars").alias("n_leaves"))
+
+
 def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return va_file.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -68,6 +88,7 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_sharding": op2_sharding,
+    "op3_token_counts": op3_token_counts,
     "op4_top_k": op4_top_k,
     "op5_ngram_join": op5_ngram_join,
     "op6_substring_dedup": op6_substring_dedup,
