@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions.exprs import let
+
 ISSUE = "struct<code:string,path:array<string>>"
 
 
@@ -26,16 +28,19 @@ def is_json(s: Column) -> Column:
 
 def kind(v: Column) -> Column:
     """missing, null, object, array, string, number or boolean."""
-    schema = F.schema_of_variant(v)
-    return (
-        F.when(v.isNull(), "missing")
-        .when(F.is_variant_null(v), "null")
-        .when(schema.startswith("OBJECT"), "object")
-        .when(schema.startswith("ARRAY"), "array")
-        .when(schema == "STRING", "string")
-        .when(schema == "BOOLEAN", "boolean")
-        .otherwise("number")
-    )
+
+    def of(schema: Column) -> Column:
+        return (
+            F.when(schema.isNull(), "missing")
+            .when(schema == "STRING", "string")
+            .when(schema == "VOID", "null")
+            .when(schema.startswith("OBJECT"), "object")
+            .when(schema.startswith("ARRAY"), "array")
+            .when(schema == "BOOLEAN", "boolean")
+            .otherwise("number")
+        )
+
+    return let(F.schema_of_variant(v), of)
 
 
 def field(v: Column, key: str) -> Column:

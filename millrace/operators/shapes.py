@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.constants import CATEGORIES, CONFIDENCES, FEATURE_KEYS, FEATURE_KINDS, FINDING_KEYS, OUTCOMES, SEVERITIES, TRUST_BOUNDARIES
 from millrace.functions import exprs
+from millrace.functions.exprs import let
 from millrace.functions.variants import field, is_string_array, issue, items, kind, no_issues, number, text, unknown_keys, when
 
 Path = list
@@ -33,15 +34,17 @@ def strings(v: Column, name: str, path: Path) -> Column:
     return _bad(v, is_string_array(field(v, name)), name, path)
 
 
+def _counts(n: Column) -> Column:
+    return let(n, lambda x: (x >= 0) & (x == F.floor(x)))
+
+
 def line(v: Column, name: str, path: Path) -> Column:
     """Null, or a whole number from 0."""
-    n = number(field(v, name))
-    return _bad(v, (kind(field(v, name)) == "null") | ((n >= 0) & (n == F.floor(n))), name, path)
+    return _bad(v, let(field(v, name), lambda f: (kind(f) == "null") | _counts(number(f))), name, path)
 
 
 def count(v: Column, name: str, path: Path) -> Column:
-    n = number(field(v, name))
-    return _bad(v, (kind(field(v, name)) == "missing") | ((n >= 0) & (n == F.floor(n))), name, path)
+    return _bad(v, let(field(v, name), lambda f: (kind(f) == "missing") | _counts(number(f))), name, path)
 
 
 def each(v: Column, name: str, rule, path: Path) -> Column:
