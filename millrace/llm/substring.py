@@ -70,31 +70,39 @@ class _Packed:
         return h, doc, place, head, np.diff(np.concatenate([head, [len(h)]]))
 
 
-def _dealt(h: np.ndarray, doc: np.ndarray, place: np.ndarray, many: np.ndarray, ranges: int) -> pa.RecordBatch:
-    """A row for each range of hashes: its entries as arrays. h is sorted."""
-    edges = np.searchsorted(h, np.array([(r << 64) // ranges for r in range(ranges)], dtype=object).astype(U64)) if ranges > 1 else np.array([0])
-    edges = np.concatenate([edges, [len(h)]])
-    some = np.flatnonzero(np.diff(edges) > 0)
-    cells = [[a[edges[r] : edges[r + 1]].astype(k).tobytes() for r in some] for a, k in ((h, "<u8"), (doc, "<i8"), (place, "<i4"), (many, "u1"))]
-    return pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *(pa.array(c, pa.binary()) for c in cells)], names=["part", "h", "doc", "place", "many"])
+def _dealt(h: np.ndarray, doc: np.ndarray, place: np.ndarray, many: np.ndarray, ranges: int, kind: str) -> pa.RecordBatch:
+    """A row for each range of hashes: its entries as arrays, in order of documents, which compresses well.
 
-
-_DEALT = "part long, h binary, doc binary, place binary, many binary"
+    kind: of the hashes that are kept. Anchors keep 32 bits beside the range: a chance match only
+    makes a window that the next step tells apart by all its 64 bits.
+    """
+    part = ((h >> U64(32)) * U64(ranges) >> U64(32)).astype(np.int64)
+    order = np.lexsort((place, doc, part))
+    h, doc, place, many, part = h[order], doc[order], place[order], many[order], part[order]
+    edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    ends = np.concatenate([edges[1:], [len(part)]])
+    low = h & U64(0xFFFFFFFF) if kind == "<u4" else h
+    cells = [pa.array([a[x:y].astype(k).tobytes() for x, y in zip(edges, ends)], pa.binary()) for a, k in ((low, kind), (doc, "<i8"), (place, "<i4"), (many, "u1"))]
+    return pa.RecordBatch.from_arrays([pa.array(part[edges], pa.int64()), cells[0], pa.nulls(len(edges), pa.int64()), cells[2], cells[1], cells[3]], names=_ROW)
 
 
-def _marks(doc: np.ndarray, place: np.ndarray, names: list[str], part: int = -1) -> pa.RecordBatch:
+def _marks(doc: np.ndarray, place: np.ndarray, part: int = -1) -> pa.RecordBatch:
     """A row for each document: the places that are marked in it, as an array."""
     order = np.argsort(doc, kind="stable")
     doc, place = doc[order], place[order]
     edges = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
     ends = np.concatenate([edges[1:], [len(doc)]])
-    cells = [place[a:b].astype("<i4").tobytes() for a, b in zip(edges, ends)]
+    cells = pa.array([place[x:y].astype("<i4").tobytes() for x, y in zip(edges, ends)], pa.binary())
     empty = pa.nulls(len(edges), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(edges), part), pa.int64()), empty, pa.array(doc[edges].astype("<i8"), pa.int64()).cast(pa.int64()), pa.array(cells, pa.binary())], names=names)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(edges), part), pa.int64()), empty, pa.array(doc[edges].astype("<i8"), pa.int64()), cells, empty, empty], names=_ROW)
+
+
+_ROW = ["part", "h", "row", "place", "doc", "many"]
+_ROW_DDL = "part long, h binary, row long, place binary, doc binary, many binary"
 
 
 def _entries(batches: Iterator[pa.RecordBatch], ranges: int, window: int, period: int, cover: tuple[int, ...], anchors: bool) -> Iterator[pa.RecordBatch]:
-    """Rows for the ranges (part >= 0) and marks that are known within a batch (part -1)."""
+    """Rows for the ranges, and marks that are known within a batch, which pass through any range."""
     span = window - period + 1 if anchors else window
     packed, held = _Packed(ranges), 0
 
@@ -106,9 +114,8 @@ def _entries(batches: Iterator[pa.RecordBatch], ranges: int, window: int, period
         if not anchors:
             known[head] = False  # a window that is the batch's earliest may be the earliest of all
         if known.any():
-            yield _row(_marks(doc[known], place[known], _MARKED))
-        dealt = _dealt(h[head], doc[head], place[head], count > 1, ranges)
-        yield _row(pa.RecordBatch.from_arrays([dealt.column("part"), dealt.column("h"), pa.nulls(len(dealt), pa.int64()), dealt.column("place"), dealt.column("doc"), dealt.column("many")], names=_ROW))
+            yield _marks(doc[known], place[known], int(h[0] % U64(ranges)))
+        yield _dealt(h[head], doc[head], place[head], count > 1, ranges, "<u4" if anchors else "<u8")
 
     for b in batches:
         data, offsets = text_buffers(b.column("text"))
@@ -139,42 +146,28 @@ def _entries(batches: Iterator[pa.RecordBatch], ranges: int, window: int, period
     yield from flush()
 
 
-_MARKED = ["part", "h", "row", "place"]
-_ROW = ["part", "h", "row", "place", "doc", "many"]
-_ROW_DDL = "part long, h binary, row long, place binary, doc binary, many binary"
-
-
-def _row(b: pa.RecordBatch) -> pa.RecordBatch:
-    if b.num_columns == len(_ROW):
-        return b
-    empty = pa.nulls(len(b), pa.binary())
-    return pa.RecordBatch.from_arrays([*b.columns, empty, empty], names=_ROW)
-
-
 def _repeated(anchors: bool):
     """Of one range's rows: anchors that occur in more than one batch or entry; or windows that aren't the earliest."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        h, doc, place, many = (np.frombuffer(b"".join(t.column(c).to_pylist()), k) for c, k in (("h", "<u8"), ("doc", "<i8"), ("place", "<i4"), ("many", "u1")))
+        known = t.filter(t.column("h").is_null()).select(["row", "place"])
+        t = t.filter(t.column("h").is_valid())
+        h, doc, place, many = (np.frombuffer(b"".join(t.column(c).to_pylist()), k) for c, k in (("h", "<u4" if anchors else "<u8"), ("doc", "<i8"), ("place", "<i4"), ("many", "u1")))
         order = np.lexsort((place, doc, h))
         h, doc, place, many = h[order], doc[order], place[order], many[order]
-        same = np.concatenate([[True], h[1:] != h[:-1]])
-        head = np.flatnonzero(same)
+        first = np.concatenate([[True], h[1:] != h[:-1]])[: len(h)]
+        head = np.flatnonzero(first)
         count = np.diff(np.concatenate([head, [len(h)]]))
-        if anchors:
-            # entries known in their batch have their marks already
-            pick = np.repeat(count > 1, count) & (many == 0)
-        else:
-            pick = ~same
-        return pa.Table.from_batches([_row(_marks(doc[pick], place[pick], _MARKED))]).select(["row", "place"])
+        # anchors: entries that repeat in their batch have their marks already
+        pick = np.repeat(count > 1, count) & (many == 0) if anchors else ~first
+        return pa.concat_tables([known, pa.Table.from_batches([_marks(doc[pick], place[pick])]).select(["row", "place"])])
 
     return run
 
 
 def _gathered(entries: DataFrame, anchors: bool) -> DataFrame:
-    """row, marks: the marked places of each document, end to end."""
-    found = entries.where("part >= 0").groupBy("part").applyInArrow(_repeated(anchors), "row long, place binary")
-    return entries.where("part < 0").select("row", "place").union(found)
+    """row, place: the marked places of documents, some at a time."""
+    return entries.groupBy("part").applyInArrow(_repeated(anchors), "row long, place binary")
 
 
 def _joined(texts: DataFrame, marks: DataFrame, how: str) -> DataFrame:
@@ -243,10 +236,10 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
 
     args = (window, period, tuple(cover))
     ranges = partitions_for(docs.sparkSession, stats["size"] * 4 // 5, RANGE_BYTES)
-    anchors = stage_table(heads.mapInArrow(lambda it: _entries(it, ranges, *args, True), _ROW_DDL), "anchors")
+    anchors = heads.mapInArrow(lambda it: _entries(it, ranges, *args, True), _ROW_DDL)
     near = _gathered(anchors, True).join(copies, "row", "left_anti")
     around = _joined(heads, near, "inner").select("row", "text", "marks")
-    windows = stage_table(around.mapInArrow(lambda it: _entries(it, ranges, *args, False), _ROW_DDL), "windows")
+    windows = around.mapInArrow(lambda it: _entries(it, ranges, *args, False), _ROW_DDL)
     late = _gathered(windows, False).union(copies.select("row", F.lit(None).cast("binary").alias("place")))
     own = late.groupBy("row").agg(F.expr("array_join(transform(collect_list(place), x -> hex(x)), '')").alias("marks"), F.max(F.col("place").isNull()).alias("copy"))
     marked = numbered.drop("digest").join(own, "row", "left").select(
