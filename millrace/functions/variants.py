@@ -16,10 +16,13 @@ def parse_strict(s: Column) -> Column:
     The engine's parser ignores what follows a value. So the text must also be the one element of an array and the
     value of an object's only key.
     """
-    one = F.try_parse_json(F.concat(F.lit("["), s, F.lit("]")))
-    inside = F.try_parse_json(F.concat(F.lit('{"v":'), s, F.lit("}")))
-    alone = F.size(F.try_variant_get(one, "$", "array<variant>")) == 1
-    return F.when(alone & inside.isNotNull(), F.try_parse_json(s))
+
+    def of(t: Column) -> Column:
+        one = F.try_parse_json(F.concat(F.lit("["), t, F.lit("]")))
+        inside = F.try_parse_json(F.concat(F.lit('{"v":'), t, F.lit("}")))
+        return F.when((F.size(F.try_variant_get(one, "$", "array<variant>")) == 1) & inside.isNotNull(), F.try_parse_json(t))
+
+    return let(s, of)
 
 
 def is_json(s: Column) -> Column:
@@ -49,30 +52,29 @@ def field(v: Column, key: str) -> Column:
 
 def text(v: Column) -> Column:
     """The string, if the value is one."""
-    return F.when(kind(v) == "string", F.try_variant_get(v, "$", "string"))
+    return let(v, lambda x: F.when(kind(x) == "string", F.try_variant_get(x, "$", "string")))
 
 
 def number(v: Column) -> Column:
-    return F.when(kind(v) == "number", F.try_variant_get(v, "$", "double"))
+    return let(v, lambda x: F.when(kind(x) == "number", F.try_variant_get(x, "$", "double")))
 
 
 def whole(v: Column) -> Column:
     """The integer, if the value is a number without fraction (1.0 is one)."""
-    n = number(v)
-    return F.when(n == F.floor(n), n.cast("long"))
+    return let(number(v), lambda n: F.when(n == F.floor(n), n.cast("long")))
 
 
 def items(v: Column) -> Column:
     """The array's values; none for other kinds."""
-    return F.coalesce(F.when(kind(v) == "array", F.try_variant_get(v, "$", "array<variant>")), F.array().cast("array<variant>"))
+    return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
 
 
 def keys(v: Column) -> Column:
-    return F.coalesce(F.when(kind(v) == "object", F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))), F.array().cast("array<string>"))
+    return F.coalesce(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")), F.array().cast("array<string>"))
 
 
 def is_string_array(v: Column) -> Column:
-    return (kind(v) == "array") & F.forall(items(v), lambda x: kind(x) == "string")
+    return let(v, lambda a: (kind(a) == "array") & F.forall(items(a), lambda x: kind(x) == "string"))
 
 
 def issue(code: Column | str, *path: Column | str) -> Column:

@@ -37,7 +37,7 @@ def unwrap(row: Column) -> Column:
     """The output in a prediction row: chat messages, choices, a named wrapper, or the row itself. Strings are parsed, objects taken."""
 
     def taken(v: Column) -> Column:
-        return F.when(kind(v) == "string", variants.parse_strict(text(v))).when(kind(v).isin("object", "array"), v)
+        return exprs.let(v, lambda x: F.when(kind(x) == "string", variants.parse_strict(text(x))).when(kind(x).isin("object", "array"), x))
 
     choice = F.get(items(field(row, "choices")), F.lit(0))
     last = F.get(F.slice(role_contents(row, "assistant"), -1, 1), F.lit(0))

@@ -15,24 +15,27 @@ _P = "evidence."
 def line_range(v: Column) -> Column:
     """struct<first, last, error>: 0 counts as null; both null is no range."""
 
-    def value(name: str) -> Column:
-        n = number(field(v, name))
-        return F.when(n != 0, n)
-
-    def whole(name: str) -> Column:
-        f = field(v, name)
-        n = number(f)
-        return (kind(f) == "null") | ((n == F.floor(n)) & n.isNotNull())
-
-    first, last = value("startLine"), value("endLine")
-    none = kind(field(v, "startLine")).isin("null", "number") & kind(field(v, "endLine")).isin("null", "number") & first.isNull() & last.isNull()
-    error = (
-        F.when(none, F.lit(None).cast("string"))
-        .when(~F.coalesce(whole("startLine") & whole("endLine"), F.lit(False)) | first.isNull() | last.isNull(), "range-incomplete")
-        .when((first <= 0) | (last <= 0), "range-not-positive")
-        .when(first > last, "range-inverted")
-    )
-    return F.struct(F.when(error.isNull(), first.cast("long")).alias("first"), F.when(error.isNull(), last.cast("long")).alias("last"), error.alias("error"))
+    def end(name: str) -> Column:
+        # what is there, its number (null for 0), and whether it can be a line number at all
+        def of(f: Column) -> Column:
+            return F.struct(kind(f).alias("k"), number(f).alias("n"))
+
+        return let(field(v, name), of)
+
+    def of(ends: Column) -> Column:
+        a, b = ends["a"], ends["b"]
+        first, last = F.when(a["n"] != 0, a["n"]), F.when(b["n"] != 0, b["n"])
+        none = a["k"].isin("null", "number") & b["k"].isin("null", "number") & first.isNull() & last.isNull()
+        whole = (first == F.floor(first)) & (last == F.floor(last))
+        error = (
+            F.when(none, F.lit(None).cast("string"))
+            .when(~F.coalesce(whole, F.lit(False)), "range-incomplete")
+            .when((first <= 0) | (last <= 0), "range-not-positive")
+            .when(first > last, "range-inverted")
+        )
+        return let(error, lambda e: F.struct(F.when(e.isNull(), first.cast("long")).alias("first"), F.when(e.isNull(), last.cast("long")).alias("last"), e.alias("error")))
+
+    return let(F.struct(end("startLine").alias("a"), end("endLine").alias("b")), of)
 
 
 def shown(lines: Column, first: Column, last: Column) -> Column:
@@ -57,18 +60,25 @@ def evidence_issues(v: Column, allowed: Column, blocks: Column, path: list) -> C
     def some(bad: Column, code: str) -> Column:
         return F.when(F.coalesce(bad, F.lit(False)), of(code)).otherwise(no_issues())
 
-    raw = text(field(v, "path"))
-    p = exprs.normalize_path(raw)
-    block = F.element_at(F.filter(blocks, lambda b: exprs.normalize_path(b["path"]) == p), -1)
-    quote = F.when(~exprs.blank(text(field(v, "quote"))), text(field(v, "quote")))
-
-    def checks(r: Column) -> Column:
-        found = F.size(F.filter(blocks, lambda b: exprs.normalize_path(b["path"]) == p)) > 0
-        ranged = F.when(r["error"].isNotNull(), F.array(issue(F.concat(F.lit(_P), r["error"]), *path))).when(r["first"].isNull() & quote.isNull(), of("needs-range-or-quote")).when(found & r["first"].isNotNull() & ~shown(block["lines"], r["first"], r["last"]), of("range-outside-files-section")).otherwise(no_issues())
+    def checks(x: Column) -> Column:
+        p, quote, r, block = x["p"], x["quote"], x["range"], x["block"]
+        found = block.isNotNull()
+        ranged = (
+            F.when(r["error"].isNotNull(), F.array(issue(F.concat(F.lit(_P), r["error"]), *path)))
+            .when(r["first"].isNull() & quote.isNull(), of("needs-range-or-quote"))
+            .when(found & r["first"].isNotNull() & ~shown(block["lines"], r["first"], r["last"]), of("range-outside-files-section"))
+            .otherwise(no_issues())
+        )
         cited = some(found & quote.isNotNull() & (r["error"].isNotNull() | ~quoted(block["lines"], quote, r["first"], r["last"])), "quote-outside-files-section")
         return F.concat(some(~exprs.safe_relative_path(p), "path-escapes-root"), some(~F.array_contains(allowed, p), "path-not-allowed"), some(~found, "path-not-in-files-section"), ranged, cited)
 
-    return F.when(kind(v) != "object", of("not-object")).when(raw.isNull(), of("invalid-path-type")).otherwise(let(line_range(v), checks))
+    def with_block(p: Column) -> Column:
+        own = F.filter(blocks, lambda b: exprs.normalize_path(b["path"]) == p)
+        quote = let(text(field(v, "quote")), lambda q: F.when(~exprs.blank(q), q))
+        known = F.struct(p.alias("p"), quote.alias("quote"), line_range(v).alias("range"), F.get(F.slice(own, -1, 1), F.lit(0)).alias("block"))
+        return F.when(p.isNull(), of("invalid-path-type")).otherwise(let(known, checks))
+
+    return F.when(kind(v) != "object", of("not-object")).otherwise(let(exprs.normalize_path(text(field(v, "path"))), with_block))
 
 
 def review_evidence(output: Column, allowed: Column, blocks: Column) -> Column:

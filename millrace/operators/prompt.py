@@ -78,9 +78,8 @@ def walk_strings(value: Column, depth: int = 8) -> Column:
 
 def children(v: Column) -> Column:
     """Values directly inside an object or array."""
-    k = variants.kind(v)
     none = F.array().cast("array<variant>")
-    return F.coalesce(F.when(k == "array", F.try_variant_get(v, "$", "array<variant>")).when(k == "object", F.map_values(F.try_variant_get(v, "$", "map<string,variant>"))), none)
+    return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.map_values(F.try_variant_get(v, "$", "map<string,variant>")), none)
 
 
 def paths_in(strings: Column) -> Column:

@@ -79,12 +79,12 @@ def q_hard_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT conv_id, len(m) AS n_messages, list_filter(m, lambda x: x.role = 'user')[1].text AS first_user, list_filter(m, lambda x: x.role = 'assistant')[-1].text AS last_assistant FROM c"""
 )
 def q_sft_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
+    # first and last as minimum and maximum: a conversation of any length is summed up before the shuffle
+    def own(role: str, column: str) -> Column:
+        return F.when(F.col("role") == role, F.col(column))
 
-    def of(role: str, at: int) -> Column:
-        return F.get(F.slice(F.filter("m", lambda x: x["role"] == role), at, 1), F.lit(0))["text"]
-
-    return turns.select("conv_id", F.size("m").cast("long").alias("n_messages"), of("user", 1).alias("first_user"), of("assistant", -1).alias("last_assistant"))
+    first, last = F.min_by(own("user", "text"), own("user", "turn")), F.max_by(own("assistant", "text"), own("assistant", "turn"))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_messages"), first.alias("first_user"), last.alias("last_assistant"))
 
 
 @query(

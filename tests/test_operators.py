@@ -252,7 +252,7 @@ def cases(spark, predictions):
     rows = [(i, json.dumps({"messages": [{"role": "user", "content": PROMPT}, {"role": "assistant", "content": json.dumps(r)}], "metadata": {"operation": "review", "captureId": f"c{i}"}})) for i, r in enumerate(refs)]
     reference = evaluate.references(spark.createDataFrame(rows, "ordinal int, s string").withColumn("value", F.parse_json("s")))
     predicted = spark.createDataFrame(list(enumerate(predictions)), "ordinal int, s string").withColumn("value", variants.parse_strict(F.col("s")))
-    return evaluate.review_cases(evaluate.by_ordinal(reference, predicted))
+    return evaluate.review_cases(evaluate.by_ordinal(reference, predicted)).coalesce(1).cache()
 
 
 def test_a_reference_scored_against_itself_is_perfect(spark):
