@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.constants import THRESHOLDS
 from millrace.functions import exprs, variants
-from millrace.operators import audit, curate, evaluate, evidence, gate, match, prompt, select_rows, shapes, validate, windowing
+from millrace.operators import audit, curate, evaluate, evidence, gate, match, prompt, select_rows, shapes, smoke, validate, windowing
 from millrace.sources import jsonl
 from millrace.streaming import captures
 
@@ -340,3 +340,18 @@ def test_stream_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.table("counts").collect()] == [("map", "accepted", 2)]
+
+
+def test_smoke_report(spark):
+    rows = spark.createDataFrame([("accepted", "review", False, True), ("rejected", "revalidate", True, False)], "status string, operation string, redacted boolean, metadataOnly boolean")
+    got = smoke.smoke_report(smoke.capture_summary(rows), [0, 0]).first()
+    assert (got["rows"], got["accepted"], got["rejected"], got["revalidate"], got["passed"]) == (2, 1, 1, 1, True)
+    assert smoke.smoke_report(smoke.capture_summary(rows), [0, 1]).first()["passed"] is False
+    assert smoke.capture_summary(rows.where("false")).first()["rows"] == 0
+    assert smoke.labeled_path("a=b/c.jsonl") == ("a", "b/c.jsonl")
+    assert smoke.labeled_path("b/c.jsonl") == ("c", "b/c.jsonl")
+    assert smoke.one_operation(rows.where("operation = 'review'")) == "review"
+    with pytest.raises(ValueError, match="one operation"):
+        smoke.one_operation(rows)
+    with pytest.raises(ValueError, match="missing"):
+        smoke.missing(["A"], {})
