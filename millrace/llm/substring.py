@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.bpe import ragged
-from millrace.llm.common import U64, chunks, partitions_for, run_hashes, stage_table, text_buffers, text_bytes, within, word_hashes, words
+from millrace.llm.common import U64, chunks, mix, partitions_for, run_hashes, stage_table, text_buffers, text_bytes, within, word_hashes, words
 
 WINDOW, PERIOD, COVER = 20, 13, (0, 1, 3, 9)  # every residue modulo 13 is a difference of two of these
 #: Bytes of packed hashes that a range's task gets, about.
@@ -86,19 +86,21 @@ def _dealt(h: np.ndarray, doc: np.ndarray, place: np.ndarray, many: np.ndarray,
     return pa.RecordBatch.from_arrays([pa.array(part[edges], pa.int64()), cells[0], pa.nulls(len(edges), pa.int64()), cells[2], cells[1], cells[3]], names=_ROW)
 
 
-def _marks(doc: np.ndarray, place: np.ndarray, part: int = -1) -> pa.RecordBatch:
-    """A row for each document: the places that are marked in it, as an array."""
-    order = np.argsort(doc, kind="stable")
-    doc, place = doc[order], place[order]
-    edges = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
+def _marks(doc: np.ndarray, place: np.ndarray, blocks: int, part: int = -1) -> pa.RecordBatch:
+    """A row for each block of documents: the marked documents and places as arrays. A document's block is its id's hash."""
+    block = (mix(doc.astype(U64)) % U64(blocks)).astype(np.int64)
+    order = np.lexsort((place, doc, block))
+    doc, place, block = doc[order], place[order], block[order]
+    edges = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(doc) else np.zeros(0, np.int64)
     ends = np.concatenate([edges[1:], [len(doc)]])
-    cells = pa.array([place[x:y].astype("<i4").tobytes() for x, y in zip(edges, ends)], pa.binary())
+    docs, places = (pa.array([a[x:y].astype(k).tobytes() for x, y in zip(edges, ends)], pa.binary()) for a, k in ((doc, "<i8"), (place, "<i4")))
     empty = pa.nulls(len(edges), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(edges), part), pa.int64()), empty, pa.array(doc[edges].astype("<i8"), pa.int64()), cells, empty, empty], names=_ROW)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(edges), part), pa.int64()), empty, pa.array(block[edges], pa.int64()), places, docs, empty], names=_ROW)
 
 
-_ROW = ["part", "h", "row", "place", "doc", "many"]
-_ROW_DDL = "part long, h binary, row long, place binary, doc binary, many binary"
+_ROW = ["part", "h", "block", "place", "doc", "many"]
+_ROW_DDL = "part long, h binary, block long, place binary, doc binary, many binary"
+_MARKED = ["block", "doc", "place"]
 
 
 def _entries(batches: Iterator[pa.RecordBatch], ranges: int, window: int, period: int, cover: tuple[int, ...], anchors: bool) -> Iterator[pa.RecordBatch]:
@@ -114,7 +116,7 @@ def _entries(batches: Iterator[pa.RecordBatch], ranges: int, window: int, period
         if not anchors:
             known[head] = False  # a window that is the batch's earliest may be the earliest of all
         if known.any():
-            yield _marks(doc[known], place[known], int(h[0] % U64(ranges)))
+            yield _marks(doc[known], place[known], ranges, int(h[0] % U64(ranges)))
         yield _dealt(h[head], doc[head], place[head], count > 1, ranges, "<u4" if anchors else "<u8")
 
     for b in batches:
@@ -146,11 +148,11 @@ def _entries(batches: Iterator[pa.RecordBatch], ranges: int, window: int, period
     yield from flush()
 
 
-def _repeated(anchors: bool):
+def _repeated(anchors: bool, blocks: int):
     """Of one range's rows: anchors that occur in more than one batch or entry; or windows that aren't the earliest."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        known = t.filter(t.column("h").is_null()).select(["row", "place"])
+        known = t.filter(t.column("h").is_null()).select(_MARKED)
         t = t.filter(t.column("h").is_valid())
         h, doc, place, many = (np.frombuffer(b"".join(t.column(c).to_pylist()), k) for c, k in (("h", "<u4" if anchors else "<u8"), ("doc", "<i8"), ("place", "<i4"), ("many", "u1")))
         order = np.lexsort((place, doc, h))
@@ -160,20 +162,25 @@ def _repeated(anchors: bool):
         count = np.diff(np.concatenate([head, [len(h)]]))
         # anchors: entries that repeat in their batch have their marks already
         pick = np.repeat(count > 1, count) & (many == 0) if anchors else ~first
-        return pa.concat_tables([known, pa.Table.from_batches([_marks(doc[pick], place[pick])]).select(["row", "place"])])
+        return pa.concat_tables([known, pa.Table.from_batches([_marks(doc[pick], place[pick], blocks)]).select(_MARKED)])
 
     return run
 
 
-def _gathered(entries: DataFrame, anchors: bool) -> DataFrame:
-    """row, place: the marked places of documents, some at a time."""
-    return entries.groupBy("part").applyInArrow(_repeated(anchors), "row long, place binary")
+def _unpack(key: tuple, t: pa.Table) -> pa.Table:
+    """A row for each marked document of a block: its places in order, as an array."""
+    doc, place = (np.frombuffer(b"".join(t.column(c).to_pylist()), k) for c, k in (("doc", "<i8"), ("place", "<i4")))
+    order = np.lexsort((place, doc))
+    doc, place = doc[order], place[order]
+    edges = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
+    ends = np.concatenate([edges[1:], [len(doc)]])
+    return pa.table({"row": pa.array(doc[edges], pa.int64()), "marks": pa.array([place[x:y].tobytes() for x, y in zip(edges, ends)], pa.binary())})
 
 
-def _joined(texts: DataFrame, marks: DataFrame, how: str) -> DataFrame:
-    """Texts with their marks. A document's marks are at most as many as its words."""
-    own = marks.groupBy("row").agg(F.expr("array_join(transform(collect_list(place), x -> hex(x)), '')").alias("marks"))
-    return texts.join(own, "row", how).withColumn("marks", F.coalesce(F.unhex("marks"), F.lit(b"")))
+def _gathered(entries: DataFrame, anchors: bool, blocks: int) -> DataFrame:
+    """row, marks: the marked places of each document that has some. Ranges and blocks are as many as the input's size asks for."""
+    marks = entries.groupBy("part").applyInArrow(_repeated(anchors, blocks), "block long, doc binary, place binary")
+    return marks.groupBy("block").applyInArrow(_unpack, "row long, marks binary")
 
 
 def _kept(window: int):
@@ -237,14 +244,12 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
     args = (window, period, tuple(cover))
     ranges = partitions_for(docs.sparkSession, stats["size"] * 4 // 5, RANGE_BYTES)
     anchors = heads.mapInArrow(lambda it: _entries(it, ranges, *args, True), _ROW_DDL)
-    near = _gathered(anchors, True).join(copies, "row", "left_anti")
-    around = _joined(heads, near, "inner").select("row", "text", "marks")
+    near = _gathered(anchors, True, ranges)
+    around = heads.join(copies, "row", "left_anti").join(near, "row").select("row", "text", "marks")
     windows = around.mapInArrow(lambda it: _entries(it, ranges, *args, False), _ROW_DDL)
-    late = _gathered(windows, False).union(copies.select("row", F.lit(None).cast("binary").alias("place")))
-    own = late.groupBy("row").agg(F.expr("array_join(transform(collect_list(place), x -> hex(x)), '')").alias("marks"), F.max(F.col("place").isNull()).alias("copy"))
-    marked = numbered.drop("digest").join(own, "row", "left").select(
-        "doc_id", *more, F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.unhex("marks"), F.lit(b"")).alias("marks"), F.coalesce("copy", F.lit(False)).alias("copy")
-    )
+    late = _gathered(windows, False, ranges)
+    whole = numbered.drop("digest").join(late, "row", "left").join(copies.withColumn("copy", F.lit(True)), "row", "left")
+    marked = whole.select("doc_id", *more, F.coalesce("text", F.lit("")).alias("text"), F.coalesce("marks", F.lit(b"")).alias("marks"), F.coalesce("copy", F.lit(False)).alias("copy"))
     made = [T.StructField(n, k) for n, k in (("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept", T.StringType()), ("kept_sha256", T.StringType()))]
     return marked.mapInArrow(_kept(window), T.StructType([*marked.select("doc_id", *more).schema.fields, *made]))
 
