@@ -39,14 +39,14 @@ _SPACE = 32
 
 @dataclass(frozen=True)
 class Settings:
-    sample_rows: int = 4000  #: at most so many labelled rows are learned from, in equal parts by language
+    sample_rows: int = 1600  #: at most so many labelled rows are learned from, in equal parts by language
     bits: int = 16
     dim: int = 16
     epochs: int = 6
     rate: float = 2.0
     calibration_part: int = 5  #: one in so many sampled rows calibrates
     reject_share: float = 0.002  #: of calibration rows that are predicted right, at most this share is rejected
-    reject_below: float = 0.5  #: and none with a score from here on
+    reject_below: float = 0.3  #: and none with a score from here on
     seed: int = 7
 
 
