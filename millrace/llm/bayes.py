@@ -352,8 +352,12 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
     Of rows with the same id and text one stays.
     """
-    found = near_duplicates(docs, doc_id, text).where("is_first and digest is not null").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
+    found = stage_table(near_duplicates(docs, doc_id, text).where("is_first and digest is not null").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")), "first")
+    distinct = found.distinct()
     whole = docs.where(F.col(f"`{text}`").isNotNull())
-    kept = whole.join(found, F.col(f"`{doc_id}`").eqNullSafe(F.col("_id")) & (F.unhex(F.md5(f"`{text}`")) == F.col("_digest")), "left_semi")
+    kept = whole.join(distinct, F.col(f"`{doc_id}`").eqNullSafe(F.col("_id")) & (F.unhex(F.md5(f"`{text}`")) == F.col("_digest")), "left_semi")
     names = [F.col(f"`{c}`") for c in docs.columns]
-    return kept.select(*names).dropDuplicates([doc_id, text]).unionByName(docs.where(F.col(f"`{text}`").isNull()).select(*names))
+    kept = kept.select(*names)
+    if found.count() != distinct.count():  # rows with equal id and text: only then do texts have to be compared once more
+        kept = kept.dropDuplicates([doc_id, text])
+    return kept.unionByName(docs.where(F.col(f"`{text}`").isNull()).select(*names))
