@@ -5,8 +5,11 @@ runs of five words (of all its words, if an item has fewer). The weight of a run
 A document holds an item if one of its windows of the item's number of words has a weighted Jaccard similarity of
 the threshold or more with it: sum of the smaller weights over sum of the larger ones.
 
-1. A window that shares no run with an item has similarity 0 with it. So windows are made only where one of an
-   item's runs occurs, aligned by the run's places in both. Nothing that could match is lost here.
+1. A window that shares no run with an item has similarity 0 with it, and one of w runs reaches the threshold t with an item
+   of m runs only if t * (w + m) / (1 + t) of its runs or more occur in the item. All windows with so many are made that
+   start between the least and the greatest start at which one of the item's runs is aligned in both: outside of
+   these bounds a window gains nothing, as what it leaves behind when moved towards them isn't a run of the item. So no
+   best window is lost here, also where words were inserted, left out or cut off at an end.
 2. Each window and item gets a 64-bit SimHash of its weighted runs. The bits are cut into radius + 1 blocks; fingerprints within
    the radius agree in one block at least, so an equi-join on (item, block, bits) finds all of
    them, and the full distance is tested after it.
@@ -85,6 +88,22 @@ def _left(j: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), j)
 
 
+def starts_of() -> Column:
+    """Starts from low to high of windows of n_runs runs that hold at least so many (least) of places, which are in order.
+
+    A window counts at the first of places that it holds, so each start comes once.
+    """
+    last = lambda i: F.get("places", i + F.col("least") - 1)
+    none = F.array().cast("array<int>")
+
+    def of(place: Column, i: Column) -> Column:
+        a = F.greatest(F.col("low"), F.get("places", i - 1) + 1, last(i) - F.col("n_runs") + 1)
+        b = F.least(F.col("high"), place)
+        return F.when(last(i).isNotNull() & (a <= b), F.sequence(a, b)).otherwise(none)
+
+    return F.flatten(F.transform("places", of))
+
+
 def blocks(bits: Column, radius: int) -> Column:
     """(number, bits) of each of radius + 1 blocks."""
     edges = [BITS * i // (radius + 1) for i in range(radius + 2)]
@@ -104,7 +123,7 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
     own = named.dropDuplicates(["item"]).select("item", size.alias("size"), F.least(size, F.lit(k)).alias("k"), runs.alias("runs"))
     own = stage_table(own.withColumn("bits", simhash(F.col("runs"))), "item-runs")
     about = own.agg(F.sort_array(F.collect_set("k")).alias("ks"), F.coalesce(F.sum(F.size("runs")), F.lit(0)).alias("n")).first()
-    places = own.select("item", "size", "k", F.posexplode("runs").alias("at", "run"))
+    places = own.select("item", "size", "k", F.posexplode("runs").alias("at", "run")).groupBy("item", "size", "k", "run").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"))
     if about["n"] * RUN_BYTES <= BROADCAST_BYTES:
         places = F.broadcast(places)
 
@@ -115,17 +134,22 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
         every = texts.select("digest", let(words_of(F.col("text")), lambda w: F.struct(F.size(w).alias("n"), runs_of(w, n).alias("runs"))).alias("s"))
         every = every.select("digest", F.col("s.n").alias("n"), F.posexplode("s.runs").alias("place", "run"))
         found = every.join(places.where(F.col("k") == n), "run")
-        start = F.greatest(F.lit(0), F.least(F.col("place") - F.col("at"), F.col("n") - F.col("size")))
-        found = found.select("digest", "item", "size", "k", start.alias("start"))
+        aligned = [F.greatest(F.lit(0), F.least(F.col("place") - F.col(at), F.col("n") - F.col("size"))) for at in ("last_at", "first_at")]
+        found = found.select("digest", "item", "size", "k", "n", "place", aligned[0].alias("low"), aligned[1].alias("high"))
         seeds = found if seeds is None else seeds.union(found)
-    seeds = stage_table(seeds.distinct(), "seeds")
+    seeds = seeds.groupBy("digest", "item", "size", "k", "n").agg(F.sort_array(F.collect_set("place")).alias("places"), F.min("low").alias("low"), F.max("high").alias("high"))
+    seeds = seeds.withColumn("n_runs", F.least("size", "n") - F.col("k") + 1)
+    least = F.ceil(threshold * (F.col("n_runs") + F.col("size") - F.col("k") + 1) / (1 + threshold) - 1e-9).cast("int")
+    seeds = seeds.withColumn("least", F.greatest(F.lit(1), least))
+    seeds = stage_table(seeds.select("digest", "item", "k", "n_runs", starts_of().alias("starts")).where("size(starts) > 0"), "seeds")
 
     wanted = texts.join(seeds.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
-    cut = wanted.select("digest", words_of(F.col("text")).alias("words")).join(seeds, "digest").select("digest", "item", "k", "start", F.slice("words", F.col("start") + 1, F.col("size")).alias("window"))
-    own_runs = F.when(F.col("k") == k, runs_of(F.col("window"), k))
+    cut = wanted.select("digest", words_of(F.col("text")).alias("words")).join(seeds, "digest")
+    own_runs = F.when(F.col("k") == k, runs_of(F.col("words"), k))
     for n in range(1, k):
-        own_runs = F.when(F.col("k") == n, runs_of(F.col("window"), n)).otherwise(own_runs)
-    windows = cut.select("digest", "item", "start", own_runs.alias("runs")).where("size(runs) > 0")
+        own_runs = F.when(F.col("k") == n, runs_of(F.col("words"), n)).otherwise(own_runs)
+    cut = cut.select("digest", "item", "n_runs", own_runs.alias("all"), "starts").select("digest", "item", "n_runs", "all", F.explode("starts").alias("start"))
+    windows = cut.select("digest", "item", "start", F.slice("all", F.col("start") + 1, F.col("n_runs")).alias("runs"))
     windows = stage_table(windows.withColumn("bits", simhash(F.col("runs"))), "windows")
 
     left = windows.select("digest", "item", "start", "bits", blocks(F.col("bits"), radius).alias("b")).select("digest", "item", "start", "bits", "b.block", "b.value")

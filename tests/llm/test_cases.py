@@ -297,6 +297,32 @@ def test_decontamination_equals_brute_force(spark):
     assert sorted(r["doc_id"] for r in clean.collect()) == sorted(i for i, _ in docs if i not in bad)
 
 
+def test_decontamination_finds_windows_between_aligned_starts(spark):
+    rng = random.Random(31)
+    item = [f"w{i}" for i in range(100)]
+    pad = lambda n: [f"p{rng.randrange(10**6)}" for _ in range(n)]
+    docs = [(1, " ".join(pad(40) + item[3:50] + pad(6) + item[50:97] + pad(40)))]
+    items = [(1, " ".join(item))] + [(i, prose(rng, rng.randint(20, 120))) for i in range(2, 8)] + [(8, "to be or not to be or not to be or not to be " * 3)]
+    for i, text in items:
+        for j in range(12):
+            own = text.split()
+            own = own[rng.randint(0, 3) : len(own) - rng.randint(0, 3)]
+            for _ in range(rng.randint(0, 2)):
+                at = rng.randrange(len(own))
+                own[at : at + rng.choice([0, 0, 1])] = pad(rng.randint(0, 5))
+            again = own if j % 4 == 3 else []
+            docs.append((100 * i + j, " ".join(pad(rng.choice([0, 2, 30])) + own + pad(rng.choice([0, 1, 3])) + again + pad(rng.choice([0, 2, 30])))))
+    df = spark.createDataFrame(docs, DDL)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = contaminated(docs, items)
+    assert round(want[1, 1], 4) == 0.8113
+    got = decontaminate.matches(df, bench).collect()
+    assert {(r["doc_id"], r["item_id"]): round(r["similarity"], 6) for r in got} == {k: round(v, 6) for k, v in want.items()}
+    assert [r["word"] for r in got if r["doc_id"] == 1] == [40]
+    bad = {i for i, _ in want}
+    assert sorted(r["doc_id"] for r in decontaminate.keep_clean(df, bench).collect()) == sorted(i for i, _ in docs if i not in bad)
+
+
 def test_decontamination_empty(spark, odd, nothing):
     items = spark.createDataFrame([(1, "lost and found")], "item_id long, text string")
     assert decontaminate.matches(nothing, items).count() == 0
