@@ -5,8 +5,8 @@ characters other than white space (0x20, 0x09-0x0D); a text of one to four words
 all its words. Two texts are linked if the Jaccard similarity of their sets is at least the threshold.
 
 1. Equal texts are one class (by digest); the rest works on classes.
-2. Each class has MinHash values; runs of four values (bands) that agree make candidates. With 20
-   bands a pair of similarity 0.8 is missed with probability (1 - 0.8**4)**20 = 2.7e-5, one of 0.9 with 3e-10.
+2. Each class has MinHash values, cut to 16 bits; runs of four of these (bands) that agree make candidates. With 20
+   bands a pair of similarity 0.8 is missed with probability (1 - 0.8**4)**20 = 2.7e-5, one of 0.9 with 5e-10.
 3. Candidates meet in their band's bucket. Values are compared 16 at a time, and a
    pair goes when the posterior probability that its similarity reaches the threshold, given the agreements
    so far and a flat prior, is below the tolerance (1e-5). A pair that shares several bands counts in
@@ -80,13 +80,17 @@ def minhash(own: np.ndarray, places: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(values: np.ndarray) -> np.ndarray:
-    """rows x bands, with the band's number mixed in."""
-    v = mix(values).reshape(len(values), BANDS, ROWS)
-    out = np.tile(np.arange(1, BANDS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15), (len(values), 1))
+def signature(values: np.ndarray) -> np.ndarray:
+    """16 bits of each MinHash value: what buckets are made from and pairs are compared by."""
+    return (mix(values) >> U64(48)).astype("<u2")
+
+
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """rows x bands, with the band's number mixed in. Within a band, keys are equal exactly where its four signature values are."""
+    out = np.zeros((len(sig), BANDS), U64)
     for j in range(ROWS):
-        out = mix(out * U64(31) + v[:, :, j])
-    return out
+        out = (out << U64(16)) | sig.reshape(len(sig), BANDS, ROWS)[:, :, j]
+    return mix(out ^ (np.arange(1, BANDS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)))
 
 
 @cache
@@ -104,7 +108,10 @@ def least_agreements(threshold: float, tolerance: float, n: int) -> int:
 
 
 def survivors(sig: np.ndarray, band: np.ndarray, p: np.ndarray, q: np.ndarray, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs p, q (row numbers of sig) that aren't pruned and whose first common band is theirs."""
+    """Pairs p, q (row numbers of sig) that aren't pruned and whose first common band is theirs.
+
+    sig is what band_keys made the buckets from, so a common band here is a bucket in which the pair meets.
+    """
     agree = np.zeros(len(p), np.int16)
     for a in range(0, BANDS * ROWS, STEP):
         for x in range(0, len(p), 1 << 16):
@@ -184,8 +191,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = offsets[x : y + 1] - offsets[x]
             own, places = shingles(part, at)
             values = minhash(own, places)
-            sig = (mix(values) >> U64(48)).astype("<u2")
-            keys = band_keys(values).astype(np.int64)
+            sig = signature(values)
+            keys = band_keys(sig).astype(np.int64)
             rows = y - x
             digest = [hashlib.md5(part[at[i] : at[i + 1]]).digest() for i in range(rows)]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * BANDS, pa.int32()), pa.array(keys.reshape(-1), pa.int64()))

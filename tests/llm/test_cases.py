@@ -192,6 +192,28 @@ def test_near_duplicates_odd_rows(spark, odd, nothing):
     assert kept.count() == len(ODD) - 1
 
 
+def test_each_candidate_counts_once_in_a_bucket_that_it_is_in(monkeypatch):
+    # band 0: three equal values, and a fourth that agrees in 16 bits only; bands 3 and 7 are equal; the rest of the values mostly is
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    values = np.tile(rng.integers(0, 2**63, bayes.BANDS * bayes.ROWS, dtype=np.uint64), (2, 1))
+    values[1, [4 * b for b in range(1, bayes.BANDS) if b not in (3, 7)]] += np.uint64(1)
+    other = rng.integers(0, 2**63, 1 << 20, dtype=np.uint64)
+    values[1, 2] = other[(bayes.mix(other) >> np.uint64(48)) == bayes.mix(values[:1, 2]) >> np.uint64(48)][0]
+    monkeypatch.setattr(bayes, "minhash", lambda own, places: values)
+    out = pa.Table.from_batches(bayes._signatures(iter([pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["a", "b"]})]))).to_pylist()
+    sig = np.array([np.frombuffer(r["sig"], "<u2") for r in out])
+    assert (sig[0, :4] == sig[1, :4]).all()
+    assert values[0, 2] != values[1, 2]
+    counted = 0
+    for b in range(bayes.BANDS):
+        if out[0]["bands"][b] == out[1]["bands"][b]:
+            p, _ = bayes.survivors(sig, np.array([b, b]), np.array([0]), np.array([1]), bayes.THRESHOLD, bayes.TOLERANCE)
+            counted += len(p)
+    assert counted == 1
+
+
 def test_pruning_bound_is_a_tail_of_the_posterior():
     for n in (16, 48, 80):
         m = bayes.least_agreements(0.8, 1e-5, n)
