@@ -4,8 +4,12 @@ A document's letters, lower-cased, give subwords: runs of 2 to 4 letters within
 a mark at the word's start and end. Each subword is hashed to a bucket with an embedding; the
 mean of a document's embeddings goes through a linear softmax. Embeddings and softmax are
 trained together by stochastic gradient descent in numpy; then a part of the sample that
-training didn't see sets the softmax's temperature and the score below which a document is
-rejected.
+training didn't see sets the softmax's temperature and two bounds. A document is rejected if
+
+* its score is below the middle between 1 / languages and what almost all held-out rows reach that are predicted right, or
+* its subwords are unusual: the mean logarithm of their frequency in training, pulled to that of held-out rows as
+  by PRIOR more subwords, is below what almost all of these rows reach, or below the middle between that and what sampled
+  texts reach whose letters were exchanged (text in no learned language), if that is less.
 
 The training sample is bounded (sample_rows); its documents count whole. Prediction needs
 one integer score a bucket and language: embedding times softmax, in fixed point, so that sums don't
@@ -34,6 +38,10 @@ ORDERS = (2, 3, 4)
 UNKNOWN = "und"
 #: Fixed point of the scores, in parts of one.
 SCALE = 1 << 14
+#: Few subwords are no proof of another language: so many of usual frequency are added to a document's.
+PRIOR = 20
+#: Share of training's subword frequencies that is spread over all buckets.
+SPREAD = 0.05
 _SPACE = 32
 
 
@@ -46,7 +54,6 @@ class Settings:
     rate: float = 2.0
     calibration_part: int = 5  #: one in so many sampled rows calibrates
     reject_share: float = 0.002  #: of calibration rows that are predicted right, at most this share is rejected
-    reject_below: float = 0.3  #: and none with a score from here on
     seed: int = 7
 
 
@@ -56,6 +63,9 @@ class Model:
     scores: np.ndarray  # int32, buckets x languages
     temperature: float
     threshold: float
+    usual: np.ndarray  # int32, a bucket's log frequency over the uniform one, in fixed point
+    mean: float  # of held-out rows
+    least: float
     settings: Settings = field(default_factory=Settings)
 
 
@@ -117,21 +127,30 @@ def _rows_of(at: np.ndarray, marks: np.ndarray) -> np.ndarray:
     return np.searchsorted(at + 1, marks + 1, side="left")
 
 
-def _features(bits: int):
+def _exchanged(codes: np.ndarray) -> np.ndarray:
+    """Letters exchanged within each 32 code points; spaces stay."""
+    swap = np.random.default_rng(3).permutation(32).astype(np.uint32)
+    return np.where(codes == _SPACE, codes, (codes & ~np.uint32(31)) | swap[codes & np.uint32(31)])
+
+
+def _features(bits: int, part: int):
+    def counts(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        hit = [h for _, h in _grams(codes, bits)]
+        ids, n = np.unique(np.concatenate(hit), return_counts=True) if hit else (np.zeros(0, np.int64),) * 2
+        return ids.astype(np.int32), n.astype(np.int32)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = text_buffers(b.column("text"))
-            out: list[tuple[list, list]] = []
+            keys = b.column("key").to_pylist()
+            none = (np.zeros(0, np.int32),) * 2
+            out = []
             for r in range(len(b)):
                 one = data[offsets[r] : offsets[r + 1]]
                 codes, _ = _letters(one, np.array([0, len(one)]))
-                hit = [h for _, h in _grams(codes, bits)]
-                ids, n = np.unique(np.concatenate(hit), return_counts=True) if hit else (np.zeros(0, np.int64),) * 2
-                out.append((ids.astype(np.int32), n.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("lang"), b.column("key"), pa.array([x.tobytes() for x, _ in out], pa.binary()), pa.array([n.tobytes() for _, n in out], pa.binary())],
-                names=["lang", "key", "ids", "n"],
-            )
+                out.append((*counts(codes), *(counts(_exchanged(codes)) if keys[r] % part == 0 else none)))
+            made = [pa.array([x[i].tobytes() for x in out], pa.binary()) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("key"), *made], names=["lang", "key", "ids", "n", "other_ids", "other_n"])
 
     return run
 
@@ -149,7 +168,7 @@ def sample(docs: DataFrame, text: str, lang: str, key: Column, settings: Setting
     for name, n in sorted(counts.items()):
         limit = F.when(F.col("lang") == name, min(parts, int(parts * (2 * each + 20) / n))).otherwise(limit)
     few = rows.where(F.pmod("key", F.lit(parts)) < limit)
-    got = few.mapInArrow(_features(settings.bits), "lang string, key long, ids binary, n binary").collect()
+    got = few.mapInArrow(_features(settings.bits, settings.calibration_part), "lang string, key long, ids binary, n binary, other_ids binary, other_n binary").collect()
     out = []
     for name in sorted(counts):
         own = sorted((r for r in got if r["lang"] == name), key=lambda r: (r["key"], r["ids"]))
@@ -162,11 +181,14 @@ def train(rows: list, settings: Settings) -> Model | None:
     if not rows:
         return None
     langs = sorted({r["lang"] for r in rows})
-    cases = []
+    cases, whole, others = [], [], []
     for r in rows:
+        if r["other_ids"]:
+            others.append((np.frombuffer(r["other_ids"], np.int32), np.frombuffer(r["other_n"], np.int32)))
         ids, n = np.frombuffer(r["ids"], np.int32), np.frombuffer(r["n"], np.int32)
         if len(ids):
             cases.append((ids, (n / n.sum()).astype(np.float32), langs.index(r["lang"])))
+            whole.append((ids, n))
     rng = np.random.default_rng(settings.seed)
     order = rng.permutation(len(cases))
     held = {int(i) for k, i in enumerate(order) if k % settings.calibration_part == 0} if len(cases) >= 10 * settings.calibration_part else set()
@@ -189,7 +211,8 @@ def train(rows: list, settings: Settings) -> Model | None:
             # counts differ by orders of size between short and long texts; the square root evens the steps
             emb[ids] -= rate * np.outer(np.sqrt(w) * w.sum(), step).astype(np.float32) * 0.5
     scores = np.rint((emb @ out) * SCALE).astype(np.int32)
-    test = [cases[i] for i in (sorted(held) or learn)]
+    tested = sorted(held) or learn
+    test = [cases[i] for i in tested]
     z = np.array([w.astype(np.float64) @ scores[ids] / SCALE for ids, w, _ in test]).reshape(-1, len(langs))
     y = np.array([c for _, _, c in test], int)
     best = (np.inf, 1.0)
@@ -197,9 +220,31 @@ def train(rows: list, settings: Settings) -> Model | None:
         p = _softmax(z / t)
         best = min(best, (float(-np.log(np.maximum(p[np.arange(len(y)), y], 1e-12)).mean()) if len(y) else 0.0, float(t)))
     p = _softmax(z / best[1])
-    right = p.max(1)[p.argmax(1) == y] if len(y) else np.zeros(0)
-    threshold = min(settings.reject_below, float(np.quantile(right, settings.reject_share))) if len(right) else 0.0
-    return Model(langs, scores, best[1], threshold, settings)
+    right = p.argmax(1) == y if len(y) else np.zeros(0, bool)
+
+    often = np.zeros((len(langs), 1 << settings.bits))
+    for i in learn:
+        ids, w, c = cases[i]
+        often[c, ids] += w
+    often = (often / np.maximum(often.sum(1, keepdims=True), 1e-12)).mean(0)
+    usual = np.rint(np.log((1 - SPREAD) * often * (1 << settings.bits) + SPREAD) * SCALE).astype(np.int32)
+    sums = [(int((usual[ids].astype(np.int64) * n).sum()), int(n.sum())) for ids, n in (whole[i] for i in tested)]
+    mean = float(np.mean([x / (n * SCALE) for x, n in sums])) if sums else 0.0
+    threshold, least = 0.0, -np.inf
+    if right.any():
+        # of the values in order, so that no more than the share lies below, and none where rows are few
+        reached = float(np.quantile(np.round(p.max(1), 6)[right], settings.reject_share, method="lower"))
+        threshold = (reached + 1 / len(langs)) / 2
+        known = np.array([_pulled(x, n, mean) for x, n in sums])[right]
+        reached = float(np.quantile(known, settings.reject_share, method="lower"))
+        far = [_pulled(int((usual[ids].astype(np.int64) * n).sum()), int(n.sum()), mean) for ids, n in others] or [float(usual.min()) / SCALE]
+        least = min(reached, (reached + float(np.median(far))) / 2)
+    return Model(langs, scores, best[1], threshold, usual, mean, least, settings)
+
+
+def _pulled(total, count, mean: float):
+    """Mean of count values with total in fixed point, and PRIOR times the given mean."""
+    return (total / SCALE + PRIOR * mean) / (count + PRIOR)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -209,13 +254,13 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def score_rows(data: np.ndarray, offsets: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Language number (-1: no letter) and score of each row."""
+def score_rows(data: np.ndarray, offsets: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language number (-1: no letter) and score of each row, and whether it is rejected."""
     n, k = len(offsets) - 1, len(model.langs)
-    pick, top = np.full(n, -1, np.int64), np.zeros(n)
+    pick, top, out = np.full(n, -1, np.int64), np.zeros(n), np.ones(n, bool)
     for a, b in chunks(offsets):
         codes, marks = _letters(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        sums, count = np.zeros((b - a, k), np.int64), np.zeros(b - a, np.int64)
+        sums, usual, count = np.zeros((b - a, k), np.int64), np.zeros(b - a, np.int64), np.zeros(b - a, np.int64)
         for at, bucket in _grams(codes, model.settings.bits):
             rows = _rows_of(at, marks)
             count += np.diff(rows)
@@ -223,13 +268,16 @@ def score_rows(data: np.ndarray, offsets: np.ndarray, model: Model) -> tuple[np.
             for j in range(k):
                 np.cumsum(model.scores[bucket, j], out=total[1:])
                 sums[:, j] += total[rows[1:]] - total[rows[:-1]]
+            np.cumsum(model.usual[bucket], out=total[1:])
+            usual += total[rows[1:]] - total[rows[:-1]]
         some = count > 0
         z = sums[some] / (count[some, None] * SCALE * model.temperature)
         p = _softmax(z)
         if some.any():
             pick[a:b][some] = p.argmax(1)
             top[a:b][some] = np.clip(np.round(p.max(1), 6), 0, 1)
-    return pick, top
+            out[a:b][some] = (top[a:b][some] < model.threshold) | (_pulled(usual[some], count[some], model.mean) < model.least)
+    return pick, top, out
 
 
 def identify(docs: DataFrame, text: str = "text", lang: str = "lang", learn: Column | None = None, key: Column | None = None, settings: Settings | None = None) -> DataFrame:
@@ -249,12 +297,11 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", learn: Col
         for b in batches:
             data, offsets = text_buffers(b.column(text))
             if model is None:
-                pick, top = np.full(len(b), -1), np.zeros(len(b))
+                pick, top, out = np.full(len(b), -1), np.zeros(len(b)), np.ones(len(b), bool)
             else:
-                pick, top = score_rows(data, offsets, model)
+                pick, top, out = score_rows(data, offsets, model)
             names = [UNKNOWN, *(model.langs if model else [])]
             lang_pred = pa.array([names[i + 1] for i in pick.tolist()], pa.string())
-            out = (pick < 0) | (top < (model.threshold if model else 0))
             yield pa.RecordBatch.from_arrays([*b.columns, lang_pred, pa.array(top, pa.float64()), pa.array(out, pa.bool_())], names=[f.name for f in schema.fields])
 
     return base.mapInArrow(run, schema)

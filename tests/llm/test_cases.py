@@ -59,6 +59,20 @@ def test_language_scores_dont_depend_on_batches():
     assert marks.tolist() == [0, 12, len(codes) - 1] or codes[marks].tolist() == [32, 32, 32]
 
 
+@pytest.mark.parametrize("n_langs", [1, 2, 4])
+def test_language_rejects_planted_junk_and_keeps_clean_rows(spark, n_langs):
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    lexicon = [["".join(rng.choice(own) for _ in range(rng.randint(2, 9))) for _ in range(150)] for own in ("aeinrst", "aoulmnd", "eiuchgk", "aobpvzt")]
+    say = lambda i, n: " ".join(rng.choice(lexicon[i]) for _ in range(n))
+    clean = [(i, say(i % n_langs, rng.randint(30, 80)), f"l{i % n_langs}") for i in range(400)]
+    junk = [(1000 + i, " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(40)), None) for i in range(60)]
+    docs = spark.createDataFrame(clean + junk, "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in langid.keep_known(docs).collect()}
+    assert sum(i in kept for i, _, _ in junk) == 0
+    assert sum(i in kept for i, _, _ in clean) >= 396
+
+
 # sharding
 
 
