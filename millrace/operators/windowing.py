@@ -69,7 +69,7 @@ def head_snippets(blocks: Column, lines: int = CLEAN_LINES) -> Column:
 
 
 def window_prompt(text: Column, evidence: Column, budget: int = WINDOW_BYTES) -> Column:
-    """struct<prompt, windowed, strategy, omitted, blocks>. Gate and slices count UTF-16 units and characters, the cap UTF-8 bytes."""
+    """struct<prompt, windowed, strategy, omitted, blocks>. Gate and slices count UTF-16 units and characters, the cap UTF-8 bytes. A null text stays."""
     parts = split_files(text)
     blocks = prompt.file_blocks(parts["files"])
     short = F.struct(text.alias("prompt"), F.lit(False).alias("windowed"), F.lit("unchanged").alias("strategy"), F.lit(0).alias("omitted"), F.lit(-1).alias("blocks"))
@@ -95,7 +95,7 @@ def window_prompt(text: Column, evidence: Column, budget: int = WINDOW_BYTES) ->
         )
 
     snippets = F.when(F.size(evidence) > 0, evidence_snippets(blocks, evidence)).otherwise(head_snippets(blocks))
-    return F.when(exprs.utf16_len(text) <= budget, short).when(F.size(blocks) == 0, plain).otherwise(let(snippets, centered))
+    return F.when(text.isNull() | (exprs.utf16_len(text) <= budget), short).when(F.size(blocks) == 0, plain).otherwise(let(snippets, centered))
 
 
 def window_rows(rows: DataFrame, budget: int = WINDOW_BYTES) -> DataFrame:

@@ -35,13 +35,17 @@ _CLAMP = f"""ascii AS (SELECT doc_id, lang, text FROM documents WHERE strlen(tex
     cut AS (SELECT doc_id, lang, strlen(text) AS n, left(CASE WHEN length(text) <= 4000 THEN text ELSE left(text, 4000) || {_NOTE} END, 4000) AS prompt FROM ascii)"""
 
 
-def clamped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text").where(F.octet_length("text") == F.char_length("text"))
+def clamped_all(docs: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<path:string,first:bigint,last:bigint>>")
     w = docs.select("doc_id", "lang", "text", windowing.window_prompt(F.col("text"), none).alias("w"))
     return w.select("doc_id", "lang", "w.prompt", "w.windowed", "w.strategy", exprs.utf8_len(F.col("text")).alias("n"))
 
 
+def clamped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ASCII texts only, as in the SQL, which can't express the cut by UTF-16 units and UTF-8 bytes."""
+    return clamped_all(table(spark, sf_dir, "documents").where(F.octet_length("text") == F.char_length("text")))
+
+
 @query(f"WITH {_CLAMP} SELECT doc_id, md5(prompt) AS prompt_md5, n > 4000 AS windowed, CASE WHEN n > 4000 THEN 'prompt-clamp-no-files-section' ELSE 'unchanged' END AS strategy FROM cut")
 def q_clamp_prelude(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clamped(spark, sf_dir).select("doc_id", F.md5("prompt").alias("prompt_md5"), "windowed", "strategy")
@@ -53,6 +57,18 @@ def q_window_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windowing.window_summary(rows, ["lang", "strategy"])
 
 
+@query()
+def q_clamp_prelude_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, null and non-ASCII texts too; no SQL, tested against a plain version."""
+    return clamped_all(table(spark, sf_dir, "documents")).select("doc_id", F.md5("prompt").alias("prompt_md5"), "windowed", "strategy")
+
+
+@query()
+def q_window_summary_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = clamped_all(table(spark, sf_dir, "documents")).withColumn("bytes", F.octet_length("prompt").cast("long"))
+    return windowing.window_summary(rows, ["lang", "strategy"])
+
+
 _LINES = "lines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents)"
 
 
