@@ -6,7 +6,9 @@ many documents, so there is no Python step per word.
 
 from __future__ import annotations
 
-import os
+import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,10 +27,19 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 
 
+#: Folders of staged tables that are still there.
+_staged: dict[str, SparkSession] = {}
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where nothing is set (tests)."""
+    """The folder in spark.checkpoint.dir. Where nothing is set: a temporary one if the master is local (tests), else an error.
+
+    On a cluster a machine's own folder would hold each executor's part of a table where no other reads it.
+    """
     folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="millrace-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
@@ -39,13 +50,65 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: its lineage ends there.
 
     A lost executor costs the reader nothing, as the files are in the folder that
-    the cluster names in spark.checkpoint.dir.
+    the cluster names in spark.checkpoint.dir. drop_staged deletes a table that nothing reads any more; the driver deletes
+    what is left when it ends.
     """
     spark = df.sparkSession
     folder = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{folder}/millrace-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _staged[path] = spark
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged._millrace_path = path
+    return staged
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def drop_staged(*tables: DataFrame) -> None:
+    """Delete tables of stage_table that no plan refers to any more: those of rounds that are over."""
+    for staged in tables:
+        path = getattr(staged, "_millrace_path", None)
+        if path in _staged:
+            _delete(_staged.pop(path), path)
+
+
+@atexit.register
+def _drop_all() -> None:
+    for path, spark in list(_staged.items()):
+        with contextlib.suppress(Exception):  # the JVM may have ended before
+            if spark.sparkContext._jsc is not None:
+                _delete(spark, path)
+
+
+def broadcast_if_small(side: DataFrame, row_bytes: int, most: int = 8 << 20) -> DataFrame:
+    """A staged table with a broadcast hint if its rows are counted to fit; else as it is, for a join by shuffle.
+
+    A staged table is an exchange of its own in such a join, so adaptive execution may split a hot key's rows on the other side.
+    """
+    return F.broadcast(side) if side.count() * row_bytes <= most else side
+
+
+def semi_join(rows: DataFrame, keys: DataFrame, on: str, row_bytes: int, salts: int = 16) -> DataFrame:
+    """rows whose `on` is among keys (a staged table of distinct values). Large key sets join with a salt, so that the rows
+    of a hot key are dealt over so many parts, also where a later aggregate by the key would keep them together."""
+    small = broadcast_if_small(keys, row_bytes)
+    if small is not keys:
+        return rows.join(small, on, "left_semi")
+    salt = fresh(rows, "_salt")
+    left = rows.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    right = keys.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [on, salt], "left_semi").drop(salt)
+
+
+def give_back() -> None:
+    """Return freed memory of this Python worker to the system, so that the next stage's worker starts small."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
