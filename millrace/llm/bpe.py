@@ -1,24 +1,28 @@
 """Byte-level BPE by a pair occurrence index.
 
 Texts are cut into pre-tokens with numpy (classes of code points, then the places where a class
-changes), equal pre-tokens are found by hash, and the distinct new ones of a partition's block are
+changes), equal pre-tokens are found by a hash of 64 bits and confirmed by another of 64 bits (one that
+agrees in the first alone is encoded by itself), and the distinct new ones of a partition's block are
 encoded together: an index maps each mergeable pair to all its positions in the block; ranks
 that have positions are taken in ascending order, each merges all its positions at
 once, and the pairs that this makes or breaks go to their own ranks' lists. A merge only makes
 pairs of higher rank than its own, as a token is in the vocabulary before it can be part of a
 pair, so every rank is taken once.
 
-Results for a pre-token are kept in a table of bounded size (a cache, no part of the result).
+Results for a pre-token are kept in a table of bounded size (a cache, no part of the result). Blocks are bounded too, so
+that a worker's memory depends neither on its partition's size nor on the batches that it gets.
 Decoding goes from ids to bytes and to text, replacing what isn't UTF-8, as a byte-level decoder does.
 
 Null or odd input: null counts as an empty text, with no ids. Special tokens in a text become
-their one id, as in the library. Lone runs of thousands of letters are one pre-token and merge like others.
+their one id, as in the library, the leftmost first, of several at one place the longest. A vocabulary file that asks for something
+else than this (a normalizer, a prefix space, stripping special tokens, ...) is refused. Lone runs of thousands of letters are one pre-token and merge like others.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -32,8 +36,8 @@ LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: The endings that the pattern cuts off after an apostrophe.
 SHORT, LONG = "stmd", ("re", "ve", "ll")
-#: Distinct pre-tokens that a worker keeps; characters cut at once; characters encoded at once.
-KEEP, CUT_CHARS, BLOCK_CHARS = 1_500_000, 1 << 20, 16 << 20
+#: Distinct pre-tokens that a worker keeps; characters cut and encoded at once (one longer text is taken alone).
+KEEP, BLOCK_CHARS = 400_000, 1 << 20
 
 
 @cache
@@ -105,6 +109,7 @@ class Encoder:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        refuse_unsupported(spec)
         to_byte = {c: b for b, c in byte_letters().items()}
         vocab = spec["model"]["vocab"]
         pairs = [tuple(m.split(" ") if isinstance(m, str) else m) for m in spec["model"]["merges"]]
@@ -124,27 +129,33 @@ class Encoder:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for content, i in self.special.items():
             self.bytes_of[i] = content.encode()
-        every = np.arange(256)
-        self.byte_ranks = self.rank(np.repeat(self.first, 256), np.tile(self.first, 256)).reshape(len(every), 256)
+        self.special_in = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        self.byte_ranks = self.rank(np.repeat(self.first, 256), np.tile(self.first, 256)).reshape(256, 256)
         self.forget()
 
     def _special_key(self, content: str) -> np.uint64:
         return mix(np.array([self.special[content]], U64) + (U64(1) << U64(63)))[0]
 
     def forget(self) -> None:
-        """Empty the table but for the special tokens: hashes in order, each one's word, and the words' ids."""
+        """Empty the table but for the special tokens: hashes in order, each one's word, and the words' other hash and ids."""
         self.known = np.zeros(0, U64)
         self.word = np.zeros(0, np.int64)
+        self.other = np.zeros(0, U64)
         self.flat = np.zeros(0, np.int32)
         self.off = np.zeros(1, np.int64)
         for content, i in self.special.items():
-            self._store(np.array([self._special_key(content)], U64), np.array([i], np.int64), np.array([0, 1]))
+            key = np.array([self._special_key(content)], U64)
+            self._store(key, key, np.array([i], np.int64), np.array([0, 1]))
 
-    def _store(self, hashes: np.ndarray, ids: np.ndarray, at: np.ndarray) -> None:
+    def _store(self, hashes: np.ndarray, others: np.ndarray, ids: np.ndarray, at: np.ndarray) -> None:
+        """hashes: in order, and not in the table."""
         number = np.arange(len(self.off) - 1, len(self.off) - 1 + len(hashes))
-        known, word = np.concatenate([self.known, hashes]), np.concatenate([self.word, number])
-        order = np.argsort(known, kind="stable")
-        self.known, self.word = known[order], word[order]
+        place = np.searchsorted(self.known, hashes)
+        self.known, self.word = np.insert(self.known, place, hashes), np.insert(self.word, place, number)
+        self._append(others, ids, at)
+
+    def _append(self, others: np.ndarray, ids: np.ndarray, at: np.ndarray) -> None:
+        self.other = np.concatenate([self.other, others])
         self.off = np.concatenate([self.off, self.off[-1] + at[1:]])
         self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
 
@@ -223,90 +234,82 @@ class Encoder:
         """For blocks of texts: first and last text, their ids end to end, and the n + 1 places where each text's start."""
         row = 0
         while row < len(texts):
-            if len(self.known) > KEEP:
+            if len(self.off) > KEEP:
                 self.forget()
-            to, chars = row, 0
-            hashes: list[np.ndarray] = []
-            starts = [np.zeros(1, np.int64)]
-            total = 0
-            new_hashes = np.zeros(0, U64)
-            made: list[np.ndarray] = []
-            new_codes: list[np.ndarray] = []
-            new_sizes: list[np.ndarray] = []
-            while to < len(texts) and (to == row or chars < BLOCK_CHARS):
-                group: list[str] = []
-                rows: list[int] = []
-                held = 0
-                while to < len(texts) and (not rows or held + len(texts[to]) < CUT_CHARS):
-                    group += (pieces := self._pieces(texts[to]))
-                    rows.append(len(pieces))
-                    held += len(texts[to])
-                    to += 1
-                chars += held
-                h, per_piece, code, first, size = self._hash(group)
-                at = np.argsort(h)
-                at = at[np.concatenate([[True], h[at[1:]] != h[at[:-1]]])] if len(at) else at
-                unique = h[at]
-                new = self.numbers(unique) < 0
-                if len(new_hashes):
-                    seen = np.minimum(np.searchsorted(new_hashes, unique), len(new_hashes) - 1)
-                    new &= new_hashes[seen] != unique
-                if new.any():
-                    at = at[new]
-                    made.append(unique[new])
-                    new_hashes = np.sort(np.concatenate([new_hashes, unique[new]]))
-                    new_codes.append(code[ragged(first[at], size[at])])
-                    new_sizes.append(size[at])
-                hashes.append(h)
-                starts.append(total + np.cumsum(per_piece)[np.cumsum(rows) - 1])
-                total += len(h)
-            if len(new_hashes):
-                self._learn(np.concatenate(made), np.concatenate(new_codes), np.concatenate(new_sizes))
-            words = np.concatenate([self.numbers(h) for h in hashes])
-            size = self.off[words + 1] - self.off[words]
-            place = np.concatenate([[0], np.cumsum(size)])
-            yield row, to, self.flat[ragged(self.off[words], size)], place[np.concatenate(starts)]
+            to, held = row, 0
+            pieces: list[str] = []
+            per_text: list[int] = []
+            while to < len(texts) and (to == row or held + len(texts[to]) < BLOCK_CHARS):
+                pieces += (own := self._pieces(texts[to]))
+                per_text.append(len(own))
+                held += len(texts[to])
+                to += 1
+            h, other, per_piece, code, first, size = self._hash(pieces)
+            at = np.argsort(h)
+            at = at[np.concatenate([[True], h[at[1:]] != h[at[:-1]]])] if len(at) else at
+            at = at[self.numbers(h[at]) < 0]
+            if len(at):
+                self._store(h[at], other[at], *self._encoded(code[ragged(first[at], size[at])], size[at]))
+            words = self.numbers(h)
+            odd = np.flatnonzero(self.other[words] != other)
+            if len(odd):  # two pre-tokens with one hash: these get words of their own, which the table doesn't find
+                words[odd] = np.arange(len(self.off) - 1, len(self.off) - 1 + len(odd))
+                self._append(other[odd], *self._encoded(code[ragged(first[odd], size[odd])], size[odd]))
+            count = self.off[words + 1] - self.off[words]
+            place = np.concatenate([[0], np.cumsum(count)])
+            ends = np.concatenate([[0], np.cumsum(per_piece)])[np.concatenate([[0], np.cumsum(per_text)])]
+            yield row, to, self.flat[ragged(self.off[words], count)], place[ends]
             row = to
 
     def _pieces(self, text: str) -> list[str]:
         """The text between special tokens, and those."""
-        out: list[str] = [text]
-        for content in self.special:
-            if content in text:
-                done: list[str] = []
-                for x in out:
-                    if isinstance(x, _Special) or content not in x:
-                        done.append(x)
-                        continue
-                    for i, y in enumerate(x.split(content)):
-                        done += ([_Special(content)] if i else []) + [y]
-                out = done
-        return out
-
-    def _hash(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Hash of each pre-token; how many each piece has; the code points, and each pre-token's first and number of them."""
+        if self.special_in is None:
+            return [text]
+        out: list[str] = []
+        done = 0
+        for found in self.special_in.finditer(text):
+            out += [text[done : found.start()], _Special(found.group())]
+            done = found.end()
+        return [*out, text[done:]] if out else [text]
+
+    def _hash(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Both hashes of each pre-token; how many each piece has; the code points, and each pre-token's first and number of them."""
         plain = ["" if isinstance(p, _Special) else p for p in pieces]
         bounds = np.concatenate([[0], np.cumsum([len(p) for p in plain])]).astype(np.int64)
         code, start = cut("".join(plain), bounds[:-1])
         size = np.diff(np.concatenate([start, [len(code)]])).astype(np.int64) if len(start) else np.zeros(0, np.int64)
         values = mix(code.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(41))
         h = span_hashes(values, start, start + size)
+        other = span_hashes(mix(values), start, start + size)
         firsts = np.searchsorted(start, bounds, side="left")
         counts = np.diff(firsts)
         marks = [i for i, p in enumerate(pieces) if isinstance(p, _Special)]
         if marks:
             at = firsts[marks]
-            h = np.insert(h, at, np.array([self._special_key(str(pieces[i])) for i in marks], U64))
+            keys = np.array([self._special_key(str(pieces[i])) for i in marks], U64)
+            h, other = np.insert(h, at, keys), np.insert(other, at, keys)
             start, size = np.insert(start, at, 0), np.insert(size, at, 0)
             counts[marks] = 1
-        return h, counts, code, start, size
+        return h, other, counts, code, start, size
 
-    def _learn(self, hashes: np.ndarray, codes: np.ndarray, sizes: np.ndarray) -> None:
+    def _encoded(self, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens, given as code points end to end and how many each has; and where each one's ids start."""
         data = np.frombuffer(codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"), np.uint8)
         width = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
         place = np.concatenate([[0], np.cumsum(width)])
         begin = place[np.concatenate([[0], np.cumsum(sizes)])]
-        self._store(hashes, *self.merge_all(data, begin))
+        return self.merge_all(data, begin)
+
+
+def refuse_unsupported(spec: dict) -> None:
+    """Raises for a vocabulary file whose results this encoder wouldn't give."""
+    model, cutter = spec["model"], spec.get("pre_tokenizer") or {}
+    odd = [f"model.{k}" for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    odd += ["normalizer"] if spec.get("normalizer") else []
+    odd += ["pre_tokenizer"] if cutter.get("type") != "ByteLevel" or cutter.get("add_prefix_space") or not cutter.get("use_regex", True) else []
+    odd += [f"{t['content']}: {k}" for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip") if t.get(k)]
+    if model.get("type", "BPE") != "BPE" or odd:
+        raise ValueError(f"not a byte-level BPE file that is supported: {', '.join(odd) or model.get('type')}")
 
 
 @cache

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from millrace.llm.bpe import encoder, texts_of
+from millrace.llm.common import give_back
 
 
 def _schema(df: DataFrame, made: dict[str, T.DataType]) -> tuple[DataFrame, T.StructType]:
@@ -18,13 +19,16 @@ def _schema(df: DataFrame, made: dict[str, T.DataType]) -> tuple[DataFrame, T.St
     return base, T.StructType([*base.schema.fields, *(T.StructField(k, v) for k, v in made.items())])
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", check: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", check: bool = False, keep_text: bool = True) -> DataFrame:
     """docs with ids (array of int) and n_tokens. Null: no ids. A column of these names is replaced.
 
-    check: also round_trip, whether decoding the ids gives the text again (true for null).
+    check: also round_trip, whether decoding the ids gives the text again (true for null). keep_text: if not, the text isn't
+    among the columns, and doesn't travel back from the workers.
     """
     made = {"ids": T.ArrayType(T.IntegerType(), False), "n_tokens": T.LongType()}
     base, schema = _schema(docs, made | ({"round_trip": T.BooleanType()} if check else {}))
+    carried = [c for c in base.columns if keep_text or c != text]
+    schema = T.StructType([f for f in schema.fields if keep_text or f.name != text])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
@@ -32,11 +36,12 @@ def encode(docs: DataFrame, path: str, text: str = "text", check: bool = False)
             texts = texts_of(b.column(text))
             for a, z, flat, at in enc.lookup(texts):
                 ids = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int32()))
-                columns = [*b.slice(a, z - a).columns, ids, pa.array(np.diff(at), pa.int64())]
+                columns = [*b.select(carried).slice(a, z - a).columns, ids, pa.array(np.diff(at), pa.int64())]
                 if check:
                     back = (b"".join([enc.bytes_of[i] for i in flat[x:y].tolist()]).decode("utf-8", "replace") for x, y in zip(at[:-1].tolist(), at[1:].tolist()))
                     columns.append(pa.array([x == y for x, y in zip(back, texts[a:z])], pa.bool_()))
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
+        give_back()
 
     return base.mapInArrow(run, schema)
 
@@ -76,5 +81,6 @@ def digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                 part = b.slice(a, z - a)
                 cols = [pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *cols], names=[f.name for f in schema.fields])
+        give_back()
 
     return base.select(*base.columns).mapInArrow(run, schema)
