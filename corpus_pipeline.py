@@ -40,7 +40,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and whether they decode to its text."""
     kept = [c for c in ("doc_id", "lang", "source", "text") if c in docs.columns]
-    return bpe_codec.encode(docs.select(*kept), vocabulary(), check=True).drop("text")
+    return bpe_codec.encode(docs.select(*kept), vocabulary(), check=True, keep_text=False)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
