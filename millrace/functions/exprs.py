@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.constants import OUTCOME_CLASSES, STOP_WORDS
@@ -13,6 +13,15 @@ def let(value: Column, then) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
+def unnest(rows: DataFrame, value: Column, name: str, *keep: str) -> DataFrame:
+    """A row for each element of an array that isn't null, with the columns in keep.
+
+    For an explode the optimizer infers a filter on the array, and pushes it below to where the array is made: a second
+    evaluation of it, with its inputs written out at every use. An outer explode has no such filter.
+    """
+    return rows.select(*keep, F.explode_outer(value).alias(name)).where(F.col(name).isNotNull())
+
+
 # lengths and cuts
 
 

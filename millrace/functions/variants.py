@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from millrace.functions.exprs import let
 
 ISSUE = "struct<code:string,path:array<string>>"
+#: Of a VARIANT, as SQL text. Rules over many fields are written as SQL, as each Column operator costs a call to the JVM when a query is built.
+SQL_STRING = "schema_of_variant({0}) = 'STRING'"
+# objects and arrays have no double; of the other kinds the schema tells
+SQL_NUMBER = "CASE WHEN schema_of_variant({0}) NOT IN ('STRING', 'BOOLEAN', 'VOID') THEN try_variant_get({0}, '$', 'double') END"
+
+
+def let_sql(value: Column, name: str, then: str) -> Column:
+    """The SQL text, in which name stands for value, computed once."""
+    return F.element_at(F.call_function("transform", F.array(value), F.expr(f"{name} -> {then}")), 1)
 
 
 def parse_strict(s: Column) -> Column:
@@ -20,7 +29,7 @@ def parse_strict(s: Column) -> Column:
     def of(t: Column) -> Column:
         one = F.try_parse_json(F.concat(F.lit("["), t, F.lit("]")))
         inside = F.try_parse_json(F.concat(F.lit('{"v":'), t, F.lit("}")))
-        return F.when((F.size(F.try_variant_get(one, "$", "array<variant>")) == 1) & inside.isNotNull(), F.try_parse_json(t))
+        return let(F.try_variant_get(one, "$", "array<variant>"), lambda a: F.when((F.size(a) == 1) & inside.isNotNull(), F.get(a, F.lit(0))))
 
     return let(s, of)
 
@@ -31,32 +40,36 @@ def is_json(s: Column) -> Column:
 
 def kind(v: Column) -> Column:
     """missing, null, object, array, string, number or boolean."""
-
-    def of(schema: Column) -> Column:
-        return (
-            F.when(schema.isNull(), "missing")
-            .when(schema == "STRING", "string")
-            .when(schema == "VOID", "null")
-            .when(schema.startswith("OBJECT"), "object")
-            .when(schema.startswith("ARRAY"), "array")
-            .when(schema == "BOOLEAN", "boolean")
-            .otherwise("number")
-        )
-
-    return let(F.schema_of_variant(v), of)
+    named = {"STRING": "string", "VOID": "null", "BOOLEAN": "boolean"}
+    cases = "".join(f" WHEN s = '{schema}' THEN '{name}'" for schema, name in named.items())
+    return let_sql(F.schema_of_variant(v), "s", f"CASE WHEN s IS NULL THEN 'missing'{cases} WHEN startswith(s, 'OBJECT') THEN 'object' WHEN startswith(s, 'ARRAY') THEN 'array' ELSE 'number' END")
 
 
 def field(v: Column, key: str) -> Column:
     return F.try_variant_get(v, f"$['{key}']", "variant")
 
 
+def members(v: Column, names: list[str]) -> Column:
+    """The named fields of an object as one struct of VARIANT, read in one go. Null for what isn't an object; a field that isn't there is null."""
+    return F.try_variant_get(v, "$", "struct<" + ",".join(f"`{n}`:variant" for n in names) + ">")
+
+
+def is_string(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False))
+
+
+def is_array(v: Column) -> Column:
+    """Looks at the top alone, where kind() walks the whole value."""
+    return F.try_variant_get(v, "$", "array<variant>").isNotNull()
+
+
 def text(v: Column) -> Column:
     """The string, if the value is one."""
-    return let(v, lambda x: F.when(kind(x) == "string", F.try_variant_get(x, "$", "string")))
+    return let_sql(v, "x", f"CASE WHEN {SQL_STRING.format('x')} THEN try_variant_get(x, '$', 'string') END")
 
 
 def number(v: Column) -> Column:
-    return let(v, lambda x: F.when(kind(x) == "number", F.try_variant_get(x, "$", "double")))
+    return let_sql(v, "x", SQL_NUMBER.format("x"))
 
 
 def whole(v: Column) -> Column:
@@ -66,15 +79,15 @@ def whole(v: Column) -> Column:
 
 def items(v: Column) -> Column:
     """The array's values; none for other kinds."""
-    return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
+    return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.expr("CAST(array() AS ARRAY<VARIANT>)"))
 
 
 def keys(v: Column) -> Column:
-    return F.coalesce(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")), F.array().cast("array<string>"))
+    return F.coalesce(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")), F.expr("CAST(array() AS ARRAY<STRING>)"))
 
 
 def is_string_array(v: Column) -> Column:
-    return let(v, lambda a: (kind(a) == "array") & F.forall(items(a), lambda x: kind(x) == "string"))
+    return F.coalesce(F.forall(F.try_variant_get(v, "$", "array<variant>"), is_string), F.lit(False))
 
 
 def issue(code: Column | str, *path: Column | str) -> Column:
@@ -83,16 +96,31 @@ def issue(code: Column | str, *path: Column | str) -> Column:
 
 
 def no_issues() -> Column:
-    return F.array().cast(f"array<{ISSUE}>")
+    return F.expr(f"CAST(array() AS ARRAY<{ISSUE}>)")
 
 
 def when(bad: Column, code: Column | str, *path: Column | str) -> Column:
-    """A list of one issue, or of none."""
-    return F.when(bad, F.array(issue(code, *path))).otherwise(no_issues())
+    """An issue, or null."""
+    return F.when(bad, issue(code, *path))
+
+
+def listed(*checks: Column) -> Column:
+    """The issues among what when() gave."""
+    return F.array_compact(F.array(*checks))
+
+
+def checked(m: Column, path: list[Column | str], *rules: tuple[str, str, str]) -> Column:
+    """Issues of the rules that don't hold: (condition as SQL over m, code, last step of the path, or nothing)."""
+    steps = [F.lit(p) if isinstance(p, str) else p.cast("string") for p in path]
+    at = F.array(*steps) if steps else F.expr("CAST(array() AS ARRAY<STRING>)")
+    cases = [f"CASE WHEN NOT coalesce({ok.replace('{m}', 't.m')}, false) THEN named_struct('code', '{code}', 'path', {f"concat(t.p, array('{step}'))" if step else 't.p'}) END" for ok, code, step in rules]
+    return let_sql(F.struct(m.alias("m"), at.alias("p")), "t", f"array_compact(array({', '.join(cases)}))")
 
 
 def unknown_keys(v: Column, allowed: list[str], *path: Column | str) -> Column:
-    extra = F.array_except(keys(v), F.array(*[F.lit(a) for a in allowed]))
+    """An issue for each key that isn't allowed."""
+    names = ", ".join(f"'{a}'" for a in allowed)
+    extra = F.call_function("filter", keys(v), F.expr(f"k -> k NOT IN ({names})"))
     return F.transform(extra, lambda k: issue("schema.unknown-key", *path, k))
 
 

@@ -47,7 +47,7 @@ def row_issues(row: Column, allowed: list[str]) -> Column:
 
 def validate_rows(rows: DataFrame, allowed: list[str]) -> DataFrame:
     """rows (dataset, split, line, value) to dataset, split, line, code."""
-    return rows.select("dataset", "split", "line", F.explode(row_issues(F.col("value"), allowed)).alias("code"))
+    return exprs.unnest(rows, row_issues(F.col("value"), allowed), "code", "dataset", "split", "line")
 
 
 def keyed(rows: DataFrame) -> DataFrame:

@@ -24,5 +24,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows in as many parts as there are cores, if the scan gives fewer: a small file is one part, and what follows costs much a row.
+
+    Larger tables have more parts than that and aren't shuffled.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

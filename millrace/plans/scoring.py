@@ -9,7 +9,7 @@ from millrace.constants import STOP_WORDS
 from millrace.functions import exprs, variants
 from millrace.operators import evaluate, evidence, gate, match, shapes
 from millrace.operators.evaluate import accumulate
-from millrace.plans.registry import query, table
+from millrace.plans.registry import query, spread, table
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
 _TOKENS = f"list_filter(list_distinct(list_filter(regexp_split_to_array(lower(p_name || ' ' || p_type), '[^a-z0-9]+'), lambda x: length(x) > 2)), lambda x: NOT list_contains({_STOP}, x))"
@@ -52,7 +52,7 @@ def finding_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_FINDINGS} SELECT o, r, p, evidence, score FROM findings")
 def q_finding_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return finding_pairs(spark, sf_dir).select("o", F.explode("pairs").alias("x")).select("o", "x.*")
+    return exprs.unnest(finding_pairs(spark, sf_dir), F.col("pairs"), "x", "o").select("o", "x.*")
 
 
 @query(f"WITH {_FINDINGS} SELECT o, max(evidence) AS best FROM findings GROUP BY o")
@@ -77,7 +77,7 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT o, r, p, score FROM walk WHERE took"""
 )
 def q_greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matches(spark, sf_dir).select("o", F.explode("m").alias("x")).select("o", "x.r", "x.p", "x.score")
+    return exprs.unnest(matches(spark, sf_dir), F.col("m"), "x", "o").select("o", "x.r", "x.p", "x.score")
 
 
 # features: the parts of a supplier's nation against those one key further
@@ -215,7 +215,7 @@ def q_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a user's models as one sorted array: pairs inside the row
     own = u.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("model", (F.col("hits") > 0).alias("hit")))).alias("m"))
     pairs = F.flatten(F.transform("m", lambda a: F.transform(F.filter("m", lambda b: b["model"] > a["model"]), lambda b: F.struct(a["model"].alias("left"), b["model"].alias("right"), a["hit"].alias("a"), b["hit"].alias("b")))))
-    o = own.select(F.explode(pairs).alias("x")).select("x.*").groupBy("left", "right").agg(F.count_if(F.col("a") & F.col("b")).alias("both_matched"), F.count_if(F.col("a") & ~F.col("b")).alias("left_only"), F.count_if(~F.col("a") & F.col("b")).alias("right_only"), F.count_if(~F.col("a") & ~F.col("b")).alias("neither"))
+    o = exprs.unnest(own, pairs, "x").select("x.*").groupBy("left", "right").agg(F.count_if(F.col("a") & F.col("b")).alias("both_matched"), F.count_if(F.col("a") & ~F.col("b")).alias("left_only"), F.count_if(~F.col("a") & F.col("b")).alias("right_only"), F.count_if(~F.col("a") & ~F.col("b")).alias("neither"))
     return o.join(deltas, ["left", "right"])
 
 
@@ -244,8 +244,8 @@ def q_shape_review(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('{"findings":[{"title":'), pick(7, "5", '"t"'), F.lit(',"category":'), pick(5, '"bugs"', '"bug"'), F.lit(',"severity":"low","confidence":"high",'), pick(11, '"extra":1,', ""), F.lit('"reasoning":"r","recommendation":"r","whyTestsDoNotAlreadyCoverThis":"w","minimumFixScope":"m",'),
         pick(4, "", '"reproduction":null,'), F.lit('"suggestedRegressionTest":null,"evidence":[{"path":"a.py","startLine":'), pick(3, "1.5", "1.0"), F.lit(',"endLine":2,"symbol":null,"quote":null}]}]'), pick(13, "}", ',"inspected":{"files":[],"symbols":["s"],"notes":[]}}'),
     )
-    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") + F.col("l_linenumber")).alias("k")).select(variants.parse_strict(text).alias("v"))
-    issues = rows.select(F.explode(shapes.review_shape(F.col("v"))).alias("i"))
+    rows = spread(table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") + F.col("l_linenumber")).alias("k"))).select(variants.parse_strict(text).alias("v"))
+    issues = exprs.unnest(rows, shapes.review_shape(F.col("v")), "i")
     return issues.groupBy(F.col("i.code").alias("code")).agg(F.count("*").alias("n"))
 
 
@@ -263,8 +263,8 @@ def q_shape_map(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('{"features":[{"title":"t","summary":"s","confidence":"low","kind":'), pick(5, '"lib"', '"library"'), F.lit(',"entrypoints":[{"path":'), pick(3, '"b.py"', '"./a.py"'), F.lit(',"symbol":null,"route":null,"command":"x"}],"ownedFiles":[{"path":'), pick(7, '"../a.py"', '"a.py"'),
         F.lit(',"reason":"r"}],"contextFiles":[],"tests":['), pick(17, "1", '{"path":"a.py","command":null}'), F.lit('],"tags":["x"],"trustBoundaries":['), pick(11, '"net"', '"network"'), F.lit(']}],"created":'), pick(13, "-1", "2"), F.lit("}"),
     )
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")).select(variants.parse_strict(text).alias("v"))
-    issues = rows.select(F.explode(shapes.map_shape(F.col("v"), F.array(F.lit("a.py")))).alias("i"))
+    rows = spread(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))).select(variants.parse_strict(text).alias("v"))
+    issues = exprs.unnest(rows, shapes.map_shape(F.col("v"), F.array(F.lit("a.py"))), "i")
     return issues.groupBy(F.col("i.code").alias("code")).agg(F.count("*").alias("n"))
 
 
@@ -276,7 +276,7 @@ def q_shape_revalidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     body = F.concat(F.lit('{"outcome":'), F.when(k % 3 == 0, '"done"').otherwise('"open"'), F.lit(',"reasoning":"r",'), F.when(k % 7 == 0, '"x":0,').otherwise(""), F.lit('"commands":'), F.when(k % 5 == 0, "[1]").otherwise('["ls"]'), F.lit("}"))
     text = F.when(k % 19 == 0, F.lit("[]")).otherwise(body)
-    issues = table(spark, sf_dir, "orders").select(F.explode(shapes.revalidate_shape(variants.parse_strict(text))).alias("i"))
+    issues = exprs.unnest(spread(table(spark, sf_dir, "orders").select("o_orderkey")).select(variants.parse_strict(text).alias("v")), shapes.revalidate_shape(F.col("v")), "i")
     return issues.groupBy(F.col("i.code").alias("code")).agg(F.count("*").alias("n"))
 
 
