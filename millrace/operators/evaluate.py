@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.constants import COST_KEYS, LATENCY_KEYS, METRIC_CONTAINERS, WRAPPER_KEYS
+from millrace.constants import COST_KEYS, LATENCY_KEYS, METRIC_CONTAINERS, OUTCOMES, WRAPPER_KEYS
 from millrace.functions import exprs, variants
 from millrace.functions.variants import field, items, kind, text
-from millrace.operators import evidence, match, prompt, shapes
+from millrace.operators import evidence, gate, match, prompt, shapes
 
 # extraction
 
@@ -49,20 +49,24 @@ def unwrap(row: Column) -> Column:
     return F.when(kind(row) == "object", out)
 
 
-def metric(row: Column, names: list[str]) -> Column:
-    """The first of the fields that is there, at the top or below the metric containers, three levels deep."""
-    level, found = [row], []
-    for _ in range(4):
-        found += [field(v, n) for v in level for n in names]
-        level = [field(v, c) for v in level[:1] for c in METRIC_CONTAINERS] if len(found) == len(names) else []
-    return F.coalesce(*found)
+def metric(row: Column, names: list[str], depth: int = 3) -> Column:
+    """The first of the fields that is there (a null counts): at the top, else in a metric container, in it before beside it."""
 
+    def places(v: Column, left: int) -> Column:
+        inner = F.filter(F.array(*[field(v, c) for c in METRIC_CONTAINERS]), lambda x: x.isNotNull())
+        return F.concat(F.array(v), F.flatten(F.transform(inner, lambda x: places(x, left - 1)))) if left else F.array(v)
 
-def accumulate(v: Column, name: str) -> list[Column]:
-    """present, valid (a finite number from 0), invalid, sum, min, max and avg of a metric field (VARIANT or number)."""
+    found = F.transform(places(row, depth), lambda v: F.coalesce(*[field(v, n) for n in names]))
+    return F.get(F.filter(found, lambda x: x.isNotNull()), F.lit(0))
+
+
+def accumulate(v: Column, name: str, present: Column | None = None) -> list[Column]:
+    """valid (a finite number from 0), sum, min, max and avg, present and invalid of a metric field. present: whether it is there at all."""
     valid = v.isNotNull() & (v >= 0) & (v < F.lit(float("inf")))
+    there = v.isNotNull() if present is None else present
     own = F.when(valid, v)
-    return [F.count_if(valid).alias(f"{name}_valid"), F.round(F.coalesce(F.sum(own), F.lit(0.0)), 6).alias(f"{name}_sum"), F.round(F.min(own), 6).alias(f"{name}_min"), F.round(F.max(own), 6).alias(f"{name}_max"), F.round(F.avg(own), 6).alias(f"{name}_avg")]
+    others = [F.count_if(there).alias(f"{name}_present"), F.count_if(there & ~F.coalesce(valid, F.lit(False))).alias(f"{name}_invalid")]
+    return [F.count_if(valid).alias(f"{name}_valid"), F.round(F.coalesce(F.sum(own), F.lit(0.0)), 6).alias(f"{name}_sum"), F.round(F.min(own), 6).alias(f"{name}_min"), F.round(F.max(own), 6).alias(f"{name}_max"), F.round(F.avg(own), 6).alias(f"{name}_avg"), *others]
 
 
 def by_ordinal(reference: DataFrame, predicted: DataFrame) -> DataFrame:
@@ -70,6 +74,15 @@ def by_ordinal(reference: DataFrame, predicted: DataFrame) -> DataFrame:
     return reference.join(predicted.select("ordinal", F.col("value").alias("prediction")), "ordinal", "left")
 
 
+def row_counts(reference: DataFrame, predicted: DataFrame) -> DataFrame:
+    """One row: reference_rows, prediction_rows, extra_rows, missing_rows, json_line_errors. predicted: value, error."""
+    r = reference.agg(F.count("*").alias("reference_rows"))
+    p = predicted.agg(F.count("*").alias("prediction_rows"), F.count_if("error").alias("json_line_errors"))
+    both = r.crossJoin(F.broadcast(p))  # one row each
+    gap = lambda a, b: exprs.bounded_gap(F.col(a), F.col(b))
+    return both.select("*", gap("prediction_rows", "reference_rows").alias("extra_rows"), gap("reference_rows", "prediction_rows").alias("missing_rows"))
+
+
 # cases
 
 
@@ -77,11 +90,34 @@ def prompt_info(cases: DataFrame) -> DataFrame:
     p = F.col("prompt")
     blocks = prompt.file_blocks(prompt.section(p, "\nFiles:\n"))
     context = prompt.prompt_context(p)
-    included = F.filter(F.transform(items(field(context, "includedFiles")), lambda f: F.coalesce(text(f), text(field(f, "path")))), lambda x: x.isNotNull())
+    # files count as readable unless they say that they aren't
+    unreadable = lambda f: (kind(field(f, "readable")) == "boolean") & ~F.try_variant_get(f, "$.readable", "boolean")
+    readable = F.filter(items(field(context, "includedFiles")), lambda f: ~F.coalesce(unreadable(f), F.lit(False)))
+    included = F.filter(F.transform(readable, lambda f: text(field(f, "path"))), lambda x: x.isNotNull())
     with_blocks = cases.withColumn("blocks", blocks).withColumn("listed", prompt.listed(p)).withColumn("included", included)
     return with_blocks.withColumn("allowed", prompt.allowed_paths(F.col("listed"), F.col("included"), F.col("blocks"))).drop("listed", "included")
 
 
+def _prediction_issues(parsed: Column, more: list[str]) -> Column:
+    """Codes of a prediction row that has no output: why, and that its output can't be parsed. None for one that has."""
+    k = kind(F.col("prediction"))
+    why = F.when(F.coalesce(k.isin("missing", "null"), F.lit(True)), F.array(F.lit("prediction.missing-row"))).when(k != "object", F.array(F.lit("prediction.invalid-jsonl-row"))).otherwise(F.array(F.lit("unparseable-prediction"), *map(F.lit, more)))
+    return F.when(parsed, F.array().cast("array<string>")).otherwise(F.concat(why, F.array(F.lit("prediction.output-json-parse"))))
+
+
+def _measured(c: DataFrame) -> DataFrame:
+    """Adds latency and cost: whether they are there, and their numbers; and codes for those that are no number from 0."""
+    c = c.withColumns({"_latency": metric(F.col("prediction"), LATENCY_KEYS), "_cost": metric(F.col("prediction"), COST_KEYS)})
+    out = {}
+    for name, unit in (("latency", "ms"), ("cost", "usd")):
+        n = variants.number(F.col(f"_{name}"))
+        there = F.col(f"_{name}").isNotNull() & (kind(F.col("prediction")) == "object")
+        out |= {f"{name}_present": there, f"{name}_{unit}": F.when(there & (n >= 0), n)}
+    c = c.withColumns(out)
+    wrong = [F.when(F.col(f"{n}_present") & F.col(f"{n}_{u}").isNull(), F.lit(f"{n}.invalid")) for n, u in (("latency", "ms"), ("cost", "usd"))]
+    return c.withColumn("codes", F.concat("codes", F.array_compact(F.array(*wrong)))).drop("_latency", "_cost")
+
+
 def review_cases(cases: DataFrame) -> DataFrame:
     """One row a reference row with everything that metrics count. cases: ordinal, id, prompt, output, prediction.
 
@@ -89,33 +125,39 @@ def review_cases(cases: DataFrame) -> DataFrame:
     """
     c = prompt_info(cases).withColumn("predicted", unwrap(F.col("prediction")))
     parsed = F.col("predicted").isNotNull()
-    row_issue = F.when(F.coalesce(kind(F.col("prediction")).isin("missing", "null"), F.lit(True)), "prediction.missing-row").when(kind(F.col("prediction")) != "object", "prediction.invalid-jsonl-row").when(~parsed, "unparseable-prediction")
-    c = c.withColumns({"row_issue": row_issue, "shape": F.when(parsed, shapes.review_shape(F.col("predicted"))).otherwise(variants.no_issues()), "cited": F.when(parsed, evidence.review_evidence(F.col("predicted"), F.col("allowed"), F.col("blocks"))).otherwise(variants.no_issues())})
+    c = c.withColumns({"shape": F.when(parsed, shapes.review_shape(F.col("predicted"))).otherwise(variants.no_issues()), "cited": F.when(parsed, evidence.review_evidence(F.col("predicted"), F.col("allowed"), F.col("blocks"))).otherwise(variants.no_issues())})
     c = c.withColumns({"own": items(field(F.col("output"), "findings")), "found": items(field(F.col("predicted"), "findings"))})
     n = F.size("found")
     c = c.withColumns({"valid": evidence.valid_items(n, F.col("cited"), "findings"), "shaped": evidence.valid_items(n, F.col("shape"), "findings"), "schema_valid": parsed & (F.size("shape") == 0)})
     none = F.array().cast("array<struct<r:int,p:int,score:double>>")
     c = c.withColumn("matches", F.when(F.col("schema_valid"), match.greedy(match.candidates(F.col("own"), F.col("found"), F.col("valid")))).otherwise(none))
-    latency, cost = variants.number(metric(F.col("prediction"), LATENCY_KEYS)), variants.number(metric(F.col("prediction"), COST_KEYS))
-    codes = F.concat(F.transform("shape", lambda x: x["code"]), F.transform("cited", lambda x: x["code"]), F.when(F.col("row_issue").isNotNull(), F.array("row_issue")).otherwise(F.array().cast("array<string>")), F.when(~parsed, F.array(F.lit("prediction.output-json-parse"))).otherwise(F.array().cast("array<string>")))
+    c = c.withColumn("codes", F.concat(F.transform("shape", lambda x: x["code"]), F.transform("cited", lambda x: x["code"]), _prediction_issues(parsed, ["evidence.unparseable-prediction"])))
+    c = _measured(c.withColumn("parsed", parsed))
     return c.select(
         "ordinal",
         "id",
-        parsed.alias("parsed"),
+        "parsed",
         "schema_valid",
-        (parsed & (F.size("cited") == 0)).alias("evidence_valid"),
+        (F.col("parsed") & (F.size("cited") == 0)).alias("evidence_valid"),
         F.size("own").alias("reference_findings"),
         n.alias("predicted_findings"),
         F.size("shaped").alias("schema_valid_findings"),
         F.size("valid").alias("evidence_valid_findings"),
         F.size("matches").alias("matched_findings"),
         "matches",
-        codes.alias("codes"),
-        latency.alias("latency_ms"),
-        cost.alias("cost_usd"),
+        "codes",
+        *MEASURES,
     )
 
 
+MEASURES = ["latency_present", "latency_ms", "cost_present", "cost_usd"]
+
+
+def _measures(cases: DataFrame) -> list[Column]:
+    there = lambda n: F.col(f"{n}_present") if f"{n}_present" in cases.columns else None
+    return [*accumulate(F.col("latency_ms"), "latency", there("latency")), *accumulate(F.col("cost_usd"), "cost", there("cost"))]
+
+
 def review_metrics(cases: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Counters, rates and latency in one aggregation."""
     clean = F.col("reference_findings") == 0
@@ -124,9 +166,11 @@ def review_metrics(cases: DataFrame, by: list[str] | None = None) -> DataFrame:
         *[F.count_if(c).alias(f"{c}_rows") for c in ("parsed", "schema_valid", "evidence_valid")],
         F.count_if(clean).alias("clean_rows"),
         F.count_if(clean & (F.col("predicted_findings") == 0)).alias("clean_correct"),
+        F.count_if(clean & (F.col("predicted_findings") > 0)).alias("clean_false_positives"),
+        F.count_if(~clean).alias("nonclean_rows"),
+        F.count_if(~clean & (F.col("predicted_findings") > 0)).alias("nonclean_any"),
         *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("reference_findings", "predicted_findings", "matched_findings", "schema_valid_findings", "evidence_valid_findings")],
-        *accumulate(F.col("latency_ms"), "latency"),
-        *accumulate(F.col("cost_usd"), "cost"),
+        *_measures(cases),
     )
     return finalize(total)
 
@@ -137,15 +181,19 @@ def finalize(total: DataFrame) -> DataFrame:
 
 
 def map_cases(cases: DataFrame) -> DataFrame:
-    c = cases.withColumns({"predicted": unwrap(F.col("prediction")), "inventory": prompt.paths_in(prompt.walk_strings(prompt.inventory(F.col("prompt")), 4))})
+    """As review_cases, for features. Only an output of the right shape matches anything."""
+    c = cases.withColumns({"predicted": unwrap(F.col("prediction")), "inventory": prompt.paths_in(prompt.walk_strings(prompt.inventory(F.col("prompt"))))})
     c = c.withColumns({"shape": F.when(F.col("predicted").isNotNull(), shapes.map_shape(F.col("predicted"), F.col("inventory"))).otherwise(variants.no_issues()), "own": items(field(F.col("output"), "features")), "found": items(field(F.col("predicted"), "features"))})
-    c = c.withColumn("m", match.match_features(F.col("own"), F.col("found")))
-    return c.select("ordinal", "id", F.col("predicted").isNotNull().alias("parsed"), (F.col("predicted").isNotNull() & (F.size("shape") == 0)).alias("schema_valid"), F.size("own").alias("reference_features"), F.size("found").alias("predicted_features"), F.size("m.exact").alias("exact"), F.size("m.near").alias("near"), F.transform("shape", lambda x: x["code"]).alias("codes"))
+    c = c.withColumn("parsed", F.col("predicted").isNotNull())
+    c = c.withColumns({"schema_valid": F.col("parsed") & (F.size("shape") == 0), "shaped": evidence.valid_items(F.size("found"), F.col("shape"), "features"), "codes": F.concat(F.transform("shape", lambda x: x["code"]), _prediction_issues(F.col("parsed"), []))})
+    c = _measured(c.withColumn("m", F.when(F.col("schema_valid"), match.match_features(F.col("own"), F.col("found")))))
+    hits = [F.when(F.col("schema_valid"), F.size(f"m.{k}")).otherwise(0).alias(k) for k in ("exact", "near")]
+    return c.select("ordinal", "id", "parsed", "schema_valid", F.size("own").alias("reference_features"), F.size("found").alias("predicted_features"), F.size("shaped").alias("schema_valid_features"), *hits, "codes", *MEASURES)
 
 
 def map_metrics(cases: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Exact and near-inclusive precision, recall and f1."""
-    t = cases.groupBy(*(by or [])).agg(F.count("*").alias("rows"), F.count_if("parsed").alias("parsed_rows"), F.count_if("schema_valid").alias("schema_valid_rows"), *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("reference_features", "predicted_features", "exact", "near")])
+    t = cases.groupBy(*(by or [])).agg(F.count("*").alias("rows"), F.count_if("parsed").alias("parsed_rows"), F.count_if("schema_valid").alias("schema_valid_rows"), *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("reference_features", "predicted_features", "schema_valid_features", "exact", "near")], *_measures(cases))
     for name, hits in (("exact", F.col("exact")), ("near", F.col("exact") + F.col("near"))):
         t = t.withColumns({f"{name}_precision": exprs.ratio(hits, F.col("predicted_features")), f"{name}_recall": exprs.ratio(hits, F.col("reference_features"))})
         t = t.withColumn(f"{name}_f1", exprs.f1(F.col(f"{name}_precision"), F.col(f"{name}_recall")))
@@ -153,14 +201,25 @@ def map_metrics(cases: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def revalidate_cases(cases: DataFrame) -> DataFrame:
+    """As review_cases, for outcomes. Only an output of the right shape is exact or near."""
     c = cases.withColumn("predicted", unwrap(F.col("prediction")))
-    a, b = text(field(F.col("output"), "outcome")), text(field(F.col("predicted"), "outcome"))
-    shape = F.when(F.col("predicted").isNotNull(), shapes.revalidate_shape(F.col("predicted"))).otherwise(variants.no_issues())
-    return c.select("ordinal", "id", F.col("predicted").isNotNull().alias("parsed"), (F.col("predicted").isNotNull() & (F.size(shape) == 0)).alias("schema_valid"), a.alias("reference_outcome"), b.alias("predicted_outcome"), F.coalesce(a == b, F.lit(False)).alias("exact"), match.near_outcome(a, b).alias("near"), F.transform(shape, lambda x: x["code"]).alias("codes"))
+    parsed = F.col("predicted").isNotNull()
+    c = c.withColumns({"shape": F.when(parsed, shapes.revalidate_shape(F.col("predicted"))).otherwise(variants.no_issues()), "reference_outcome": text(field(F.col("output"), "outcome")), "predicted_outcome": text(field(F.col("predicted"), "outcome"))})
+    c = c.withColumns({"parsed": parsed, "schema_valid": parsed & (F.size("shape") == 0), "codes": F.concat(F.transform("shape", lambda x: x["code"]), _prediction_issues(parsed, []))})
+    a, b = F.col("reference_outcome"), F.col("predicted_outcome")
+    exact, near = F.col("schema_valid") & F.coalesce(a == b, F.lit(False)), F.col("schema_valid") & match.near_outcome(a, b)
+    return _measured(c).select("ordinal", "id", "parsed", "schema_valid", a, b, exact.alias("exact"), near.alias("near"), "codes", *MEASURES)
+
+
+def outcome_counts(cases: DataFrame, column: str) -> DataFrame:
+    """outcome, rows: the four outcomes, 0 for those that don't occur, and any other there is."""
+    found = cases.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("outcome")).agg(F.count("*").alias("rows"))
+    grid = cases.sparkSession.createDataFrame([(o,) for o in OUTCOMES], "outcome string")
+    return grid.join(found, "outcome", "full").select("outcome", F.coalesce("rows", F.lit(0)).alias("rows"))
 
 
 def revalidate_metrics(cases: DataFrame, by: list[str] | None = None) -> DataFrame:
-    t = cases.groupBy(*(by or [])).agg(F.count("*").alias("rows"), F.count_if("exact").alias("exact"), F.count_if("near").alias("near"))
+    t = cases.groupBy(*(by or [])).agg(F.count("*").alias("rows"), *[F.count_if(c).alias(f"{c}_rows") for c in ("parsed", "schema_valid")], F.count_if("exact").alias("exact"), F.count_if("near").alias("near"), *_measures(cases))
     return t.withColumns({"exact_accuracy": exprs.ratio(F.col("exact"), F.col("rows")), "near_accuracy": exprs.ratio(F.col("near"), F.col("rows"))})
 
 
@@ -169,7 +228,7 @@ def revalidate_metrics(cases: DataFrame, by: list[str] | None = None) -> DataFra
 
 def issue_histogram(cases: DataFrame, by: list[str] | None = None) -> DataFrame:
     """code, issues."""
-    return cases.select(*(by or []), F.explode("codes").alias("code")).groupBy(*(by or []), "code").agg(F.count("*").alias("issues"))
+    return exprs.unnest(cases, F.col("codes"), "code", *(by or [])).groupBy(*(by or []), "code").agg(F.count("*").alias("issues"))
 
 
 def issue_categories(histogram: DataFrame) -> DataFrame:
@@ -201,9 +260,19 @@ def pair_deltas(metrics: DataFrame, names: list[str]) -> DataFrame:
     return a.join(b, F.col("a.model") < F.col("b.model")).select(F.col("a.model").alias("left"), F.col("b.model").alias("right"), *[exprs.nullable_delta(F.col(f"a.{n}"), F.col(f"b.{n}")).alias(f"delta_{n}") for n in names])
 
 
+def score_report(operation: str, summary: DataFrame, metrics: DataFrame) -> DataFrame:
+    """One row, report: the JSON text of a score report. summary: of reference_summary; metrics: of review_metrics, with label, a row for each model."""
+    fields = {**gate.REPORT_FIELDS, **gate.REPORT_RATES}
+    model = F.struct("label", F.struct(*[F.col(ours).alias(theirs) for theirs, ours in fields.items()]).alias("metrics"))
+    models = metrics.agg(F.array_sort(F.collect_list(model)).alias("models"))
+    both = summary.select(F.struct("rows", F.col("parseable").alias("outputParseableRows"), F.col("schema_valid").alias("schemaValidRows"), F.col("clean_rows").alias("cleanRows"), F.col("finding_rows").alias("findingRows"), "findings").alias("reference")).crossJoin(F.broadcast(models))  # one row each
+    return both.select(F.to_json(F.struct(F.lit(True).alias("deterministic"), F.lit(operation).alias("operation"), "reference", "models")).alias("report"))
+
+
 def reference_summary(refs: DataFrame) -> DataFrame:
-    """rows, parseable, clean, finding rows and findings. An unreadable reference counts as clean."""
+    """rows, parseable, schema_valid, clean, finding rows and findings. An unreadable reference counts as clean."""
     n = F.size(items(field(F.col("output"), "findings")))
-    return refs.agg(F.count("*").alias("rows"), F.count_if(F.col("output").isNotNull()).alias("parseable"), F.count_if(n == 0).alias("clean_rows"), F.count_if(n > 0).alias("finding_rows"), F.coalesce(F.sum(n), F.lit(0)).alias("findings"))
+    valid = F.col("output").isNotNull() & (F.size(shapes.review_shape(F.col("output"))) == 0)
+    return refs.agg(F.count("*").alias("rows"), F.count_if(F.col("output").isNotNull()).alias("parseable"), F.count_if(valid).alias("schema_valid"), F.count_if(n == 0).alias("clean_rows"), F.count_if(n > 0).alias("finding_rows"), F.coalesce(F.sum(n), F.lit(0)).alias("findings"))
 
 

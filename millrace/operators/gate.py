@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.constants import THRESHOLDS
-from millrace.functions import exprs
+from millrace.functions import exprs, variants
 
 
 def check_thresholds(thresholds: dict[str, float]) -> dict[str, float]:
@@ -16,6 +16,56 @@ def check_thresholds(thresholds: dict[str, float]) -> dict[str, float]:
     return THRESHOLDS | thresholds
 
 
+#: Fields of a model's metrics in a score report, and what they are called here.
+REPORT_FIELDS = {
+    "referenceRows": "rows",
+    "outputParseableRows": "parsed_rows",
+    "schemaValidRows": "schema_valid_rows",
+    "evidenceValidRows": "evidence_valid_rows",
+    "cleanReferenceRows": "clean_rows",
+    "cleanCorrectRows": "clean_correct",
+    "referenceFindings": "reference_findings",
+    "predictedFindings": "predicted_findings",
+    "matchedFindings": "matched_findings",
+}
+REPORT_RATES = {"precision": "precision", "recall": "recall", "f1": "f1", "cleanAccuracy": "clean_accuracy"}
+
+
+def _required(holds: Column, value: Column, message: str) -> Column:
+    return F.when(F.coalesce(holds, F.lit(False)), value).otherwise(F.raise_error(F.lit(message)).cast("string"))
+
+
+def _counted(metrics: Column, name: str, whole: bool) -> Column:
+    """A field's number; fails if it isn't one, or isn't a whole one from 0."""
+    kind = "long" if whole else "double"
+    wrong = F.raise_error(F.lit(f"metrics.{name} isn't a number that counts")).cast(kind)
+
+    def checked(n: Column) -> Column:
+        good = (n >= 0) & (n == F.floor(n)) if whole else n.isNotNull()
+        return F.when(F.coalesce(good, F.lit(False)), n.cast(kind)).otherwise(wrong)
+
+    return exprs.let(variants.number(variants.field(metrics, name)), checked)
+
+
+def score_report(reports: DataFrame) -> DataFrame:
+    """A row for each model of score reports (value: VARIANT): operation, label, counters and rates.
+
+    A report must say that it is deterministic, name its operation and have a model; counters must be whole numbers from 0 and rates numbers. Anything else fails.
+    """
+    v = F.col("value")
+    models = variants.items(variants.field(v, "models"))
+    operation = variants.text(variants.field(v, "operation"))
+    fit = (variants.kind(variants.field(v, "deterministic")) == "boolean") & F.try_variant_get(v, "$.deterministic", "boolean")
+    checked = _required(fit, operation, "a score report must be deterministic")
+    checked = _required((F.length(operation) > 0) & (F.size(models) > 0), checked, "a score report must name its operation and have a model")
+    rows = reports.select(checked.alias("operation"), F.explode_outer(models).alias("model"))
+    metrics = variants.field(F.col("model"), "metrics")
+    cells = [_counted(metrics, theirs, True).alias(ours) for theirs, ours in REPORT_FIELDS.items()]
+    cells += [_counted(metrics, theirs, False).alias(ours) for theirs, ours in REPORT_RATES.items()]
+    label = variants.text(variants.field(F.col("model"), "label"))
+    return rows.select("operation", _required(F.length(label) > 0, label, "a model must have a label").alias("label"), *cells)
+
+
 def quality_gate(metrics: DataFrame, thresholds: dict[str, float] | None = None) -> DataFrame:
     """metrics (of review_metrics) with rates, a pass for each threshold, and passed. Review only: other metrics raise."""
     limits = check_thresholds(thresholds or {})

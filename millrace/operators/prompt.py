@@ -62,6 +62,13 @@ def finding_context(prompt: Column) -> Column:
     return json_section(prompt, FINDING_MARK)
 
 
+def finding_paths(prompt: Column) -> Column:
+    """Distinct normalized paths of the evidence in the prompt's finding, sorted."""
+    evidence = variants.items(variants.field(finding_context(prompt), "evidence"))
+    paths = F.transform(evidence, lambda e: exprs.normalize_path(variants.text(variants.field(e, "path"))))
+    return F.array_sort(F.array_distinct(F.filter(paths, lambda p: p.isNotNull())))
+
+
 def inventory(prompt: Column) -> Column:
     return json_section(prompt, INVENTORY_MARK, "\n" + SHAPE_MARK)
 

@@ -187,7 +187,7 @@ def q_inventory_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.collect_list(F.struct(F.concat(F.lit("./src/"), F.col("s_suppkey"), F.lit(".py")).alias("path"), F.lit(1).alias("size"))).alias("files"))
     nested = F.to_json(F.struct(F.struct(F.col("files"), F.lit("just words").alias("note"), F.concat(F.lit("README-"), F.col("s_nationkey")).alias("top")).alias("tree")))
     text = F.concat(F.lit("Repository inventory:\n"), nested, F.lit("\n\nJSON shape: {}"))
-    found = prompt.paths_in(prompt.walk_strings(F.col("v"), 4))
+    found = prompt.paths_in(prompt.walk_strings(F.col("v")))
     rows = s.select("s_nationkey", prompt.inventory(text).alias("v"))
     return rows.select(F.col("s_nationkey").alias("nationkey"), F.size(found).cast("long").alias("n_paths"), F.md5(F.array_join(found, ",")).alias("paths_md5"))
 
