@@ -10,7 +10,9 @@ W - P + 1 words that start at positions in D modulo P (4 of 13): two equal windo
 an aligned equal anchor. Then
 
 1. anchors are counted by hash; those that occur more than once go back to their documents;
-2. around them, the full windows are hashed (the extension), and each hash's earliest place is found;
+2. around them, the full windows are hashed (the extension) with 128 bits, from two kinds of hash of their words' 64-bit
+   hashes, and each hash's earliest place is found: among 1e13 windows (100 TB) two different ones are equal in all
+   bits with a probability of about 1e-13;
 3. windows that aren't the earliest go back to their documents and mark their words.
 
 Texts that are equal to an earlier document's are settled by their digest first. Hashes travel as packed
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.bpe import ragged
-from millrace.llm.common import U64, chunks, mix, partitions_for, run_hashes, stage_table, text_buffers, text_bytes, within, word_hashes, words
+from millrace.llm.common import U64, chunks, give_back, mix, partitions_for, run_hashes, span_hashes, stage_table, text_buffers, text_bytes, within, word_hashes, words
 
 WINDOW, PERIOD, COVER = 20, 13, (0, 1, 3, 9)  # every residue modulo 13 is a difference of two of these
 #: Bytes of packed hashes that a range's task gets, about.
@@ -45,45 +47,54 @@ PACK_BYTES = 16 << 20
 
 
 class _Packed:
-    """Entries (hash, document, place) of many documents, dealt out by ranges of hashes."""
+    """Entries (hash, more bits of it, document, place) of many documents, dealt out by ranges of hashes."""
 
     def __init__(self, ranges: int):
         self.ranges = ranges
         self.docs: list[np.ndarray] = []
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         self.rows = 0
 
-    def add(self, docs: np.ndarray, row: np.ndarray, place: np.ndarray, hashes: np.ndarray) -> None:
-        """docs: ids of some rows; row: number among them of each entry."""
+    def add(self, docs: np.ndarray, row: np.ndarray, place: np.ndarray, hashes: np.ndarray, more: np.ndarray) -> None:
+        """docs: ids of some rows; row: number among them of each entry; more: bits beside the hashes (none for anchors)."""
         self.docs.append(docs)
-        self.parts.append((hashes, row + self.rows, place))
+        self.parts.append((hashes, more, row + self.rows, place))
         self.rows += len(docs)
 
-    def take(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def take(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Entries in order of hash, document id and place; the first of each hash; and how many it has."""
         docs = np.concatenate(self.docs) if self.docs else np.zeros(0, np.int64)
-        h, row, place = (np.concatenate([p[i] for p in self.parts]) if self.parts else np.zeros(0, np.int64) for i in range(3))
+        h, more, row, place = (np.concatenate([p[i] for p in self.parts]) if self.parts else np.zeros(0, np.int64) for i in range(4))
         self.__init__(self.ranges)
-        order = np.lexsort((place, docs[row], h)) if len(h) else np.zeros(0, np.int64)
+        order = np.lexsort((place, docs[row], more, h) if len(more) else (place, docs[row], h)) if len(h) else np.zeros(0, np.int64)
         h, doc, place = h[order].astype(U64), docs[row][order] if len(h) else docs, place[order]
-        head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-        return h, doc, place, head, np.diff(np.concatenate([head, [len(h)]]))
+        more = more[order] if len(more) else more
+        head = np.flatnonzero(_new(h, more))
+        return h, more, doc, place, head, np.diff(np.concatenate([head, [len(h)]]))
 
 
-def _dealt(h: np.ndarray, doc: np.ndarray, place: np.ndarray, many: np.ndarray, ranges: int, kind: str) -> pa.RecordBatch:
+def _new(h: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """Where another hash begins, of hashes in order. more: their further bits, or nothing."""
+    if not len(h):
+        return np.zeros(0, bool)
+    return np.concatenate([[True], (h[1:] != h[:-1]) | (more[1:] != more[:-1] if len(more) else False)])
+
+
+def _dealt(h: np.ndarray, more: np.ndarray, doc: np.ndarray, place: np.ndarray, many: np.ndarray, ranges: int, kind: str) -> pa.RecordBatch:
     """A row for each range of hashes: its entries as arrays, in order of documents, which compresses well.
 
     kind: of the hashes that are kept. Anchors keep 32 bits beside the range: a chance match only
-    makes a window that the next step tells apart by all its 64 bits.
+    makes a window that the next step tells apart by all its 128 bits.
     """
     part = ((h >> U64(32)) * U64(ranges) >> U64(32)).astype(np.int64)
     order = np.lexsort((place, doc, part))
     h, doc, place, many, part = h[order], doc[order], place[order], many[order], part[order]
+    more = more[order] if len(more) else more
     edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
     ends = np.concatenate([edges[1:], [len(part)]])
     low = h & U64(0xFFFFFFFF) if kind == "<u4" else h
-    cells = [pa.array([a[x:y].astype(k).tobytes() for x, y in zip(edges, ends)], pa.binary()) for a, k in ((low, kind), (doc, "<i8"), (place, "<i4"), (many, "u1"))]
-    return pa.RecordBatch.from_arrays([pa.array(part[edges], pa.int64()), cells[0], pa.nulls(len(edges), pa.int64()), cells[2], cells[1], cells[3]], names=_ROW)
+    cells = [pa.array([a[x:y].astype(k).tobytes() for x, y in zip(edges, ends)], pa.binary()) for a, k in ((low, kind), (more, "<u8"), (doc, "<i8"), (place, "<i4"), (many, "u1"))]
+    return pa.RecordBatch.from_arrays([pa.array(part[edges], pa.int64()), cells[0], cells[1], pa.nulls(len(edges), pa.int64()), cells[3], cells[2], cells[4]], names=_ROW)
 
 
 def _marks(doc: np.ndarray, place: np.ndarray, blocks: int, part: int = -1) -> pa.RecordBatch:
@@ -95,11 +106,11 @@ def _marks(doc: np.ndarray, place: np.ndarray, blocks: int, part: int = -1) -> p
     ends = np.concatenate([edges[1:], [len(doc)]])
     docs, places = (pa.array([a[x:y].astype(k).tobytes() for x, y in zip(edges, ends)], pa.binary()) for a, k in ((doc, "<i8"), (place, "<i4")))
     empty = pa.nulls(len(edges), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(edges), part), pa.int64()), empty, pa.array(block[edges], pa.int64()), places, docs, empty], names=_ROW)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(edges), part), pa.int64()), empty, empty, pa.array(block[edges], pa.int64()), places, docs, empty], names=_ROW)
 
 
-_ROW = ["part", "h", "block", "place", "doc", "many"]
-_ROW_DDL = "part long, h binary, block long, place binary, doc binary, many binary"
+_ROW = ["part", "h", "more", "block", "place", "doc", "many"]
+_ROW_DDL = "part long, h binary, more binary, block long, place binary, doc binary, many binary"
 _MARKED = ["block", "doc", "place"]
 
 
@@ -109,7 +120,7 @@ def _entries(batches: Iterator[pa.RecordBatch], ranges: int, window: int, period
     packed, held = _Packed(ranges), 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        h, doc, place, head, count = packed.take()
+        h, more, doc, place, head, count = packed.take()
         if not len(h):
             return
         known = np.repeat(count > 1, count)
@@ -117,7 +128,7 @@ def _entries(batches: Iterator[pa.RecordBatch], ranges: int, window: int, period
             known[head] = False  # a window that is the batch's earliest may be the earliest of all
         if known.any():
             yield _marks(doc[known], place[known], ranges, int(h[0] % U64(ranges)))
-        yield _dealt(h[head], doc[head], place[head], count > 1, ranges, "<u4" if anchors else "<u8")
+        yield _dealt(h[head], more if anchors else more[head], doc[head], place[head], count > 1, ranges, "<u4" if anchors else "<u8")
 
     for b in batches:
         data, offsets = text_buffers(b.column("text"))
@@ -139,13 +150,15 @@ def _entries(batches: Iterator[pa.RecordBatch], ranges: int, window: int, period
                 np.add.at(ok, to + 1, -1)
                 ok = np.cumsum(ok)[at] > 0
             if ok.any():
-                hashes = run_hashes(word_hashes(data[offsets[x] : offsets[y]], first, last), span)[at[ok]]
-                packed.add(docs[x:y], row[ok], (at - firsts[row])[ok], hashes)
+                own = word_hashes(data[offsets[x] : offsets[y]], first, last)
+                more = np.zeros(0, U64) if anchors else span_hashes(mix(own), at[ok], at[ok] + span)
+                packed.add(docs[x:y], row[ok], (at - firsts[row])[ok], run_hashes(own, span)[at[ok]], more)
             held += int(offsets[y] - offsets[x])
             if held >= PACK_BYTES:
                 yield from flush()
                 held = 0
     yield from flush()
+    give_back()
 
 
 def _repeated(anchors: bool, blocks: int):
@@ -154,10 +167,10 @@ def _repeated(anchors: bool, blocks: int):
     def run(key: tuple, t: pa.Table) -> pa.Table:
         known = t.filter(t.column("h").is_null()).select(_MARKED)
         t = t.filter(t.column("h").is_valid())
-        h, doc, place, many = (np.frombuffer(b"".join(t.column(c).to_pylist()), k) for c, k in (("h", "<u4" if anchors else "<u8"), ("doc", "<i8"), ("place", "<i4"), ("many", "u1")))
-        order = np.lexsort((place, doc, h))
+        h, more, doc, place, many = (np.frombuffer(b"".join(t.column(c).to_pylist()), k) for c, k in (("h", "<u4" if anchors else "<u8"), ("more", "<u8"), ("doc", "<i8"), ("place", "<i4"), ("many", "u1")))
+        order = np.lexsort((place, doc, h) if anchors else (place, doc, more, h))
         h, doc, place, many = h[order], doc[order], place[order], many[order]
-        first = np.concatenate([[True], h[1:] != h[:-1]])[: len(h)]
+        first = _new(h, more if anchors else more[order])
         head = np.flatnonzero(first)
         count = np.diff(np.concatenate([head, [len(h)]]))
         # anchors: entries that repeat in their batch have their marks already
@@ -220,6 +233,7 @@ def _kept(window: int):
                 [*[b.column(c) for c in names], pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())],
                 names=[*names, "n_words", "n_removed", "kept", "kept_sha256"],
             )
+        give_back()
 
     return run
 
@@ -239,16 +253,18 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
     numbered = rows.withColumn("row", F.col("doc_id")) if stats["n"] == stats["d"] else _numbered(rows)
     firsts = numbered.groupBy("digest").agg(F.min("row").alias("row"))
     copies = stage_table(numbered.select("row", "digest").join(firsts, ["row", "digest"], "left_anti").select("row"), "copies")
+    # both joins below deal out the same two columns by row, so texts are shuffled once; the rest joins them as slim rows
     heads = numbered.select("row", "text")
 
     args = (window, period, tuple(cover))
     ranges = partitions_for(docs.sparkSession, stats["size"] * 4 // 5, RANGE_BYTES)
     anchors = heads.mapInArrow(lambda it: _entries(it, ranges, *args, True), _ROW_DDL)
-    near = _gathered(anchors, True, ranges)
-    around = heads.join(copies, "row", "left_anti").join(near, "row").select("row", "text", "marks")
+    near = _gathered(anchors, True, ranges).join(copies, "row", "left_anti")
+    around = heads.join(near, "row").select("row", "text", "marks")
     windows = around.mapInArrow(lambda it: _entries(it, ranges, *args, False), _ROW_DDL)
     late = _gathered(windows, False, ranges)
-    whole = numbered.drop("digest").join(late, "row", "left").join(copies.withColumn("copy", F.lit(True)), "row", "left")
+    rest = numbered.select("row", "doc_id", *more).join(copies.withColumn("copy", F.lit(True)), "row", "left")
+    whole = heads.join(late, "row", "left").join(rest, "row")
     marked = whole.select("doc_id", *more, F.coalesce("text", F.lit("")).alias("text"), F.coalesce("marks", F.lit(b"")).alias("marks"), F.coalesce("copy", F.lit(False)).alias("copy"))
     made = [T.StructField(n, k) for n, k in (("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept", T.StringType()), ("kept_sha256", T.StringType()))]
     return marked.mapInArrow(_kept(window), T.StructType([*marked.select("doc_id", *more).schema.fields, *made]))
