@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import U64, chunks, mix, partitions_for, run_hashes, stage_table, text_buffers, within, word_hashes, words
+from millrace.llm.common import U64, chunks, give_back, mix, partitions_for, run_hashes, stage_table, text_buffers, within, word_hashes, words
 from millrace.llm.components import components
 
 K, THRESHOLD, TOLERANCE = 5, 0.8, 1e-5
@@ -200,6 +200,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [b.column("doc_id").slice(x, rows), pa.array(digest, pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary()), lists, pa.array(np.diff(places), pa.int64())],
                 names=["doc_id", "digest", "sig", "bands", "n_sh"],
             )
+    give_back()
 
 
 def _flag(threshold: float, tolerance: float):
@@ -284,6 +285,7 @@ def _verify(threshold: float, tolerance: float):
             if len(some):
                 heads = np.array([node[root(int(i))] for i in some], np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(node[some], pa.int64()), pa.array(heads, pa.int64()), pa.array(links[some], pa.int64())], names=["node", "head", "links"])
+        give_back()
 
     return run
 
@@ -297,6 +299,7 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             sets += [np.unique(own[places[i] : places[i + 1]]).astype("<u8").tobytes() for i in range(y - x)]
         names = [c for c in b.schema.names if c != "text"]
         yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(sets, pa.binary())], names=[*names, "shingles"])
+    give_back()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
@@ -313,7 +316,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     nodes = stage_table(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     bands = nodes.where("n_sh > 0").select("node", "n_sh", F.posexplode("bands").alias("band", "key"))
-    full = bands.groupBy("key").agg(F.count("*").alias("m"), F.sum("n_sh").alias("sh")).where("m > 1")
+    # a table of its own, so that a hot bucket's members may be split over tasks in the join
+    full = stage_table(bands.groupBy("key").agg(F.count("*").alias("m"), F.sum("n_sh").alias("sh")).where("m > 1"), "buckets")
     parts = F.ceil(F.greatest(F.col("m") / BLOCK_ROWS, F.col("sh") * 8 / BLOCK_BYTES)).cast("int")
     full = full.select("key", F.when(parts > 1, parts + 1).otherwise(1).alias("parts"))
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
@@ -339,9 +343,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     roots = components(links.select(F.col("node").alias("a"), F.col("head").alias("b")).where("a <> b").distinct())
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
-    named = nodes.select("node", "digest", "n", "first_id").join(roots, "node", "left").join(counts, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    tops = named.groupBy("root").agg(F.min("first_id").alias("class_id"), F.min(F.struct(F.col("first_id").isNull().alias("x"), "first_id", "digest"))["digest"].alias("top"))
-    named = named.join(tops, "root").select("digest", "class_id", "n", "first_id", F.coalesce("links", F.lit(0)).alias("links"), (F.col("top") == F.col("digest")).alias("leads"))
+    linked = stage_table(nodes.select("node", "digest", "first_id").join(roots, "node"), "linked")
+    tops = stage_table(linked.groupBy("root").agg(F.min("first_id").alias("class_id"), F.min(F.struct(F.col("first_id").isNull().alias("x"), "first_id", "digest"))["digest"].alias("top")), "tops")
+    placed = linked.join(tops, "root").select("node", "class_id", (F.col("top") == F.col("digest")).alias("leads"))
+    named = nodes.select("node", "digest", "n", "first_id").join(placed, "node", "left").join(counts, "node", "left")
+    named = named.select(
+        "digest",
+        F.when(F.col("leads").isNull(), F.col("first_id")).otherwise(F.col("class_id")).alias("class_id"),
+        "n",
+        "first_id",
+        F.coalesce("links", F.lit(0)).alias("links"),
+        F.coalesce("leads", F.lit(True)).alias("leads"),
+    )
     ids = rows.select("doc_id", F.unhex(F.md5("text")).alias("digest"))
     out = ids.join(named, "digest", "left")
     alone = F.col("digest").isNull()
