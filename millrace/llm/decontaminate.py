@@ -28,9 +28,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fresh, stage_table
+from millrace.llm.common import broadcast_if_small, drop_staged, fresh, semi_join, stage_table
 
 K, THRESHOLD, RADIUS, BITS = 5, 0.8, 22, 64
+#: Runs that a counter of 16 bits can count.
+LANE_RUNS = 65_535
+#: Bytes of a digest in a broadcast, with overhead.
+DIGEST_BYTES = 64
 #: Item runs are broadcast up to this size (24 bytes each and overhead), joined by shuffle beyond.
 BROADCAST_BYTES, RUN_BYTES = 8 << 20, 64
 
@@ -56,28 +60,23 @@ def runs_of(words: Column, k: int) -> Column:
 def simhash(runs: Column) -> Column:
     """64 bits: bit b is set if more than half of the runs' hashes have it.
 
-    Sixteen sums hold four counters of 16 bits each; arrays of over 65,535 runs are halved in scale first.
+    Sixteen sums hold four counters of 16 bits each, of at most LANE_RUNS runs; such parts' counters are added up as 64 longs.
     """
     mask = F.lit(0x0001000100010001)
-    zero = F.array_repeat(F.lit(0).cast("long"), 16)
-    n = F.size(runs)
-    every = F.ceil((n + 1) / 65535).cast("int")
-    used = F.filter(runs, lambda _, i: i % every == 0)
-    sums = F.aggregate(used, zero, lambda acc, h: F.transform(acc, lambda a, j: a + _shift(h, j).bitwiseAND(mask)))
-    half = F.size(used) / 2
+    nothing = F.lit(0).cast("long")
+    zero = F.array_repeat(nothing, 16)
 
-    def bits(s: Column) -> Column:
-        nothing = F.lit(0).cast("long")
-        out = nothing
-        for lane in range(0, BITS, 16):
+    def counters(part: Column) -> Column:
+        sums = F.aggregate(part, zero, lambda acc, h: F.transform(acc, lambda a, j: a + _shift(h, j).bitwiseAND(mask)))
+        lane = lambda s, at: F.transform(s, lambda a: F.shiftrightunsigned(a, at).bitwiseAND(F.lit(0xFFFF)))
+        return let(sums, lambda s: F.concat(*[lane(s, at) for at in range(0, BITS, 16)]))
 
-            def bit(a: Column, j: Column) -> Column:
-                return F.when(F.shiftrightunsigned(a, lane).bitwiseAND(F.lit(0xFFFF)) > half, _left(j + lane)).otherwise(nothing)
+    def bits(r: Column) -> Column:
+        parts = F.sequence(F.lit(0), F.floor(F.greatest(F.size(r) - 1, F.lit(0)) / LANE_RUNS).cast("int"))
+        total = F.aggregate(parts, F.array_repeat(nothing, BITS), lambda acc, i: F.zip_with(acc, counters(F.slice(r, i * LANE_RUNS + 1, LANE_RUNS)), lambda a, b: a + b))
+        return F.aggregate(F.transform(total, lambda n, b: F.when(n > F.size(r) / 2, _left(b)).otherwise(nothing)), nothing, lambda a, x: a.bitwiseOR(x))
 
-            out = out.bitwiseOR(F.aggregate(F.transform(s, bit), nothing, lambda a, x: a.bitwiseOR(x)))
-        return out
-
-    return let(sums, bits)
+    return let(runs, bits)
 
 
 def _shift(h: Column, j: Column) -> Column:
@@ -113,6 +112,14 @@ def blocks(bits: Column, radius: int) -> Column:
 
 def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = K, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
     """doc_id, item_id, similarity (of the best window), distance, word (where it starts), digest (of the document's text)."""
+    best, named = text_matches(docs, items, text, item_id, item_text, k, threshold, radius)
+    ids = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.unhex(F.md5(F.col(f"`{text}`"))).alias("digest"))
+    # both are tables of their own, so a hot text's rows may be split over tasks where they are joined by shuffle
+    return ids.join(broadcast_if_small(best, 2 * DIGEST_BYTES), "digest").join(named.select("item", "item_id"), "item").select("doc_id", "item_id", "similarity", "distance", "word", "digest")
+
+
+def text_matches(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = K, threshold: float = THRESHOLD, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
+    """Matches of distinct texts and items (digest, item, similarity, distance, word), and the items' names (item_id, item)."""
     named = items.select(F.col(f"`{item_id}`").alias("item_id"), words_of(F.col(f"`{item_text}`")).alias("words")).where("size(words) > 0")
     named = stage_table(named.withColumn("item", F.md5(F.array_join("words", " "))), "items")
     # a row for each distinct item: its size in words, run length, runs
@@ -132,7 +139,7 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
     seeds = None
     for n in about["ks"] or [k]:  # one run length, unless an item has fewer words
         every = texts.select("digest", let(words_of(F.col("text")), lambda w: F.struct(F.size(w).alias("n"), runs_of(w, n).alias("runs"))).alias("s"))
-        every = every.select("digest", F.col("s.n").alias("n"), F.posexplode("s.runs").alias("place", "run"))
+        every = every.select("digest", F.col("s.n").alias("n"), F.posexplode_outer("s.runs").alias("place", "run"))  # outer: no filter on the runs, which would make them twice
         found = every.join(places.where(F.col("k") == n), "run")
         aligned = [F.greatest(F.lit(0), F.least(F.col("place") - F.col(at), F.col("n") - F.col("size"))) for at in ("last_at", "first_at")]
         found = found.select("digest", "item", "size", "k", "n", "place", aligned[0].alias("low"), aligned[1].alias("high"))
@@ -143,12 +150,13 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
     seeds = seeds.withColumn("least", F.greatest(F.lit(1), least))
     seeds = stage_table(seeds.select("digest", "item", "k", "n_runs", starts_of().alias("starts")).where("size(starts) > 0"), "seeds")
 
-    wanted = texts.join(seeds.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
+    digests = stage_table(seeds.select("digest").distinct(), "digests")
+    wanted = semi_join(texts, digests, "digest", DIGEST_BYTES).groupBy("digest").agg(F.first("text").alias("text"))
     cut = wanted.select("digest", words_of(F.col("text")).alias("words")).join(seeds, "digest")
     own_runs = F.when(F.col("k") == k, runs_of(F.col("words"), k))
     for n in range(1, k):
         own_runs = F.when(F.col("k") == n, runs_of(F.col("words"), n)).otherwise(own_runs)
-    cut = cut.select("digest", "item", "n_runs", own_runs.alias("all"), "starts").select("digest", "item", "n_runs", "all", F.explode("starts").alias("start"))
+    cut = cut.select("digest", "item", "n_runs", own_runs.alias("all"), "starts").select("digest", "item", "n_runs", "all", F.explode_outer("starts").alias("start"))
     windows = cut.select("digest", "item", "start", F.slice("all", F.col("start") + 1, F.col("n_runs")).alias("runs"))
     windows = stage_table(windows.withColumn("bits", simhash(F.col("runs"))), "windows")
 
@@ -164,14 +172,14 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
     scored = both.withColumn("similarity", F.col("both") / (F.col("n") + F.col("item_n") - F.col("both"))).where(F.col("similarity") >= threshold)
     best = scored.groupBy("digest", "item").agg(F.max(F.struct("similarity", -F.col("distance"), -F.col("start"))).alias("x"))
     best = stage_table(best.select("digest", "item", F.col("x.similarity").alias("similarity"), (-F.col("x.col2")).alias("distance"), (-F.col("x.col3")).alias("word")), "matches")
-
-    ids = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.unhex(F.md5(F.col(f"`{text}`"))).alias("digest"))
-    return ids.join(best, "digest").join(named.select("item", "item_id"), "item").select("doc_id", "item_id", "similarity", "distance", "word", "digest")
+    drop_staged(own, seeds, digests, windows)
+    return best, named.select("item_id", "item")
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_clean(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """docs that hold no item, with unchanged columns."""
-    bad = matches(docs, items, doc_id, text).select(F.col("digest").alias("_bad")).distinct()
+    best, _ = text_matches(docs, items, text)
     key = fresh(docs, "_digest")
+    bad = stage_table(best.select(F.col("digest").alias(key)).distinct(), "bad")
     marked = docs.withColumn(key, F.coalesce(F.unhex(F.md5(F.col(f"`{text}`"))), F.lit(b"")))
-    return marked.join(bad, F.col(key) == F.col("_bad"), "left_anti").drop(key)
+    return marked.join(broadcast_if_small(bad, DIGEST_BYTES), key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
