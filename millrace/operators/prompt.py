@@ -24,8 +24,9 @@ def section(prompt: Column, start: str, end: str | None = None) -> Column:
 
 def numbered_lines(body: Column) -> Column:
     """array<struct<n, text, raw>> of lines like `12 | text`."""
-    lines = F.filter(F.split(body, "\n", -1), lambda x: x.rlike(r"^\d+ \| ?.*$"))
-    return F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"^(\d+) \|", 1).cast("int").alias("n"), F.regexp_extract(x, r"^\d+ \| ?(.*)$", 1).alias("text"), x.alias("raw")))
+    # no line end of any kind may follow, where $ would allow one
+    lines = F.filter(F.split(body, "\n", -1), lambda x: x.rlike(r"^\d+ \| ?.*\z"))
+    return F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"^(\d+) \|", 1).cast("int").alias("n"), F.regexp_extract(x, r"^\d+ \| ?(.*)\z", 1).alias("text"), x.alias("raw")))
 
 
 def file_blocks(text: Column) -> Column:

@@ -11,14 +11,15 @@ from millrace.functions.exprs import let
 from millrace.operators import prompt
 
 
-def clamp_prelude(s: Column, budget: int) -> Column:
+def clamp_prelude(s: Column, budget: Column | int) -> Column:
     """Within a budget of characters (but for the note): the head alone, or head and tail around the JSON shape."""
-    head = max(1000, budget * 55 // 100)
-    tail = max(1000, budget - head)
+    budget = F.lit(budget) if isinstance(budget, int) else budget
+    head = F.greatest(F.lit(1000), F.floor(budget * 55 / 100).cast("int"))
+    tail = F.greatest(F.lit(1000), budget - head)
     shape = F.locate(SHAPE_MARK, s)
     start = F.greatest(shape, F.length(s) - tail + 1)
-    both = F.concat(F.substring(s, 1, head), F.lit(NOTE_MIDDLE), F.substring(s, start, F.length(s)))
-    return F.when(F.length(s) <= budget, s).when(shape == 0, F.concat(F.substring(s, 1, budget), F.lit(NOTE_TRUNCATED))).otherwise(both)
+    both = F.concat(F.substring(s, F.lit(1), head), F.lit(NOTE_MIDDLE), F.substring(s, start, F.length(s)))
+    return F.when(F.length(s) <= budget, s).when(shape == 0, F.concat(F.substring(s, F.lit(1), budget), F.lit(NOTE_TRUNCATED))).otherwise(both)
 
 
 def split_files(s: Column) -> Column:
@@ -47,13 +48,16 @@ def slice_text(block: Column, low: Column, high: Column) -> Column:
 
 
 def evidence_snippets(blocks: Column, evidence: Column, radius: int = WINDOW_RADIUS) -> Column:
-    """Lines around each piece of evidence, in its first block of that exact path; equal pieces once."""
+    """Lines around each piece of evidence, in its first block of that exact path; equal ranges of lines once."""
+
+    def around(e: Column) -> Column:
+        return F.struct(e["path"].alias("path"), F.greatest(F.lit(1), e["first"] - radius).alias("low"), (F.greatest(e["last"], e["first"]) + radius).alias("high"))
 
     def snippet(e: Column) -> Column:
         block = F.get(F.filter(blocks, lambda b: b["path"] == e["path"]), F.lit(0))
-        return F.when(block.isNotNull(), slice_text(block, F.greatest(F.lit(1), e["first"] - radius), F.greatest(e["last"], e["first"]) + radius)).otherwise("")
+        return F.when(block.isNotNull(), slice_text(block, e["low"], e["high"])).otherwise("")
 
-    return F.filter(F.transform(F.array_distinct(evidence), snippet), lambda s: s != "")
+    return F.filter(F.transform(F.array_distinct(F.transform(evidence, around)), snippet), lambda s: s != "")
 
 
 def head_snippets(blocks: Column, lines: int = CLEAN_LINES) -> Column:
@@ -80,7 +84,7 @@ def window_prompt(text: Column, evidence: Column, budget: int = WINDOW_BYTES) ->
 
     def centered(snippets: Column) -> Column:
         files = F.when(F.size(snippets) > 0, F.concat(F.array_join(snippets, "\n\n"), F.lit("\n"))).otherwise("")
-        joined = F.concat(clamp_prelude(parts["prelude"], max(4000, budget)), files)
+        joined = let(files, lambda f: F.concat(clamp_prelude(parts["prelude"], F.greatest(F.lit(4000), budget - exprs.utf16_len(f))), f))
         note = len(NOTE_TRAILING.encode())
         cut = let(joined, lambda j: F.when(exprs.utf16_len(j) > budget, F.concat(exprs.truncate_utf8(j, max(0, budget - note)), F.lit(NOTE_TRAILING))).otherwise(j))
         return let(
@@ -99,7 +103,7 @@ def window_prompt(text: Column, evidence: Column, budget: int = WINDOW_BYTES) ->
 
 
 def window_rows(rows: DataFrame, budget: int = WINDOW_BYTES) -> DataFrame:
-    """Chat rows with bounded prompts and six more metadata fields; messages are the first two and the last."""
+    """Chat rows with bounded prompts and six more metadata fields; messages are the first three. The last one's output says where the evidence lies."""
     output = variants.parse_strict(F.element_at("messages", -1)["content"])
     found = rows.withColumn("_w", window_prompt(F.get("messages", F.lit(1))["content"], evidence_list(output), budget))
     user = F.struct(F.get("messages", F.lit(1))["role"].alias("role"), F.col("_w.prompt").alias("content"))
@@ -111,11 +115,10 @@ def window_rows(rows: DataFrame, budget: int = WINDOW_BYTES) -> DataFrame:
         ("windowPromptBytes", exprs.utf8_len(F.col("_w.prompt"))),
         ("omittedPromptChars", F.col("_w.omitted")),
         ("retainedFileBlocks", F.col("_w.blocks")),
-        ("promptBytes", exprs.utf8_len(F.col("_w.prompt"))),
     ):
         meta = meta.withField(name, value)
     rest = [c for c in rows.columns if c not in ("messages", "metadata")]
-    return found.select(F.array(F.get("messages", F.lit(0)), user, F.element_at("messages", -1)).alias("messages"), meta.alias("metadata"), *rest)
+    return found.select(F.array(F.get("messages", F.lit(0)), user, F.get("messages", F.lit(2))).alias("messages"), meta.alias("metadata"), *rest)
 
 
 def window_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
