@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.constants import LEAST_REPOS, OPERATIONS, PER_REPO, TARGETS
-from millrace.functions import exprs
+from millrace.functions import exprs, variants
 from millrace.operators.curate import last_by_key
 
 
@@ -31,8 +31,55 @@ def coverage(rows: DataFrame) -> DataFrame:
     )
 
 
-def deduplicated(rows: DataFrame, order: list[Column]) -> DataFrame:
-    """The last row of each operation, id and repo."""
+def capture_projection(captures: DataFrame) -> DataFrame:
+    """Captures (with the fields of curate.CAPTURE) as id, operation, repo, status, validation_status, redacted, metadata_only."""
+    return captures.select(
+        exprs.safe_label(F.col("captureId")).alias("id"),
+        exprs.safe_label(F.col("operation")).alias("operation"),
+        exprs.safe_label(F.col("repo.projectName")).alias("repo"),
+        exprs.safe_label(F.col("status")).alias("status"),
+        exprs.safe_label(F.col("validationStatus")).alias("validation_status"),
+        F.coalesce("redactionState.redacted", F.lit(False)).alias("redacted"),
+        F.coalesce("redactionState.metadataOnly", F.lit(False)).alias("metadata_only"),
+    )
+
+
+def planner_projection(rows: DataFrame) -> DataFrame:
+    """Chat rows' metadata (VARIANT) as id, operation (one of the known ones, else unknown), repo, finding_count, redacted, metadata_only."""
+    m = F.col("metadata")
+    text = lambda v: variants.text(v)
+    repo = variants.field(m, "repo")
+    project = lambda n: F.when(F.length(text(variants.field(repo, n))) > 0, text(variants.field(repo, n)))
+    true = lambda n: F.coalesce((variants.kind(variants.field(m, n)) == "boolean") & F.try_variant_get(m, f"$.{n}", "boolean"), F.lit(False))
+    return rows.select(
+        exprs.safe_label(text(variants.field(m, "captureId"))).alias("id"),
+        exprs.one_of(text(variants.field(m, "operation")), OPERATIONS).alias("operation"),
+        exprs.safe_label(F.when(variants.kind(repo) == "object", F.coalesce(project("projectName"), project("name"))).otherwise(text(repo))).alias("repo"),
+        variants.whole(variants.field(m, "findingCount")).alias("finding_count"),
+        true("redacted").alias("redacted"),
+        true("metadataOnly").alias("metadata_only"),
+        *[c for c in rows.columns if c != "metadata"],
+    )
+
+
+def counted(value: Column, default: Column) -> Column:
+    """A VARIANT that is a whole number from 0, else the default."""
+    return exprs.let(variants.whole(value), lambda n: F.when(n >= 0, n).otherwise(default))
+
+
+def normalized_counts(counts: Column) -> Column:
+    """struct<total, review, map, revalidate> of a report's counts (VARIANT): 0 for what is no whole number from 0; a total that isn't there is the sum of the operations."""
+    by = variants.field(counts, "byOperation")
+    names = F.map_from_arrays(F.array(*map(F.lit, OPERATIONS)), F.array(*[counted(variants.field(by, o), F.lit(0).cast("long")) for o in OPERATIONS]))
+    return exprs.let(names, lambda m: F.struct(counted(variants.field(counts, "total"), map_value_sum(m)).alias("total"), *[m[o].alias(o) for o in OPERATIONS]))
+
+
+def map_value_sum(m: Column) -> Column:
+    return F.aggregate(F.map_values(m), F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def deduplicated(rows: DataFrame, order: list[str]) -> DataFrame:
+    """The last row of each operation, id and repo, in ascending order."""
     return last_by_key(rows, ["operation", "id", "repo"], order)
 
 

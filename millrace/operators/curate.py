@@ -42,9 +42,9 @@ def excluded_counts(captures: DataFrame) -> DataFrame:
     return captures.select(unusable_because(captures).alias("reason")).where("reason is not null").groupBy("reason").agg(F.count("*").alias("rows"))
 
 
-def finding_count(operation: Column, output: Column) -> Column:
-    findings = variants.field(output, "findings")
-    return F.when((operation == "review") & (variants.kind(findings) == "array"), F.size(variants.items(findings))).otherwise(-1)
+def finding_count(output: Column) -> Column:
+    """How many findings an output has; -1 without an array of them."""
+    return F.coalesce(F.size(F.try_variant_get(variants.field(output, "findings"), "$", "array<variant>")), F.lit(-1))
 
 
 def split_of(repo: Column, operation: Column, ordinal: Column, repo_splits: dict[str, str] | None = None, alternating: str = "ripgrep") -> Column:
@@ -70,13 +70,19 @@ def with_ordinal_by_id(rows: DataFrame, keys: list[str], order: str, width: int
     before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     shift = counts.select(*keys, "_part", F.coalesce(before, F.lit(0)).alias("_before"))
     placed = cut.withColumn("_at", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(order)) - 1)
-    return placed.join(shift, [*keys, "_part"]).withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_before", "_at")
+    shift = shift.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), "_before")
+    same = F.col("_part").eqNullSafe(F.col("_p"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))  # rows without a key are a group too
+    return placed.join(shift, same).withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_before", "_at", "_p", *[f"_k{i}" for i in range(len(keys))])
 
 
-def curated(captures: DataFrame, order: list[str], system_prompt: str, output_json: str = "acceptedJson") -> DataFrame:
-    """Chat rows of usable captures: messages, metadata, split. output_json: column with the output's text as it was written."""
+def curated(captures: DataFrame, order: str, system_prompt: str, output_json: str = "acceptedJson", repo_splits: dict[str, str] | None = None, alternating: str = "ripgrep") -> DataFrame:
+    """Chat rows of usable captures: messages, metadata, split. order: a whole number that gives the input order (of several
+    sources: the source's number times a bound, plus the line). output_json: column with the output's text as it was written.
+    """
     rows = usable(captures).withColumns({"_repo": F.col("repo.projectName"), "_op": F.col("operation")})
-    rows = with_ordinal(rows, ["_repo", "_op"], order)
+    rows = with_ordinal_by_id(rows, ["_repo", "_op"], order)
     meta = F.struct(
         "captureId",
         "captureRunId",
@@ -84,27 +90,29 @@ def curated(captures: DataFrame, order: list[str], system_prompt: str, output_js
         F.col("_repo").alias("repo"),
         F.col("repo.headSha").alias("repoHeadSha"),
         F.col("provider.name").alias("provider"),
-        F.col("provider.model").alias("providerModel"),
+        F.coalesce("provider.model", F.lit("")).alias("providerModel"),
         "validationStatus",
         F.coalesce("redactionState.redacted", F.lit(False)).alias("redacted"),
         F.coalesce("redactionState.metadataOnly", F.lit(False)).alias("metadataOnly"),
         exprs.utf8_len(F.col("prompt")).alias("promptBytes"),
         exprs.utf8_len(F.col(output_json)).alias("assistantBytes"),
         F.coalesce(variants.text(variants.field(F.col("acceptedOutput"), "featureId")), F.lit("")).alias("featureId"),
-        finding_count(F.col("operation"), F.col("acceptedOutput")).alias("findingCount"),
+        finding_count(F.col("acceptedOutput")).alias("findingCount"),
         *[F.lit("").alias(n) for n in ("evalKind", "triageStatus", "triageReviewerOrMethod", "triageNotes")],
         *[F.lit(False).alias(n) for n in ("expectedJsonParse", "expectedSchemaValid", "expectedEvidenceValid")],
     )
-    return rows.select(messages_of(F.lit(system_prompt), F.col("prompt"), F.col(output_json)).alias("messages"), meta.alias("metadata"), split_of(F.col("_repo"), F.col("_op"), F.col("ordinal")).alias("split"))
+    return rows.select(messages_of(F.lit(system_prompt), F.col("prompt"), F.col(output_json)).alias("messages"), meta.alias("metadata"), split_of(F.col("_repo"), F.col("_op"), F.col("ordinal"), repo_splits, alternating).alias("split"))
 
 
 def messages_of(system: Column, user: Column, assistant: Column) -> Column:
     return F.array(*[F.struct(F.lit(role).alias("role"), content.alias("content")) for role, content in (("system", system), ("user", user), ("assistant", assistant))])
 
 
-def last_by_key(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """Of rows with equal keys, the last."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+def last_by_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Of rows with equal keys, the last in ascending order: a maximum, with partial results before the shuffle."""
+    rest = [c for c in rows.columns if c not in keys]
+    last = F.max_by(F.struct(*rest), F.struct(*order))
+    return rows.groupBy(*keys).agg(last.alias("_last")).select(*[F.col(c) if c in keys else F.col("_last")[c].alias(c) for c in rows.columns])
 
 
 def sort_key() -> list[Column]:
@@ -114,19 +122,21 @@ def sort_key() -> list[Column]:
 
 
 def hard_boundary(rows: DataFrame, triage: DataFrame, clean: int = HARD_CLEAN, nonempty: int = HARD_NONEMPTY) -> DataFrame:
-    """Triaged rows: all that aren't reviews, the first clean and the first non-empty reviews. triage's `ordinal`: its last row counts."""
-    last = last_by_key(triage, ["captureId"], [F.col("ordinal").desc()]).select(F.col("captureId").alias("_id"), *[F.coalesce(F.col(c), F.lit("")).alias(f"_{c}") for c in ("triageStatus", "triageReviewerOrMethod", "triageNotes")])
-    found = rows.join(F.broadcast(last), F.col("metadata.captureId") == F.col("_id"))
-    group = F.when(F.col("metadata.operation") != "review", "other").when(F.col("metadata.findingCount") == 0, "clean").when(F.col("metadata.findingCount") > 0, "nonempty")
-    found = found.withColumn("_class", group).where("_class is not null")
-    found = found.withColumn("_n", F.row_number().over(Window.partitionBy("_class").orderBy(*sort_key())))
-    limit = F.when(F.col("_class") == "clean", clean).when(F.col("_class") == "nonempty", nonempty).otherwise(F.lit(1 << 30))
+    """Triaged rows: all that aren't reviews, the first clean and the first non-empty reviews. triage's `ordinal`: its last row counts.
+
+    Each class's first rows are a top-k; rows that aren't reviews aren't sorted.
+    """
+    last = last_by_key(triage, ["captureId"], ["ordinal"]).select(F.col("captureId").alias("_id"), *[F.coalesce(F.col(c), F.lit("")).alias(f"_{c}") for c in ("triageStatus", "triageReviewerOrMethod", "triageNotes")])
+    found = rows.join(last, F.col("metadata.captureId") == F.col("_id"))
+    review, count = F.col("metadata.operation") == "review", F.col("metadata.findingCount")
+    firsts = [found.where(review & holds).orderBy(*sort_key()).limit(n) for holds, n in ((count == 0, clean), (count > 0, nonempty))]
+    found = found.where(~F.coalesce(review, F.lit(False))).union(firsts[0]).union(firsts[1])
     meta = F.col("metadata").withField("evalKind", F.lit("hard_boundary"))
     for name in ("triageStatus", "triageReviewerOrMethod", "triageNotes"):
         meta = meta.withField(name, F.col(f"_{name}"))
     for name in ("expectedJsonParse", "expectedSchemaValid", "expectedEvidenceValid"):
         meta = meta.withField(name, F.lit(True))
-    return found.where(F.col("_n") <= limit).select("messages", meta.alias("metadata"), F.lit("hard_boundary").alias("split"))
+    return found.select("messages", meta.alias("metadata"), F.lit("hard_boundary").alias("split"))
 
 
 def split_summary(rows: DataFrame, by: list[str]) -> DataFrame:

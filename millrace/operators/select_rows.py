@@ -39,6 +39,11 @@ def ceiling(rows: DataFrame, length: Column, most: int) -> DataFrame:
     return rows.agg(F.max(length).alias("max_length"), F.coalesce(F.max(length) <= most, F.lit(True)).alias("within"))
 
 
+def mean_loss(rows: DataFrame, loss: str, by: list[str] | None = None) -> DataFrame:
+    """rows and mean_loss (null without rows)."""
+    return rows.groupBy(*(by or [])).agg(F.count("*").alias("rows"), F.avg(loss).alias("mean_loss"))
+
+
 def generated_rows(rows: DataFrame, label: str, content: str = "content", latency: str = "latency_ms") -> DataFrame:
     """referenceId, modelLabel, content (the JSON object in the text, or the text), latencyMs, parseable."""
     found = exprs.first_json_object(F.col(content))

@@ -258,4 +258,4 @@ def q_metadata_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.try_parse_json("props")
     ident = exprs.first_id(F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("c"), F.col("event_id"))), F.when(F.col("event_id") % 3 == 1, F.concat(F.lit("f"), F.col("user_id"))), ordinal=F.col("event_id"))
     output = F.when(F.col("event_id") % 2 == 0, F.parse_json(F.lit('{"findings":[1]}'))).otherwise(F.parse_json(F.lit('{"findings":null}')))
-    return e.select("event_id", exprs.safe_label(F.col("event_type")).alias("label"), ident.alias("id"), exprs.number_or_zero(F.try_variant_get(v, "$.k", "long")).alias("k"), curate.finding_count(F.lit("review"), output).alias("finding_count"))
+    return e.select("event_id", exprs.safe_label(F.col("event_type")).alias("label"), ident.alias("id"), exprs.number_or_zero(F.try_variant_get(v, "$.k", "long")).alias("k"), curate.finding_count(output).alias("finding_count"))

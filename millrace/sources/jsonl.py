@@ -1,12 +1,12 @@
 """JSON Lines and report files as DataFrames.
 
-A file's line numbers come from reading it whole (files of usual size); `scan_large` reads splittable text without
-numbers. A line that isn't JSON stays as a row with error set, so that ordinals hold.
+Files of any size are split; `scan_large` reads them without line numbers, in one pass. A line that isn't JSON stays as a row
+with error set, so that ordinals hold.
 """
 
 from __future__ import annotations
 
-from pathlib import Path
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,15 +15,23 @@ from millrace.functions import exprs, variants
 
 
 def scan(spark: SparkSession, paths: str | list[str], keep_blank: bool = False) -> DataFrame:
-    """file, line (from 1), ordinal (among lines that aren't blank, from 1), raw, value (VARIANT), error."""
-    whole = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("body"))
-    lines = whole.select("file", F.posexplode(F.split("body", "\r?\n", -1)).alias("at", "raw"))
-    blank = exprs.blank(F.col("raw"))
-    order = Window.partitionBy("file").orderBy("at")
-    rows = lines.withColumn("ordinal", F.sum(F.when(blank, 0).otherwise(1)).over(order))
-    rows = rows if keep_blank else rows.where(~blank)
+    """file, line (from 1), ordinal (among lines that aren't blank, from 1), raw, value (VARIANT), error.
+
+    Files are split as usual. Lines are numbered within a split, and the numbers shifted by the counts of the file's splits before it.
+    """
+    read = spark.read.option("lineSep", "\n").text(paths)
+    rows = read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at"), F.regexp_replace("value", "\r\\z", "").alias("raw"))
+    rows = rows.withColumn("_blank", exprs.blank(F.col("raw")))
+    full = F.when(F.col("_blank"), 0).otherwise(1)
+    counts = rows.groupBy("file", "_split").agg(F.count("*").alias("_lines"), F.sum(full).alias("_full"))
+    before = Window.partitionBy("file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    shift = counts.select("file", "_split", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_lines", "_full")])
+    order = Window.partitionBy("file", "_split").orderBy("_at")
+    rows = rows.withColumns({"_line": F.row_number().over(order), "_ordinal": F.sum(full).over(order)}).join(shift, ["file", "_split"])
+    rows = rows if keep_blank else rows.where(~F.col("_blank"))
     value = variants.parse_strict(F.col("raw"))
-    return rows.select("file", (F.col("at") + 1).alias("line"), "ordinal", "raw", value.alias("value"), (value.isNull() & ~blank).alias("error"))
+    parsed = rows.select("file", (F.col("_lines") + F.col("_line")).alias("line"), (F.col("_full") + F.col("_ordinal")).alias("ordinal"), "raw", "_blank", value.alias("value"))
+    return parsed.select("file", "line", "ordinal", "raw", "value", (F.col("value").isNull() & ~F.col("_blank")).alias("error"))
 
 
 def scan_strict(spark: SparkSession, paths: str | list[str], label: str = "input") -> DataFrame:
@@ -48,7 +56,9 @@ def document(spark: SparkSession, path: str) -> DataFrame:
 def discover(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
     """Files below root by name pattern: path, dataset (first folder below root), split (name without extension), direct (lies in that folder itself)."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    tail = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), f"^{root.rstrip('/')}/", "")
+    scheme = "^[a-z]+:/*"  # paths come with their scheme, and with one slash after it or three
+    top = re.sub(scheme, "/", root).rstrip("/")
+    tail = F.substring(F.regexp_replace("path", scheme, "/"), F.lit(len(top) + 2), F.length("path"))
     parts = F.split(tail, "/")
     return found.select("path", F.element_at(parts, 1).alias("dataset"), F.regexp_extract(F.element_at(parts, -1), r"(.*)\.[^.]+$", 1).alias("split"), (F.size(parts) == 2).alias("direct")).orderBy("path")
 
@@ -68,21 +78,53 @@ def write_lines(rows: DataFrame, folder: str, column: Column | None = None) -> N
 
 
 def export_file(rows: DataFrame, path: str, order: list[Column], column: Column | None = None) -> int:
-    """One file in the given order, streamed through the driver; an empty set is a single line end."""
+    """One file in the given order, streamed through the driver to any file system that Spark can write; an empty set is a single line end."""
     n = 0
-    with Path(path).open("w", encoding="utf-8", newline="\n") as f:
+    with _Output(rows.sparkSession, path) as out:
         for r in json_lines(rows.orderBy(*order), column).toLocalIterator():
-            f.write(r["value"] + "\n")
+            out.write(r["value"] + "\n")
             n += 1
         if not n:
-            f.write("\n")
+            out.write("\n")
     return n
 
 
+class _Output:
+    """A text file on the file system of its path, written in pieces of a megabyte."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        self.stream = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(at, True)
+        self.held: list[bytes] = []
+        self.size = 0
+
+    def write(self, text: str) -> None:
+        self.held.append(text.encode("utf-8"))
+        self.size += len(self.held[-1])
+        if self.size >= 1 << 20:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.held:
+            self.stream.write(b"".join(self.held))
+        self.held, self.size = [], 0
+
+    def __enter__(self) -> _Output:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        self.flush()
+        self.stream.close()
+
+
+def export_text(spark: SparkSession, path: str, text: str) -> None:
+    with _Output(spark, path) as out:
+        out.write(text)
+
+
 def export_report(report: DataFrame, path: str) -> None:
     """A report of one row as one JSON document."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(report.select(F.to_json(F.struct(*report.columns)).alias("j")).first()["j"] + "\n", encoding="utf-8")
+    export_text(report.sparkSession, path, report.select(F.to_json(F.struct(*report.columns)).alias("j")).first()["j"] + "\n")
 
 
 def dataset_card(name: str, title: str, facts: dict[str, object], tags: list[str]) -> str:

@@ -95,7 +95,7 @@ def test_first_failing_reason_wins(spark):
 def test_splits(spark):
     rows = [capture(captureId=f"r{i}", repo=("ripgrep", "s"), n=i) for i in range(5)]
     rows += [capture(captureId="m", repo=("ripgrep", "s"), operation="map", n=5), capture(captureId="k", n=6), capture(captureId="u", repo=("other", "s"), n=7)]
-    got = curate.curated(frame(spark, rows), ["n"], "Return JSON.")
+    got = curate.curated(frame(spark, rows), "n", "Return JSON.")
     splits = {r["id"]: r["split"] for r in got.select(F.col("metadata.captureId").alias("id"), "split").collect()}
     assert [splits[f"r{i}"] for i in range(5)] == ["validation", "test", "validation", "test", "validation"]
     assert (splits["m"], splits["k"], splits["u"]) == ("validation", "train", "test")
@@ -106,7 +106,7 @@ def test_splits(spark):
 def test_hard_boundary_caps_and_last_triage_row(spark):
     rows = [capture(captureId=f"c{i:02}", n=i) for i in range(10)] + [capture(captureId=f"n{i:02}", n=20 + i, acceptedJson='{"findings":[1]}') for i in range(20)]
     rows += [capture(captureId=f"m{i}", n=50 + i, operation="map", acceptedJson='{"features":[]}') for i in range(3)]
-    chat = curate.curated(frame(spark, rows), ["n"], "s")
+    chat = curate.curated(frame(spark, rows), "n", "s")
     triage = spark.createDataFrame([(r["captureId"], "kept", "me", f"note {k}", k) for k in (0, 1) for r in rows], "captureId string, triageStatus string, triageReviewerOrMethod string, triageNotes string, ordinal int")
     got = curate.hard_boundary(chat, triage).select("metadata.*").collect()
     kinds = [r["captureId"][0] for r in got]
