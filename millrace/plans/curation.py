@@ -236,9 +236,11 @@ def q_capture_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.capture_rollup(rows, ["o_orderstatus", "o_orderpriority"], ["large"])
 
 
-@query("SELECT count(DISTINCT o_custkey) AS known_repos, 0::BIGINT AS unknown_rows, count(*) AS total_rows FROM orders")
+@query("SELECT count(DISTINCT o_custkey) FILTER (o_custkey % 10 <> 0 AND o_custkey % 11 <> 0) AS known_repos, count(*) FILTER (o_custkey % 10 = 0 OR o_custkey % 11 = 0) AS unknown_rows, count(*) AS total_rows FROM orders")
 def q_repository_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.repository_summary(table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("repo")))
+    k = F.col("o_custkey")
+    repo = F.when(k % 10 == 0, F.lit(None)).when(k % 11 == 0, "").otherwise(k.cast("string"))
+    return audit.repository_summary(table(spark, sf_dir, "orders").select(repo.alias("repo")))
 
 
 @query("SELECT CASE WHEN event_id % 4 = 0 THEN 'id,kind,value' WHEN event_id % 4 = 1 THEN 'id,kind' WHEN event_id % 4 = 2 THEN 'array' ELSE 'number' END AS key_set, count(*) AS rows FROM events GROUP BY 1")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.constants import WRAPPER_KEYS
+from millrace.constants import WINDOW_BYTES, WRAPPER_KEYS
 from millrace.functions import exprs, variants
 from millrace.operators import evaluate, prompt, select_rows, windowing
 from millrace.plans.registry import query, table
+from millrace.session import shared_folder
 
 
 @query("SELECT doc_id, strlen(text)::BIGINT AS n_bytes, length(text)::BIGINT AS n_chars FROM documents")
@@ -17,55 +20,44 @@ def q_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", exprs.utf8_len(t).cast("long").alias("n_bytes"), F.char_length(t).cast("long").alias("n_chars"))
 
 
-@query()
+@query(r"SELECT doc_id, (length(text) + length(regexp_replace(text, '[^\x{10000}-\x{10FFFF}]', '', 'g')))::INTEGER AS units FROM documents")
 def q_utf16_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", exprs.utf16_len(F.col("text")).alias("units"))
 
 
-@query(
-    """WITH c AS (SELECT doc_id, text, list_filter(range(1, 701), lambda n: strlen(left(text, n)) <= 700)[-1] AS n FROM documents)
-    SELECT doc_id, CASE WHEN strlen(text) <= 700 THEN text ELSE left(text, n) END AS cut FROM c"""
-)
+def _cut(source: str, column: str, most: int) -> str:
+    """CTE parts that cut a column to whole characters within so many bytes: steps back from the end, never past the place."""
+    return f"""steps AS (SELECT doc_id, {column} AS s, least(length({column}), {most}) AS m FROM {source} UNION ALL
+      SELECT doc_id, s, m - greatest(1, ceil((strlen(left(s, m)) - {most}) / 4.0))::BIGINT FROM steps WHERE strlen(left(s, m)) > {most}),
+    cut AS (SELECT doc_id, left(any_value(s), min(m)) AS cut FROM steps GROUP BY doc_id)"""
+
+
+@query(f"WITH RECURSIVE {_cut('documents', 'text', WINDOW_BYTES)} SELECT doc_id, cut FROM cut")
 def q_truncate_utf8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", exprs.truncate_utf8(F.col("text"), 700).alias("cut"))
+    return table(spark, sf_dir, "documents").select("doc_id", exprs.truncate_utf8(F.col("text"), WINDOW_BYTES).alias("cut"))
 
 
 _NOTE = "'\n[Window note: prelude truncated to fit training budget.]\n'"
-_CLAMP = f"""ascii AS (SELECT doc_id, lang, text FROM documents WHERE strlen(text) = length(text)),
-    cut AS (SELECT doc_id, lang, strlen(text) AS n, left(CASE WHEN length(text) <= 4000 THEN text ELSE left(text, 4000) || {_NOTE} END, 4000) AS prompt FROM ascii)"""
+_UNITS = r"(length(text) + length(regexp_replace(text, '[^\x{10000}-\x{10FFFF}]', '', 'g')))"
+_CLAMP = f"""RECURSIVE own AS (SELECT doc_id, lang, coalesce({_UNITS} > 4000, false) AS long, CASE WHEN {_UNITS} > 4000 AND length(text) > 4000 THEN left(text, 4000) || {_NOTE} ELSE text END AS s FROM documents),
+    {_cut("own", "s", 4000)},
+    done AS (SELECT own.doc_id, lang, long, CASE WHEN long THEN cut ELSE s END AS prompt FROM own JOIN cut USING (doc_id))"""
 
 
-def clamped_all(docs: DataFrame) -> DataFrame:
+def clamped(docs: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<path:string,first:bigint,last:bigint>>")
     w = docs.select("doc_id", "lang", "text", windowing.window_prompt(F.col("text"), none).alias("w"))
     return w.select("doc_id", "lang", "w.prompt", "w.windowed", "w.strategy", exprs.utf8_len(F.col("text")).alias("n"))
 
 
-def clamped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ASCII texts only, as in the SQL, which can't express the cut by UTF-16 units and UTF-8 bytes."""
-    return clamped_all(table(spark, sf_dir, "documents").where(F.octet_length("text") == F.char_length("text")))
-
-
-@query(f"WITH {_CLAMP} SELECT doc_id, md5(prompt) AS prompt_md5, n > 4000 AS windowed, CASE WHEN n > 4000 THEN 'prompt-clamp-no-files-section' ELSE 'unchanged' END AS strategy FROM cut")
+@query(f"WITH {_CLAMP} SELECT doc_id, md5(prompt) AS prompt_md5, long AS windowed, CASE WHEN long THEN 'prompt-clamp-no-files-section' ELSE 'unchanged' END AS strategy FROM done")
 def q_clamp_prelude(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clamped(spark, sf_dir).select("doc_id", F.md5("prompt").alias("prompt_md5"), "windowed", "strategy")
+    return clamped(table(spark, sf_dir, "documents")).select("doc_id", F.md5("prompt").alias("prompt_md5"), "windowed", "strategy")
 
 
-@query(f"WITH {_CLAMP} SELECT lang, CASE WHEN n > 4000 THEN 'prompt-clamp-no-files-section' ELSE 'unchanged' END AS strategy, count(*) AS rows, count(*) FILTER (n > 4000) AS windowed_rows, max(strlen(prompt))::BIGINT AS max_bytes FROM cut GROUP BY 1, 2")
+@query(f"WITH {_CLAMP} SELECT lang, CASE WHEN long THEN 'prompt-clamp-no-files-section' ELSE 'unchanged' END AS strategy, count(*) AS rows, count(*) FILTER (long) AS windowed_rows, max(strlen(prompt))::BIGINT AS max_bytes FROM done GROUP BY 1, 2")
 def q_window_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = clamped(spark, sf_dir).withColumn("bytes", F.octet_length("prompt").cast("long"))
-    return windowing.window_summary(rows, ["lang", "strategy"])
-
-
-@query()
-def q_clamp_prelude_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, null and non-ASCII texts too; no SQL, tested against a plain version."""
-    return clamped_all(table(spark, sf_dir, "documents")).select("doc_id", F.md5("prompt").alias("prompt_md5"), "windowed", "strategy")
-
-
-@query()
-def q_window_summary_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = clamped_all(table(spark, sf_dir, "documents")).withColumn("bytes", F.octet_length("prompt").cast("long"))
+    rows = clamped(table(spark, sf_dir, "documents")).withColumn("bytes", F.octet_length("prompt").cast("long"))
     return windowing.window_summary(rows, ["lang", "strategy"])
 
 
@@ -213,13 +205,20 @@ def q_report_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered_by(d, "key").select("doc_id", "source", "lang", "place")
 
 
-def numbered_by(rows: DataFrame, key: str, prefix: int = 6) -> DataFrame:
-    """place (from 1) by key. Rows are numbered inside groups of keys with a common prefix; groups' counts are ordered first."""
-    cut = rows.withColumn("_p", F.substring(key, 1, prefix))
-    counts = cut.groupBy("_p").agg(F.count("*").alias("_n"))
-    shift = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    placed = cut.withColumn("_at", F.row_number().over(Window.partitionBy("_p").orderBy(key)))
-    return placed.join(shift, "_p").withColumn("place", F.col("_before") + F.col("_at")).drop("_p", "_at", "_before")
+def numbered_by(rows: DataFrame, key: str) -> DataFrame:
+    """place (from 1) by key.
+
+    A distributed sort deals ranges of the full key to tasks, by sampled bounds; written as a table of the shared folder, its rows have a range and
+    a place in it, and only the ranges' counts are ordered as a whole.
+    """
+    spark = rows.sparkSession
+    path = f"{shared_folder(spark)}/millrace-sorted-{uuid.uuid4().hex}"
+    rows.orderBy(key).withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)
+    placed = spark.read.parquet(path).withColumns({"_range": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))})
+    counts = placed.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range
+    shift = counts.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    return placed.join(shift, "_range").withColumn("place", F.col("_before") + F.col("_at") + 1).drop("_id", "_range", "_at", "_before")
 
 
 @query("SELECT doc_id, n_chars FROM documents WHERE n_chars <= 4096 ORDER BY n_chars, doc_id LIMIT 20")

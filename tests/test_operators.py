@@ -374,10 +374,10 @@ def test_windows_of_all_documents_equal_a_plain_version(spark, tmp_path):
     docs = [None, "", "short", "é" * 3000, "a" * 4000, "a" * 4001, "aé" * 2500, "\U0001f600" * 1999, "\U0001f600" * 2001, "x" + "\u20ac" * 4500, "a" * 3999 + "é" + "b" * 50]
     rows = [(i, "de" if i % 2 else "en", t) for i, t in enumerate(docs)]
     spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["doc_id"]: (r["prompt_md5"], r["windowed"], r["strategy"]) for r in texts.q_clamp_prelude_all(spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: (r["prompt_md5"], r["windowed"], r["strategy"]) for r in texts.q_clamp_prelude(spark, str(tmp_path)).collect()}
     want = {i: plain(t) for i, _, t in rows}
     assert got == {i: (None if p is None else md5(p.encode()).hexdigest(), w, s) for i, (p, w, s) in want.items()}
-    summary = {(r["lang"], r["strategy"]): (r["rows"], r["windowed_rows"], r["max_bytes"]) for r in texts.q_window_summary_all(spark, str(tmp_path)).collect()}
+    summary = {(r["lang"], r["strategy"]): (r["rows"], r["windowed_rows"], r["max_bytes"]) for r in texts.q_window_summary(spark, str(tmp_path)).collect()}
     keys = Counter((lang, want[i][2]) for i, lang, _ in rows)
     own = lambda k: [want[i] for i, lang, _ in rows if (lang, want[i][2]) == k]
     assert summary == {k: (n, sum(w for _, w, _ in own(k)), max(len((p or "").encode()) for p, _, _ in own(k))) for k, n in keys.items()}
