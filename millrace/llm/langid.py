@@ -6,12 +6,14 @@ mean of a document's embeddings goes through a linear softmax. Embeddings and so
 trained together by stochastic gradient descent in numpy; then a part of the sample that
 training didn't see sets the softmax's temperature and two bounds. A document is rejected if
 
-* its score is below the middle between 1 / languages and what almost all held-out rows reach that are predicted right, or
+* its score (which few subwords pull towards 1 / languages, as by PRIOR more that say nothing) is below the middle between 1 / languages and what almost all held-out rows reach that are predicted right, or
 * its subwords are unusual: the mean logarithm of their frequency in training, pulled to that of held-out rows as
   by PRIOR more subwords, is below what almost all of these rows reach, or below the middle between that and what sampled
   texts reach whose letters were exchanged (text in no learned language), if that is less.
 
-The training sample is bounded (sample_rows); its documents count whole. Prediction needs
+The training sample is bounded, in rows (sample_rows) and in subwords (sample_grams, so that long documents can't fill the driver
+either); its documents count whole. Rows of one key (of equal texts, if no key is given) are one row of the sample, and are
+made one before anything goes to the driver. If there are more labels than sample_rows, the most frequent ones are learned. Prediction needs
 one integer score a bucket and language: embedding times softmax, in fixed point, so that sums don't
 depend on how documents are batched.
 
@@ -32,13 +34,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import U64, chunks, fresh, text_buffers
+from millrace.llm.common import U64, chunks, fresh, give_back, text_buffers
 
 ORDERS = (2, 3, 4)
 UNKNOWN = "und"
 #: Fixed point of the scores, in parts of one.
 SCALE = 1 << 14
-#: Few subwords are no proof of another language: so many of usual frequency are added to a document's.
+#: Few subwords prove neither a language nor another one: so many of usual frequency, and of no language, are added to a document's.
 PRIOR = 20
 #: Share of training's subword frequencies that is spread over all buckets.
 SPREAD = 0.05
@@ -48,12 +50,14 @@ _SPACE = 32
 @dataclass(frozen=True)
 class Settings:
     sample_rows: int = 1600  #: at most so many labelled rows are learned from, in equal parts by language
+    sample_grams: int = 4_000_000  #: and at most so many characters times orders, which bounds their subwords
     bits: int = 16
     dim: int = 16
     epochs: int = 6
     rate: float = 2.0
     calibration_part: int = 5  #: one in so many sampled rows calibrates
     reject_share: float = 0.002  #: of calibration rows that are predicted right, at most this share is rejected
+    smooth: float = 0.5  #: so many of the calibration rows count as predicted wrong, which keeps the temperature finite
     seed: int = 7
 
 
@@ -158,22 +162,29 @@ def _features(bits: int, part: int):
 def sample(docs: DataFrame, text: str, lang: str, key: Column, settings: Settings) -> list:
     """Subword counts of the sampled documents, made by the executors. Which rows are taken depends on key alone."""
     rows = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"), F.xxhash64(key).alias("key")).where("text is not null and lang is not null")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    found = rows.groupBy("lang").agg(F.count("*").alias("rows"), F.approx_count_distinct("key", 0.02).alias("keys"))
+    # as many labels as the sample has rows, at most
+    counts = {r["lang"]: r["keys"] for r in found.orderBy(F.col("rows").desc(), "lang").limit(settings.sample_rows).collect()}
     if not counts:
         return []
     each = max(1, settings.sample_rows // len(counts))
     # twice the bound by chance of the hash, then the smallest hashes: a hot language is never sorted whole
     parts = 1 << 30
-    limit = F.lit(0)
-    for name, n in sorted(counts.items()):
-        limit = F.when(F.col("lang") == name, min(parts, int(parts * (2 * each + 20) / n))).otherwise(limit)
-    few = rows.where(F.pmod("key", F.lit(parts)) < limit)
-    got = few.mapInArrow(_features(settings.bits, settings.calibration_part), "lang string, key long, ids binary, n binary, other_ids binary, other_n binary").collect()
-    out = []
+    limits = docs.sparkSession.createDataFrame([(name, min(parts, int(parts * (2 * each + 20) / max(1, n)))) for name, n in counts.items()], "lang string, most long")
+    few = rows.join(F.broadcast(limits), "lang").where(F.pmod("key", F.lit(parts)) < F.col("most"))
+    sizes = few.groupBy("lang", "key").agg(F.max(F.char_length("text")).alias("chars")).collect()
+    chosen, room = [], settings.sample_grams // len(counts)
     for name in sorted(counts):
-        own = sorted((r for r in got if r["lang"] == name), key=lambda r: (r["key"], r["ids"]))
-        out += own[:each]
-    return out
+        left = room
+        for r in sorted((r for r in sizes if r["lang"] == name), key=lambda r: r["key"])[:each]:
+            grams = min(len(ORDERS) * r["chars"], 1 << settings.bits)
+            if grams <= left:
+                left -= grams
+                chosen.append((name, r["key"]))
+    picked = docs.sparkSession.createDataFrame(chosen, "lang string, key long")
+    one = few.join(F.broadcast(picked), ["lang", "key"]).groupBy("lang", "key").agg(F.min("text").alias("text"))
+    got = one.mapInArrow(_features(settings.bits, settings.calibration_part), "lang string, key long, ids binary, n binary, other_ids binary, other_n binary").collect()
+    return sorted(got, key=lambda r: (r["lang"], r["key"]))
 
 
 def train(rows: list, settings: Settings) -> Model | None:
@@ -213,13 +224,10 @@ def train(rows: list, settings: Settings) -> Model | None:
     scores = np.rint((emb @ out) * SCALE).astype(np.int32)
     tested = sorted(held) or learn
     test = [cases[i] for i in tested]
-    z = np.array([w.astype(np.float64) @ scores[ids] / SCALE for ids, w, _ in test]).reshape(-1, len(langs))
+    z = np.array([w.astype(np.float64) @ scores[ids] / SCALE * _weight(int(whole[i][1].sum())) for i, (ids, w, _) in zip(tested, test)]).reshape(-1, len(langs))
     y = np.array([c for _, _, c in test], int)
-    best = (np.inf, 1.0)
-    for t in np.exp(np.linspace(np.log(0.05), np.log(20), 60)):
-        p = _softmax(z / t)
-        best = min(best, (float(-np.log(np.maximum(p[np.arange(len(y)), y], 1e-12)).mean()) if len(y) else 0.0, float(t)))
-    p = _softmax(z / best[1])
+    temperature = calibrated(z, y, settings.smooth)
+    p = _softmax(z / temperature)
     right = p.argmax(1) == y if len(y) else np.zeros(0, bool)
 
     often = np.zeros((len(langs), 1 << settings.bits))
@@ -239,7 +247,34 @@ def train(rows: list, settings: Settings) -> Model | None:
         reached = float(np.quantile(known, settings.reject_share, method="lower"))
         far = [_pulled(int((usual[ids].astype(np.int64) * n).sum()), int(n.sum()), mean) for ids, n in others] or [float(usual.min()) / SCALE]
         least = min(reached, (reached + float(np.median(far))) / 2)
-    return Model(langs, scores, best[1], threshold, usual, mean, least, settings)
+    return Model(langs, scores, temperature, threshold, usual, mean, least, settings)
+
+
+#: Temperatures that calibration tries.
+TEMPERATURES = np.exp(np.linspace(np.log(1e-4), np.log(1e3), 161))
+
+
+def calibrated(z: np.ndarray, y: np.ndarray, smooth: float) -> float:
+    """The temperature with the least cross entropy against labels of which smooth rows, spread over all, are wrong.
+
+    Without that, rows that are all predicted right would ask for a temperature of 0, and every score would be 1.
+    """
+    if not len(y) or z.shape[1] < 2:
+        return 1.0
+    wrong = min(0.5, smooth / (len(y) + 2 * smooth))
+    want = np.full(z.shape, wrong / (z.shape[1] - 1))
+    want[np.arange(len(y)), y] = 1 - wrong
+    loss = []
+    for t in TEMPERATURES:
+        scaled = z / t
+        top = scaled.max(1, keepdims=True)
+        loss.append(float((want * (np.log(np.exp(scaled - top).sum(1, keepdims=True)) + top - scaled)).sum(1).mean()))
+    return float(TEMPERATURES[int(np.argmin(loss))])
+
+
+def _weight(count):
+    """Of a text's scores: few subwords say little, so that a lone letter has no language for certain."""
+    return count / (count + PRIOR)
 
 
 def _pulled(total, count, mean: float):
@@ -271,7 +306,7 @@ def score_rows(data: np.ndarray, offsets: np.ndarray, model: Model) -> tuple[np.
             np.cumsum(model.usual[bucket], out=total[1:])
             usual += total[rows[1:]] - total[rows[:-1]]
         some = count > 0
-        z = sums[some] / (count[some, None] * SCALE * model.temperature)
+        z = sums[some] / (count[some, None] * SCALE * model.temperature) * _weight(count[some, None])
         p = _softmax(z)
         if some.any():
             pick[a:b][some] = p.argmax(1)
@@ -303,6 +338,7 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", learn: Col
             names = [UNKNOWN, *(model.langs if model else [])]
             lang_pred = pa.array([names[i + 1] for i in pick.tolist()], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, lang_pred, pa.array(top, pa.float64()), pa.array(out, pa.bool_())], names=[f.name for f in schema.fields])
+        give_back()
 
     return base.mapInArrow(run, schema)
 
