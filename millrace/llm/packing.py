@@ -8,13 +8,13 @@ never leaves its task, and its size is bounded whatever the table's size is.
 
 A packed row has: ids as little-endian unsigned 32-bit values padded to capacity, the cumulative lengths
 of its segments (from 0 to the ids used), where positions start anew (all but the last of those),
-and for each segment its document, its first id's place in that document, and the document's
-number of segments.
+and for each segment its document, the number of the input row that it came from, its first id's place in that document,
+and the document's number of segments. So `unpacked` gives a row for each input row.
 
-Null or odd input: a document without ids (null or empty text) has no segment and so is in no row;
-`unpacked` gives it zero ids. Repeated rows are packed each by itself: use an id that tells them apart, if
-they must be put together again. A null id column value stays null in doc_ids. Empty tables give no rows.
-Other columns are ignored.
+Null or odd input: a document without ids (null or empty text) has no segment: the first row of its group names it in
+empty_ids and empty_rows (a group of nothing else gives one row without ids), and `unpacked` gives it an empty array. Repeated
+rows and rows without id are told apart by their row numbers; a null id stays null. Empty tables give no rows.
+Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,14 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.bpe import encoder, texts_of
+from millrace.llm.common import give_back
 
 CAPACITY = 2048
 #: Ids that a group holds at most, but for the last document's own.
 GROUP_IDS = 4 << 20
 
 SCHEMA = (
-    "ids binary, used int, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, "
-    "doc_offsets array<long>, doc_segments array<int>, ids_sha256 string"
+    "ids binary, used int, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, doc_rows array<long>, "
+    "doc_offsets array<long>, doc_segments array<int>, empty_ids array<long>, empty_rows array<long>, ids_sha256 string"
 )
 
 
@@ -90,15 +91,18 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> list[list[int]]:
     return rows
 
 
-def pack_group(docs: list, flat: np.ndarray, at: np.ndarray, capacity: int, pad: int) -> pa.RecordBatch:
-    """docs: ids of documents; flat: their token ids end to end; at: n + 1 places."""
+def pack_group(docs: list, numbers: list, flat: np.ndarray, at: np.ndarray, capacity: int, pad: int) -> pa.RecordBatch:
+    """docs, numbers: documents' ids and row numbers; flat: their token ids end to end; at: n + 1 places."""
     pieces: list[tuple[int, int, int, int]] = []  # document, place in flat, size, place in document
     parts = []
     for d, (x, y) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
         parts.append(-(-(y - x) // capacity))
         pieces += [(d, p, min(capacity, y - p), p - x) for p in range(x, y, capacity)]
     rows = best_fit_decreasing([p[2] for p in pieces], capacity)
-    out: list[list] = [[] for _ in range(8)]
+    bare = [d for d, n in enumerate(parts) if not n]
+    if bare and not rows:
+        rows = [[]]
+    out: list[list] = [[] for _ in range(11)]
     matrix = np.full((len(rows), capacity), pad, "<u4")
     for r, own in enumerate(rows):
         ends = [0]
@@ -107,9 +111,16 @@ def pack_group(docs: list, flat: np.ndarray, at: np.ndarray, capacity: int, pad:
             matrix[r, ends[-1] : ends[-1] + n] = flat[p : p + n]
             ends.append(ends[-1] + n)
         blob = matrix[r].tobytes()
-        for column, value in zip(out, (blob, ends[-1], ends, ends[:-1], [docs[pieces[k][0]] for k in own], [pieces[k][3] for k in own], [parts[pieces[k][0]] for k in own], hashlib.sha256(blob).hexdigest())):
+        from_doc = [pieces[k][0] for k in own]
+        nothing_in = bare if r == 0 else []
+        values = (
+            *(blob, ends[-1], ends, ends[:-1], [docs[d] for d in from_doc], [numbers[d] for d in from_doc], [pieces[k][3] for k in own], [parts[d] for d in from_doc]),
+            *([docs[d] for d in nothing_in], [numbers[d] for d in nothing_in], hashlib.sha256(blob).hexdigest()),
+        )
+        for column, value in zip(out, values):
             column.append(value)
-    kinds = [pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.string()]
+    ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
+    kinds = [pa.binary(), pa.int32(), ints, ints, longs, longs, longs, ints, longs, longs, pa.string()]
     names = [f.split()[0] for f in SCHEMA.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
 
@@ -119,36 +130,38 @@ def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        held: list[tuple[list, np.ndarray, np.ndarray]] = []
+        held: list[tuple[list, list, np.ndarray, np.ndarray]] = []
         total = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal held, total
-            names = [d for x in held for d in x[0]]
-            flat = np.concatenate([x[1] for x in held])
-            at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(x[2]) for x in held]))])
+            names, numbers = ([d for x in held for d in x[i]] for i in (0, 1))
+            flat = np.concatenate([x[2] for x in held])
+            at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(x[3]) for x in held]))])
             held, total = [], 0
-            found = pack_group(names, flat, at, capacity, pad)
+            found = pack_group(names, numbers, flat, at, capacity, pad)
             for k in range(0, len(found), 1024):
                 yield found.slice(k, 1024)
 
         for b in batches:
-            ids = b.column(0).to_pylist()
+            ids, numbers = b.column(0).to_pylist(), b.column(2).to_pylist()
             for a, z, flat, at in enc.lookup(texts_of(b.column(1))):
                 row = a
                 while row < z:
                     to = max(row + 1, a + int(np.searchsorted(at, at[row - a] + max(1, group_ids - total), side="right")) - 1)
                     to = min(to, z)
                     x, y = at[row - a], at[to - a]
-                    held.append((ids[row:to], flat[x:y].copy(), at[row - a : to - a + 1] - x))
+                    held.append((ids[row:to], numbers[row:to], flat[x:y].copy(), at[row - a : to - a + 1] - x))
                     total += int(y - x)
                     row = to
                     if total >= group_ids:
                         yield from flush()
         if held:
             yield from flush()
+        give_back()
 
-    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, SCHEMA)
+    own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"), F.monotonically_increasing_id().alias("number"))
+    return own.mapInArrow(run, SCHEMA)
 
 
 def matrix_of(row) -> np.ndarray:
@@ -157,21 +170,22 @@ def matrix_of(row) -> np.ndarray:
 
 
 def unpacked(packed: DataFrame) -> DataFrame:
-    """doc_id and ids of each document, put together from its segments: the inverse of pack."""
+    """doc_row, doc_id and ids of each input row, put together from its segments: the inverse of pack."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            docs, places, pieces = [], [], []
+            docs, numbers, places, pieces = [], [], [], []
             for r in b.to_pylist():
                 ids, ends = np.frombuffer(r["ids"], "<u4"), r["cu_seqlens"]
-                for k, d in enumerate(r["doc_ids"]):
-                    docs.append(d)
-                    places.append(r["doc_offsets"][k])
-                    pieces.append(ids[ends[k] : ends[k + 1]].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(places, pa.int64()), pa.array(pieces, pa.list_(pa.int32()))], names=["doc_id", "place", "piece"])
-
-    parts = packed.mapInArrow(run, "doc_id long, place long, piece array<int>")
-    return parts.groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", "piece"))), lambda x: x["piece"])).alias("ids"))
+                docs += r["doc_ids"] + r["empty_ids"]
+                numbers += r["doc_rows"] + r["empty_rows"]
+                places += r["doc_offsets"] + [0] * len(r["empty_ids"])
+                pieces += [ids[x:y].astype(np.int32) for x, y in zip(ends, ends[1:])] + [np.zeros(0, np.int32)] * len(r["empty_ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(numbers, pa.int64()), pa.array(places, pa.int64()), pa.array(pieces, pa.list_(pa.int32()))], names=["doc_id", "doc_row", "place", "piece"])
+
+    parts = packed.mapInArrow(run, "doc_id long, doc_row long, place long, piece array<int>")
+    whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", "piece"))), lambda x: x["piece"]))
+    return parts.groupBy("doc_row").agg(F.first("doc_id").alias("doc_id"), whole.alias("ids"))
 
 
 def write_packed(packed: DataFrame, folder: str) -> None:

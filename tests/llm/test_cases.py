@@ -73,6 +73,49 @@ def test_language_rejects_planted_junk_and_keeps_clean_rows(spark, n_langs):
     assert sum(i in kept for i, _, _ in clean) >= 396
 
 
+def test_language_sample_is_bounded_and_takes_copies_once(spark):
+    rows = spark.range(20000).select("id", F.lit("one text that all of them share").alias("text"), F.lit("en").alias("lang"))
+    more = spark.range(300).select("id", F.concat(F.lit("text number "), "id").alias("text"), F.concat(F.lit("l"), F.col("id") % 2).alias("lang"))
+    own = langid.Settings(sample_rows=60)
+    got = langid.sample(rows.union(more), "text", "lang", F.col("text"), own)
+    assert [r["lang"] for r in got].count("en") == 1
+    assert len(got) <= 60
+    assert len({(r["lang"], r["key"]) for r in got}) == len(got)
+    few = langid.sample(more, "text", "lang", F.col("text"), langid.Settings(sample_rows=60, sample_grams=300))
+    assert 0 < len(few) <= 300 / 3 / len("text number")
+
+
+def test_language_with_more_labels_than_the_sample_has_rows(spark):
+    rows = [(i, f"word{i % 400} again word{i % 400}", f"l{i % 400}") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.identify(docs, settings=langid.Settings(sample_rows=100)).collect()
+    assert len(got) == 1000
+    assert 1 <= len({r["lang_pred"] for r in got}) <= 100
+
+
+def test_temperature_is_inside_the_grid_and_calibrates():
+    rng = np.random.default_rng(2)
+    y = rng.integers(0, 4, 400)
+    for size in (0.01, 1.0, 50.0):
+        sure = np.eye(4)[y] * size  # all predicted right, by logits of any size
+        t = langid.calibrated(sure, y, 0.5)
+        assert langid.TEMPERATURES[0] < t < langid.TEMPERATURES[-1]
+        assert 0.99 < langid._softmax(sure / t).max(1).mean() < 1
+    guess = np.where(rng.random(400) < 0.7, y, (y + 1) % 4)  # three of ten wrong
+    p = langid._softmax(np.eye(4)[guess] * 30 / langid.calibrated(np.eye(4)[guess] * 30, y, 0.5))
+    assert abs(p.max(1).mean() - (guess == y).mean()) < 0.05
+
+
+def test_language_rejects_what_is_no_learned_language(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    noise = ["x", "これは日本語の文章です。今日は天気がいい。", "asdkjh qwelkj zxmcnb", "Αυτό είναι ένα κείμενο στα ελληνικά.", "Это русский текст для проверки"]
+    more = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(noise)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in langid.identify(docs.union(more)).collect()}
+    assert all(got[-1 - i]["rejected"] and got[-1 - i]["score"] < 0.5 for i in range(len(noise)))
+    own = [r for i, r in got.items() if i >= 0]
+    assert sum(not r["rejected"] for r in own) >= 0.99 * len(own)
+
+
 # sharding
 
 
@@ -155,6 +198,23 @@ def test_top_k_equals_brute_force(spark, scale):
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
 
 
+def test_top_k_of_huge_components(spark):
+    rng = random.Random(8)
+    rows = [(i, [rng.uniform(-1, 1) * 10.0 ** rng.randint(0, 12) for _ in range(4)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(tuple(r) for r in va_file.top_k(df, F.col("vec_id") % 50 == 0).collect())
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    want = []
+    for q in (0, 50, 100):
+        scored = sorted((-min(max(sum(a * b for a, b in zip(whole[q][1], v)), -(2**63)), 2**63 - 1), i) for i, v in whole if i != q)
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:5])]
+    assert got == want
+    far = spark.createDataFrame([(0, [1e300, -1e300]), (1, [1e300, 1.0]), (2, [-1e300, 1e300]), (3, [2.0, 2.0])], "vec_id long, embedding array<double>")
+    ends = va_file.top_k(far, F.col("vec_id") == 0).collect()
+    assert [r["vec_id"] for r in ends] == [1, 3, 2]
+    assert (ends[0]["score"], ends[2]["score"]) == (2**63 - 1, -(2**63))
+
+
 def test_top_k_odd_rows(spark):
     rows = [(0, [1.0, 2.0]), (1, [1.0, None]), (2, None), (3, [float("nan"), 1.0]), (4, []), (5, [1.0]), (6, [-1.0, 0.5]), (None, [1.0, 1.0]), (7, [1.0, 2.0]), (7, [1.0, 2.0]), (50, [float("inf"), 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("mine"))
@@ -300,8 +360,50 @@ def test_bpe_table_may_be_forgotten(library, monkeypatch):
     assert got == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_bpe_tells_pre_tokens_of_one_hash_apart(library, monkeypatch):
+    whole = bpe.span_hashes
+    calls = []
+
+    def weak(values, starts, ends):  # the first hash of each block has two bits, the other all
+        calls.append(1)
+        return whole(values, starts, ends) & (np.uint64(3) if len(calls) % 2 else np.uint64(2**64 - 1))
+
+    monkeypatch.setattr(bpe, "span_hashes", weak)
+    monkeypatch.setattr(bpe, "BLOCK_CHARS", 300)
+    enc = bpe.Encoder(PATH)
+    texts = [prose(random.Random(i), 9) for i in range(30)]
+    got = []
+    for a, z, flat, at in enc.lookup(texts):
+        got += [flat[at[k] : at[k + 1]].tolist() for k in range(z - a)]
+    assert got == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_bpe_special_tokens_are_taken_from_the_left(tmp_path):
+    import json
+
+    with open(PATH) as f:
+        spec = json.load(f)
+    new = [{**spec["added_tokens"][0], "id": 50257 + i, "content": c} for i, c in enumerate(["<bc>", "<a<bc>d>", "<a<", "d><a<"])]
+    spec["added_tokens"] += new
+    path = str(tmp_path / "more.json")
+    with open(path, "w") as f:
+        json.dump(spec, f)
+    texts = ["<a<bc>", "<a<bc>d>", "x<a<bc>d><a< <bc><a<", "<a<<a<bc> d><a<bc>d>", "d>d><a<bc>d> dd"]
+    enc = bpe.Encoder(path)
+    got = []
+    for a, z, flat, at in enc.lookup(texts):
+        got += [flat[at[k] : at[k + 1]].tolist() for k in range(z - a)]
+    assert got == [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    for key, value in (("lstrip", True), ("single_word", True)):
+        with pytest.raises(ValueError, match=key):
+            bpe.refuse_unsupported({**spec, "added_tokens": [{**new[0], key: value}]})
+    with pytest.raises(ValueError, match="normalizer"):
+        bpe.refuse_unsupported({**spec, "normalizer": {"type": "NFC"}})
+
+
 def test_bpe_columns(spark, odd, nothing):
     coded = bpe_codec.encode(odd.withColumn("ids", F.lit("mine")), PATH, check=True)
+    assert bpe_codec.encode(odd.withColumn("n_tokens", F.lit("mine")), PATH, keep_text=False).columns == ["doc_id", "ids", "n_tokens"]
     back = bpe_codec.decode(coded, PATH).collect()
     assert all(r["decoded"] == (r["text"] or "") and r["round_trip"] for r in back)
     assert bpe_codec.digests(nothing, PATH).count() == 0
@@ -439,8 +541,12 @@ def test_best_fit_decreasing():
 
 
 def test_packing_splits_long_documents_losslessly(spark, odd, nothing, library):
-    packed = packing.pack(odd.where("doc_id is not null and doc_id <> 4"), PATH, capacity=64, group_ids=500)
-    got = {r["doc_id"]: r["ids"] for r in packing.unpacked(packed).collect()}
-    want = {i: library.encode(t, add_special_tokens=False).ids for i, t in ODD if i not in (None, 4) and t}
-    assert got == want
+    packed = packing.pack(odd.withColumn("ids", F.lit("mine")).withColumn("doc_rows", F.lit(1)), PATH, capacity=64, group_ids=500)
+    got = packing.unpacked(packed).collect()
+    assert len({r["doc_row"] for r in got}) == len(ODD)
+    want = [(i, library.encode(t or "", add_special_tokens=False).ids) for i, t in ODD]
+    assert sorted(repr((r["doc_id"], r["ids"])) for r in got) == sorted(map(repr, want))
+    bare = packing.pack(odd.where("text is null or text = ''"), PATH, capacity=64)
+    assert {r["used"] for r in bare.collect()} == {0}
+    assert sorted(r["doc_id"] for r in packing.unpacked(bare).collect()) == [1, 2, 7]
     assert packing.pack(nothing, PATH).count() == 0
