@@ -11,6 +11,8 @@ best of all tasks are the result. Nothing but one block of queries is sent to th
 Null or odd input: a vector that is null, empty, or holds null, NaN or infinite components takes no part, nor does a row
 without id. Vectors of different length aren't compared. Repeated rows are each a candidate; a query's own
 row is every row with its id. Queries that repeat an id are one query, with the smallest vector. Extra columns are ignored.
+Components beyond 64 bits become the nearest long; where sums could pass 63 bits they are made with Python's integers, and a score
+beyond a long is the nearest long.
 """
 
 from __future__ import annotations
@@ -49,8 +51,10 @@ def build(rows: DataFrame, bits: int = BITS) -> tuple[DataFrame, dict[int, tuple
     grid: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for dim in sorted({r["dim"] for r in spread}):
         own = sorted((r["at"], r["low"], r["high"]) for r in spread if r["dim"] == dim)
-        low, high = (np.array([r[i] for r in own], np.int64) for i in (1, 2))
-        grid[dim] = (low, np.maximum(1, -(-(high - low + 1) // (1 << bits))))
+        low, high = ([r[i] for r in own] for i in (1, 2))
+        # as Python's integers if a sum of products could pass 63 bits
+        kind = object if sum(max(abs(a), abs(b)) ** 2 for a, b in zip(low, high)) >= 1 << 62 else np.int64
+        grid[dim] = (np.array(low, kind), np.array([max(1, -(-(b - a + 1) // (1 << bits))) for a, b in zip(low, high)], kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -61,7 +65,7 @@ def build(rows: DataFrame, bits: int = BITS) -> tuple[DataFrame, dict[int, tuple
                 for x in range(0, len(own), BLOCK):
                     part = own.slice(x, BLOCK)
                     exact = _matrix(part.column("v"), dim)
-                    cells = ((exact - low) // width).astype(np.uint8)
+                    cells = ((exact.astype(low.dtype) - low) // width).astype(np.uint8)
                     ids = part.column("vec_id").to_numpy(zero_copy_only=False).astype("<i8")
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([dim], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([cells.tobytes()], pa.binary()), pa.array([exact.astype("<i8").tobytes()], pa.binary())],
@@ -83,8 +87,10 @@ class _Best:
         return float(self.scores[-1]) if len(self.scores) == self.k else -np.inf
 
     def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        if scores.dtype == object:
+            scores = np.array([min(max(x, -(1 << 63)), (1 << 63) - 1) for x in scores], np.int64)
         s, i = np.concatenate([self.scores, scores]), np.concatenate([self.ids, ids])
-        top = np.lexsort((i, -s))[: self.k]
+        top = np.lexsort((i, ~s))[: self.k]
         self.scores, self.ids = s[top], i[top]
 
 
@@ -100,6 +106,8 @@ def _scan(queries: dict[int, tuple[np.ndarray, np.ndarray]], grid: dict[int, tup
                     continue
                 names, asked = queries[dim]
                 low, width = grid[dim]
+                whole = low.dtype
+                asked = asked.astype(whole)
                 ids = np.frombuffer(b.column("ids")[r].as_py(), "<i8")
                 cells = np.frombuffer(b.column("cells")[r].as_py(), np.uint8).reshape(-1, dim)
                 exact = np.frombuffer(b.column("exact")[r].as_py(), "<i8").reshape(-1, dim)
@@ -107,7 +115,9 @@ def _scan(queries: dict[int, tuple[np.ndarray, np.ndarray]], grid: dict[int, tup
                 # highest score within a vector's cells: each component at its cell's upper or lower end
                 base = q @ (low + cells * width).astype(np.float64).T
                 upper = base + (np.maximum(q, 0) @ (width - 1).astype(np.float64))[:, None]
-                upper += np.abs(upper) * 1e-12  # float sums are exact below 2**53; beyond, bounds stay safe
+                # float sums are exact below 2**53; beyond, bounds stay safe by a share of the largest sum
+                reach = np.maximum(np.abs(low.astype(np.float64)), np.abs((low + width * 256).astype(np.float64)))
+                upper += (np.abs(q) @ reach)[:, None] * 1e-12
                 for j, name in enumerate(names.tolist()):
                     mine, bound = best[dim][j], upper[j]
                     near = np.flatnonzero(bound >= mine.least())
@@ -116,7 +126,7 @@ def _scan(queries: dict[int, tuple[np.ndarray, np.ndarray]], grid: dict[int, tup
                     x, step = 0, 2 * k
                     while x < len(near) and bound[near[x]] >= mine.least():
                         take = near[x : x + step]
-                        mine.add(exact[take] @ asked[j], ids[take])
+                        mine.add(exact[take].astype(whole) @ asked[j], ids[take])
                         x, step = x + step, 4 * step
         for dim, (names, _) in queries.items():
             found = best[dim]
