@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import U64, chunks, give_back, mix, partitions_for, run_hashes, stage_table, text_buffers, within, word_hashes, words
+from millrace.llm.common import U64, chunks, fresh, give_back, mix, partitions_for, run_hashes, stage_table, text_buffers, within, word_hashes, words
 from millrace.llm.components import components
 
 K, THRESHOLD, TOLERANCE = 5, 0.8, 1e-5
@@ -372,10 +372,11 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
     Of rows with the same id and text one stays.
     """
-    found = stage_table(near_duplicates(docs, doc_id, text).where("is_first and digest is not null").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")), "first")
+    ident, digest = fresh(docs, "_id"), fresh(docs, "_digest")
+    found = stage_table(near_duplicates(docs, doc_id, text).where("is_first and digest is not null").select(F.col("doc_id").alias(ident), F.col("digest").alias(digest)), "first")
     distinct = found.distinct()
     whole = docs.where(F.col(f"`{text}`").isNotNull())
-    kept = whole.join(distinct, F.col(f"`{doc_id}`").eqNullSafe(F.col("_id")) & (F.unhex(F.md5(f"`{text}`")) == F.col("_digest")), "left_semi")
+    kept = whole.join(distinct, F.col(f"`{doc_id}`").eqNullSafe(F.col(ident)) & (F.unhex(F.md5(f"`{text}`")) == F.col(digest)), "left_semi")
     names = [F.col(f"`{c}`") for c in docs.columns]
     kept = kept.select(*names)
     if found.count() != distinct.count():  # rows with equal id and text: only then do texts have to be compared once more

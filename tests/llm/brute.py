@@ -80,6 +80,61 @@ def contaminated(rows, items, threshold=0.8):
     return out
 
 
+def deduplicated_texts(rows, window=20):
+    """id and text of the documents that keep a word or lose none; texts change only where words go."""
+    seen, out = set(), []
+    for i, text in sorted(rows, key=lambda r: r[0]):
+        w, gone = WORD.findall(text or ""), set()
+        for k in range(len(w) - window + 1):
+            own = tuple(w[k : k + window])
+            if own in seen:
+                gone.update(range(k, k + window))
+            seen.add(own)
+        if not gone or len(gone) < len(w):
+            out.append((i, " ".join(x for k, x in enumerate(w) if k not in gone) if gone else text))
+    return out
+
+
+def language(text, model):
+    """Language, score and whether the text is rejected, from the model's tables, subword by subword."""
+    import math
+
+    from millrace.llm.langid import ORDERS, PRIOR, SCALE
+
+    letters = "".join(c.lower()[0] if c.isalpha() else " " for c in text or "")
+    sums, usual, count = [0] * len(model.langs), 0, 0
+    for word in letters.split():
+        padded = [ord(c) for c in f" {word} "]
+        for n in ORDERS:
+            for at in range(len(padded) - n + 1):
+                h = 0
+                for c in padded[at : at + n]:
+                    h = (h * 0x9E3779B1 + c) % 2**64
+                bucket = h * (0xD6E8FEB86659FD93 + 2 * n) % 2**64 >> (64 - model.settings.bits)
+                sums = [s + int(x) for s, x in zip(sums, model.scores[bucket])]
+                usual += int(model.usual[bucket])
+                count += 1
+    if not count:
+        return None, 0.0, True
+    z = [s / (count * SCALE * model.temperature) * count / (count + PRIOR) for s in sums]
+    e = [math.exp(x - max(z)) for x in z]
+    top = max(e) / sum(e)
+    known = (usual / SCALE + PRIOR * model.mean) / (count + PRIOR)
+    return model.langs[e.index(max(e))], round(top, 6), round(top, 6) < model.threshold or known < model.least
+
+
+def best_fit_rows(sizes, capacity):
+    """How full each row is when pieces are packed best fit decreasing, by a look at every open row."""
+    used = []
+    pieces = [min(capacity, n - x) for n in sizes for x in range(0, n, capacity)]
+    for p in sorted(pieces, reverse=True):
+        fits = [u for u in used if u + p <= capacity]
+        if fits:
+            used.remove(max(fits))
+        used.append(max(fits, default=0) + p)
+    return sorted(used)
+
+
 def best_products(rows, queries, k=5):
     """query_id, rank, vec_id, score over integer vectors."""
     out = []

@@ -351,7 +351,8 @@ def test_bpe_equals_the_library_on_odd_texts(library):
 
 def test_bpe_table_may_be_forgotten(library, monkeypatch):
     monkeypatch.setattr(bpe, "KEEP", 3)
-    monkeypatch.setattr(bpe, "BLOCK_CHARS", 50)
+    monkeypatch.setattr(bpe, "CUT_CHARS", 50)
+    monkeypatch.setattr(bpe, "BLOCK_CHARS", 150)
     enc = bpe.Encoder(PATH)
     texts = [prose(random.Random(i), 9) for i in range(30)]
     got = []
@@ -369,6 +370,7 @@ def test_bpe_tells_pre_tokens_of_one_hash_apart(library, monkeypatch):
         return whole(values, starts, ends) & (np.uint64(3) if len(calls) % 2 else np.uint64(2**64 - 1))
 
     monkeypatch.setattr(bpe, "span_hashes", weak)
+    monkeypatch.setattr(bpe, "CUT_CHARS", 100)
     monkeypatch.setattr(bpe, "BLOCK_CHARS", 300)
     enc = bpe.Encoder(PATH)
     texts = [prose(random.Random(i), 9) for i in range(30)]
@@ -550,3 +552,53 @@ def test_packing_splits_long_documents_losslessly(spark, odd, nothing, library):
     assert {r["used"] for r in bare.collect()} == {0}
     assert sorted(r["doc_id"] for r in packing.unpacked(bare).collect()) == [1, 2, 7]
     assert packing.pack(nothing, PATH).count() == 0
+
+
+# shared helpers
+
+
+def test_semi_join_with_a_salt_equals_the_plain_one(spark):
+    from millrace.llm import common
+
+    rows = spark.range(1000).select((F.col("id") % 7).alias("k"), F.col("id").alias("_salt"))
+    keys = common.stage_table(spark.createDataFrame([(1,), (4,), (99,)], "k long"), "keys")
+    plain = common.semi_join(rows, keys, "k", 1)
+    salted = common.semi_join(rows, keys, "k", 1 << 40)
+    assert salted.columns == rows.columns
+    assert sorted(map(tuple, salted.collect())) == sorted(map(tuple, plain.collect()))
+    assert plain.count() == sum(i % 7 in (1, 4) for i in range(1000))
+
+
+def test_staged_tables_are_deleted(spark):
+    from millrace.llm import common
+
+    staged = common.stage_table(spark.range(5).toDF("n"), "five")
+    path = staged._millrace_path
+    assert spark.read.parquet(path).count() == 5
+    common.drop_staged(staged, staged, spark.range(1))
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+
+
+@pytest.mark.parametrize("master", ["spark://host:7077", "yarn", "local-cluster[2,1,1024]"])
+def test_a_cluster_without_a_shared_folder_is_an_error(master):
+    from types import SimpleNamespace
+
+    from millrace.llm import common
+
+    fake = SimpleNamespace(sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master=master), conf=SimpleNamespace(get=lambda key, default: default))
+    with pytest.raises(RuntimeError, match="checkpoint.dir"):
+        common.ensure_checkpoint_dir(fake)
+
+
+def test_components_of_odd_edges(spark):
+    edges = spark.createDataFrame([(1, 1), (2, None), (None, None), (5, 3), (3, 5), (5, 3)], "a long, b long")
+    assert {r["node"]: r["root"] for r in components.components(edges).collect()} == {3: 3, 5: 3}
+    assert components.components(edges.where("false")).count() == 0
+
+
+def test_simhash_of_long_runs_counts_all_of_them(spark, monkeypatch):
+    runs = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(100)), lambda i: F.xxhash64(i)).alias("r"))
+    whole = runs.select(decontaminate.simhash(F.col("r")).alias("x")).first()["x"]
+    monkeypatch.setattr(decontaminate, "LANE_RUNS", 7)
+    assert runs.select(decontaminate.simhash(F.col("r")).alias("x")).first()["x"] == whole
