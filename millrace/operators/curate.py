@@ -55,13 +55,8 @@ def split_of(repo: Column, operation: Column, ordinal: Column, repo_splits: dict
     return F.when((repo == alternating) & (operation == "review"), F.when(ordinal % 2 == 0, "validation").otherwise("test")).otherwise(out)
 
 
-def with_ordinal(rows: DataFrame, keys: list[str], order: list[str], name: str = "ordinal") -> DataFrame:
-    """The 0-based place of each row within its keys, in input order."""
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
-
-
 def with_ordinal_by_id(rows: DataFrame, keys: list[str], order: str, width: int = 100_000, name: str = "ordinal") -> DataFrame:
-    """with_ordinal for a whole-number order: numbered within stretches of it, then shifted by the counts before.
+    """The 0-based place of each row within its keys, by a whole-number order: numbered within stretches of it, then shifted by the counts before.
 
     A group of any size is dealt over its stretches; only their counts are ordered as a whole.
     """

@@ -250,6 +250,16 @@ def q_expected_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wanted.join(lines, _path("path") == F.col("file"), "left").select("dataset", "split", F.col("path").isNull().alias("missing"), F.coalesce("lines", F.lit(0)).alias("lines"), F.coalesce("errors", F.lit(0)).alias("errors"))
 
 
+@query(f"""WITH {_FILES}, a AS (SELECT split, line, CASE WHEN NOT bad THEN k END AS k, bad AS error FROM n WHERE dataset = 'd1' AND split <> 'validation' AND NOT blank) SELECT * FROM a
+    UNION ALL SELECT 'validation', row_number() OVER (ORDER BY r_regionkey), r_regionkey, false FROM region""")
+def q_split_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dataset's splits from JSON lines and from Parquet."""
+    root = files_of(spark, sf_dir)
+    rows = jsonl.load_splits(spark, {"train": f"{root}/d1/train.jsonl", "test": [f"{root}/d1/test.jsonl"], "validation": f"{sf_dir}/region.parquet"})
+    key = F.coalesce(F.try_variant_get("value", "$.k", "long"), F.try_variant_get("value", "$.r_regionkey", "long"))
+    return rows.select("split", "line", key.alias("k"), "error")
+
+
 @query("SELECT n_nationkey AS k, row_number() OVER (ORDER BY n_nationkey) AS ordinal, row_number() OVER (ORDER BY n_nationkey) * 2 - 1 AS line, n_name AS name FROM nation")
 def q_jsonl_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file of which every line must be JSON; blank lines between them count as lines only."""

@@ -48,6 +48,24 @@ def scan_large(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return rows.select("file", "raw", value.alias("value"), value.isNull().alias("error"))
 
 
+def load_splits(spark: SparkSession, files: dict[str, str | list[str]]) -> DataFrame:
+    """split, file, line, ordinal, raw, value, error of the files of each split: a dataset as it lies in a folder. Parquet files come as one JSON text a row, numbered in file order."""
+    out = None
+    for split, paths in files.items():
+        every = [paths] if isinstance(paths, str) else paths
+        if all(p.endswith(".parquet") for p in every):
+            read = spark.read.parquet(*every)
+            text = read.select(F.col("_metadata.file_path").alias("file"), (F.col("_metadata.row_index") + 1).alias("line"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in read.columns])).alias("raw"))
+            rows = text.select("file", "line", F.col("line").alias("ordinal"), "raw", variants.parse_strict(F.col("raw")).alias("value"), F.lit(False).alias("error"))
+        else:
+            rows = scan(spark, every)
+        rows = rows.select(F.lit(split).alias("split"), "file", F.col("line").cast("long").alias("line"), F.col("ordinal").cast("long").alias("ordinal"), "raw", "value", "error")
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        raise ValueError("a dataset has a split at least")
+    return out
+
+
 def document(spark: SparkSession, path: str) -> DataFrame:
     """A whole file as one JSON value."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), variants.parse_strict(F.col("value")).alias("value"))

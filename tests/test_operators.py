@@ -318,6 +318,18 @@ def test_json_lines(spark, tmp_path):
     assert jsonl.scan_large(spark, str(path)).count() == 3
     with pytest.raises(Exception, match="row 2"):
         jsonl.scan_strict(spark, str(path)).select(F.to_json("value")).collect()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:  # the same in many splits
+        long = tmp_path / "long.jsonl"
+        long.write_text("".join('{"a":%d}\r\n' % i if i % 5 else "\n" for i in range(300)))
+        split = jsonl.scan(spark, str(long))
+        assert spark.read.text(str(long)).rdd.getNumPartitions() > 1
+        assert [(r["line"], r["ordinal"], r["a"]) for r in split.select("line", "ordinal", F.try_variant_get("value", "$.a", "int").alias("a")).orderBy("line").collect()] == [(i + 1, k + 1, i) for k, i in enumerate(i for i in range(300) if i % 5)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    long.unlink()
     found = jsonl.discover(spark, str(tmp_path)).collect()
     assert [(r["dataset"], r["split"], r["direct"]) for r in found] == [("d", "train", True)]
     grid = jsonl.expected_files(jsonl.discover(spark, str(tmp_path)), spark, [("d", "train"), ("d", "test")])
