@@ -36,8 +36,9 @@ LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: The endings that the pattern cuts off after an apostrophe.
 SHORT, LONG = "stmd", ("re", "ve", "ll")
-#: Distinct pre-tokens that a worker keeps; characters cut and encoded at once (one longer text is taken alone).
-KEEP, BLOCK_CHARS = 400_000, 1 << 20
+#: Distinct pre-tokens that a worker keeps; characters cut and given back at once; characters whose new pre-tokens are merged
+#: at once (a longer text is taken alone).
+KEEP, CUT_CHARS, BLOCK_CHARS = 1_000_000, 1 << 20, 8 << 20
 
 
 @cache
@@ -103,6 +104,52 @@ def distinct(at: np.ndarray) -> np.ndarray:
     return at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
 
 
+class _New:
+    """Pre-tokens of a block that aren't in the table yet, and those whose hash stands for another one (alone)."""
+
+    def __init__(self) -> None:
+        self.count = 0
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.seen = self.seen_other = np.zeros(0, U64)
+        self.alone: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.seen):
+            return np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.seen, hashes), len(self.seen) - 1)
+        return self.seen[at] == hashes
+
+    def other_of(self, hashes: np.ndarray) -> np.ndarray:
+        """The other hash of each, 0 for those that aren't here."""
+        if not len(self.seen):
+            return np.zeros(len(hashes), U64)
+        at = np.minimum(np.searchsorted(self.seen, hashes), len(self.seen) - 1)
+        return np.where(self.seen[at] == hashes, self.seen_other[at], U64(0))
+
+    def add(self, hashes: np.ndarray, others: np.ndarray, codes: np.ndarray, sizes: np.ndarray) -> None:
+        """hashes: in order."""
+        if not len(hashes):
+            return
+        place = np.searchsorted(self.seen, hashes)
+        self.seen, self.seen_other = np.insert(self.seen, place, hashes), np.insert(self.seen_other, place, others)
+        self.parts.append((hashes, np.arange(self.count, self.count + len(hashes)), others, codes, sizes))
+        self.count += len(hashes)
+
+    def add_alone(self, run: int, places: np.ndarray, others: np.ndarray, codes: np.ndarray, sizes: np.ndarray) -> None:
+        if not len(places):
+            return
+        self.alone[run] = places, np.arange(self.count, self.count + len(places))
+        none = np.zeros(0, np.int64)
+        self.parts.append((none.astype(U64), none, others, codes, sizes))
+        self.count += len(places)
+
+    def __getattr__(self, name: str) -> np.ndarray:
+        names = ("hashes", "words", "others", "codes", "sizes")
+        if name not in names:
+            raise AttributeError(name)
+        return np.concatenate([p[names.index(name)] for p in self.parts])
+
+
 class Encoder:
     """Merges of one vocabulary, and the table of pre-tokens that this worker has met."""
 
@@ -145,16 +192,12 @@ class Encoder:
         self.off = np.zeros(1, np.int64)
         for content, i in self.special.items():
             key = np.array([self._special_key(content)], U64)
-            self._store(key, key, np.array([i], np.int64), np.array([0, 1]))
+            self._store(key, np.array([len(self.off) - 1]), key, np.array([i], np.int64), np.array([0, 1]))
 
-    def _store(self, hashes: np.ndarray, others: np.ndarray, ids: np.ndarray, at: np.ndarray) -> None:
-        """hashes: in order, and not in the table."""
-        number = np.arange(len(self.off) - 1, len(self.off) - 1 + len(hashes))
+    def _store(self, hashes: np.ndarray, words: np.ndarray, others: np.ndarray, ids: np.ndarray, at: np.ndarray) -> None:
+        """hashes: in order, and not in the table; words: their numbers among all; others, ids, at: of all new words in order of their numbers."""
         place = np.searchsorted(self.known, hashes)
-        self.known, self.word = np.insert(self.known, place, hashes), np.insert(self.word, place, number)
-        self._append(others, ids, at)
-
-    def _append(self, others: np.ndarray, ids: np.ndarray, at: np.ndarray) -> None:
+        self.known, self.word = np.insert(self.known, place, hashes), np.insert(self.word, place, words)
         self.other = np.concatenate([self.other, others])
         self.off = np.concatenate([self.off, self.off[-1] + at[1:]])
         self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
@@ -231,35 +274,54 @@ class Encoder:
         return sym[alive], ends[begin]
 
     def lookup(self, texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """For blocks of texts: first and last text, their ids end to end, and the n + 1 places where each text's start."""
+        """For runs of texts: first and last text, their ids end to end, and the n + 1 places where each text's start.
+
+        Pre-tokens are cut and hashed for a run of texts at a time; of a block of runs only hashes and new pre-tokens are kept.
+        """
         row = 0
         while row < len(texts):
             if len(self.off) > KEEP:
                 self.forget()
-            to, held = row, 0
-            pieces: list[str] = []
-            per_text: list[int] = []
-            while to < len(texts) and (to == row or held + len(texts[to]) < BLOCK_CHARS):
-                pieces += (own := self._pieces(texts[to]))
-                per_text.append(len(own))
-                held += len(texts[to])
-                to += 1
-            h, other, per_piece, code, first, size = self._hash(pieces)
-            at = np.argsort(h)
-            at = at[np.concatenate([[True], h[at[1:]] != h[at[:-1]]])] if len(at) else at
-            at = at[self.numbers(h[at]) < 0]
-            if len(at):
-                self._store(h[at], other[at], *self._encoded(code[ragged(first[at], size[at])], size[at]))
-            words = self.numbers(h)
-            odd = np.flatnonzero(self.other[words] != other)
-            if len(odd):  # two pre-tokens with one hash: these get words of their own, which the table doesn't find
-                words[odd] = np.arange(len(self.off) - 1, len(self.off) - 1 + len(odd))
-                self._append(other[odd], *self._encoded(code[ragged(first[odd], size[odd])], size[odd]))
-            count = self.off[words + 1] - self.off[words]
-            place = np.concatenate([[0], np.cumsum(count)])
-            ends = np.concatenate([[0], np.cumsum(per_piece)])[np.concatenate([[0], np.cumsum(per_text)])]
-            yield row, to, self.flat[ragged(self.off[words], count)], place[ends]
-            row = to
+            runs: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = []
+            new = _New()
+            held = 0
+            while row < len(texts) and held < BLOCK_CHARS:
+                to, chars = row, 0
+                pieces: list[str] = []
+                per_text: list[int] = []
+                while to < len(texts) and (to == row or chars + len(texts[to]) < CUT_CHARS):
+                    pieces += (own := self._pieces(texts[to]))
+                    per_text.append(len(own))
+                    chars += len(texts[to])
+                    to += 1
+                h, other, per_piece, code, first, size = self._hash(pieces)
+                # all that follows looks up distinct hashes in order; which gives the number among them of each pre-token's
+                at = np.argsort(h)
+                ordered = h[at]
+                head = np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(h)]
+                which = np.empty(len(h), np.int32)
+                which[at] = np.cumsum(head) - 1
+                unique, at = ordered[head], at[head]
+                words = self.numbers(unique)
+                fresh = (words < 0) & ~new.has(unique)
+                at = at[fresh]
+                new.add(unique[fresh], other[at], code[ragged(first[at], size[at])], size[at])
+                # two pre-tokens with one hash: the second gets a word of its own, which the table doesn't find
+                odd = np.flatnonzero(np.where(words >= 0, self.other[words], new.other_of(unique))[which] != other)
+                new.add_alone(len(runs), odd, other[odd], code[ragged(first[odd], size[odd])], size[odd])
+                runs.append((row, to, unique, which, np.concatenate([[0], np.cumsum(per_piece)])[np.cumsum([0, *per_text])]))
+                row, held = to, held + chars
+            base = len(self.off) - 1
+            if new.count:
+                order = np.argsort(new.hashes)
+                self._store(new.hashes[order], new.words[order] + base, new.others, *self._encoded(new.codes, new.sizes))
+            for number, (start, end, unique, which, starts) in enumerate(runs):
+                words = self.numbers(unique)[which]
+                places, alone = new.alone.get(number, (np.zeros(0, np.int64),) * 2)
+                words[places] = base + alone
+                count = self.off[words + 1] - self.off[words]
+                place = np.concatenate([[0], np.cumsum(count)])
+                yield start, end, self.flat[ragged(self.off[words], count)], place[starts]
 
     def _pieces(self, text: str) -> list[str]:
         """The text between special tokens, and those."""
@@ -280,7 +342,7 @@ class Encoder:
         size = np.diff(np.concatenate([start, [len(code)]])).astype(np.int64) if len(start) else np.zeros(0, np.int64)
         values = mix(code.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(41))
         h = span_hashes(values, start, start + size)
-        other = span_hashes(mix(values), start, start + size)
+        other = span_hashes(code.astype(U64) * U64(0xD6E8FEB86659FD93), start, start + size)
         firsts = np.searchsorted(start, bounds, side="left")
         counts = np.diff(firsts)
         marks = [i for i, p in enumerate(pieces) if isinstance(p, _Special)]
