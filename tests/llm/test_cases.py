@@ -463,6 +463,24 @@ def test_decontamination_finds_windows_between_aligned_starts(spark):
     assert sorted(r["doc_id"] for r in decontaminate.keep_clean(df, bench).collect()) == sorted(i for i, _ in docs if i not in bad)
 
 
+def test_decontamination_of_items_changed_in_three_places(spark):
+    """Two words replaced in front, three put into the middle, one replaced at the end: similarity near the threshold on both sides of it."""
+    rng = random.Random(77)
+    fresh = iter(range(10**6))
+    new = lambda n: [f"new{next(fresh)}" for _ in range(n)]
+    items = [(i, prose(rng, 60 + i % 20)) for i in range(40)]
+    docs = []
+    for i, text in items:
+        w = text.split()
+        at = len(w) // 2 + rng.randint(-10, 10)
+        own = new(2) + w[2:at] + new(3) + w[at:-1] + new(1)
+        docs.append((i, " ".join(new(rng.randint(0, 40)) + own + new(rng.randint(0, 40)))))
+    want = contaminated(docs, items)
+    assert 10 < len(want) < 40
+    got = decontaminate.matches(spark.createDataFrame(docs, DDL), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]): round(r["similarity"], 6) for r in got} == {k: round(v, 6) for k, v in want.items()}
+
+
 def test_decontamination_empty(spark, odd, nothing):
     items = spark.createDataFrame([(1, "lost and found")], "item_id long, text string")
     assert decontaminate.matches(nothing, items).count() == 0
