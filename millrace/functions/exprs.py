@@ -116,7 +116,7 @@ def f1(precision: Column, recall: Column) -> Column:
 
 
 def nullable_delta(a: Column, b: Column) -> Column:
-    return F.round(a - b, 6)
+    return round_metric(a - b)
 
 
 def bounded_gap(total: Column, covered: Column) -> Column:

@@ -54,15 +54,6 @@ def members(v: Column, names: list[str]) -> Column:
     return F.try_variant_get(v, "$", "struct<" + ",".join(f"`{n}`:variant" for n in names) + ">")
 
 
-def is_string(v: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False))
-
-
-def is_array(v: Column) -> Column:
-    """Looks at the top alone, where kind() walks the whole value."""
-    return F.try_variant_get(v, "$", "array<variant>").isNotNull()
-
-
 def text(v: Column) -> Column:
     """The string, if the value is one."""
     return let_sql(v, "x", f"CASE WHEN {SQL_STRING.format('x')} THEN try_variant_get(x, '$', 'string') END")
@@ -86,10 +77,6 @@ def keys(v: Column) -> Column:
     return F.coalesce(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")), F.expr("CAST(array() AS ARRAY<STRING>)"))
 
 
-def is_string_array(v: Column) -> Column:
-    return F.coalesce(F.forall(F.try_variant_get(v, "$", "array<variant>"), is_string), F.lit(False))
-
-
 def issue(code: Column | str, *path: Column | str) -> Column:
     cells = [F.lit(p) if isinstance(p, str) else p.cast("string") for p in path]
     return F.struct((F.lit(code) if isinstance(code, str) else code).alias("code"), (F.array(*cells) if cells else F.array().cast("array<string>")).alias("path"))

@@ -64,7 +64,7 @@ def planner_projection(rows: DataFrame) -> DataFrame:
 
 def counted(value: Column, default: Column) -> Column:
     """A VARIANT that is a whole number from 0, else the default."""
-    return exprs.let(variants.whole(value), lambda n: F.when(n >= 0, n).otherwise(default))
+    return exprs.let(variants.whole(value), lambda n: exprs.non_negative_integer(n, default))
 
 
 def normalized_counts(counts: Column) -> Column:
