@@ -260,7 +260,7 @@ def q_split_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("split", "line", key.alias("k"), "error")
 
 
-@query("SELECT n_nationkey AS k, row_number() OVER (ORDER BY n_nationkey) AS ordinal, row_number() OVER (ORDER BY n_nationkey) * 2 - 1 AS line, n_name AS name FROM nation")
+@query("SELECT n_nationkey::BIGINT AS k, row_number() OVER (ORDER BY n_nationkey) AS ordinal, row_number() OVER (ORDER BY n_nationkey) * 2 - 1 AS line, n_name AS name FROM nation")
 def q_jsonl_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file of which every line must be JSON; blank lines between them count as lines only."""
     path = f"{shared_folder(spark)}/millrace-strict-{uuid.uuid4().hex}.jsonl"
@@ -281,7 +281,7 @@ def q_jsonl_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CARD = "'---' || chr(10) || 'pretty_name: Regions' || chr(10) || 'tags:' || chr(10) || '  - a' || chr(10) || '  - b' || chr(10) || '---' || chr(10) || chr(10) || '# regions' || chr(10) || chr(10) || '| fact | value |' || chr(10) || '| --- | --- |' || chr(10) || '| rows | ' || rows || ' |' || chr(10)"
 
 
-@query(f"WITH c AS (SELECT count(*) AS rows, max(r_regionkey) AS last FROM region) SELECT rows, last, md5({_CARD}) AS card_md5 FROM c")
+@query(f"WITH c AS (SELECT count(*) AS rows, max(r_regionkey)::BIGINT AS last FROM region) SELECT rows, last, md5({_CARD}) AS card_md5 FROM c")
 def q_report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A report and a dataset card, written and read as whole files."""
     folder = f"{shared_folder(spark)}/millrace-report-{uuid.uuid4().hex}"
