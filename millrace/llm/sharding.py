@@ -18,11 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import stage_table, text_bytes
+from millrace.llm.common import drop_staged, stage_table, text_bytes
 
 SHARDS, ROUNDS = 24, 8
-#: Rows that are numbered in one task, about.
+#: Rows that are numbered in one task, about; linked rows of a shard are numbered in so many parts by link, and each of these in so many at least.
 RUN_ROWS = 50_000
+LINK_RUNS, NODE_RUNS = 16, 16
 #: Finer parts in which a shard's arrivals are accepted.
 LINK_PARTS, NODE_PARTS = 64, 64
 
@@ -86,7 +87,9 @@ def propagate(members: DataFrame, quotas: list[int], rounds: int = ROUNDS, settl
         places = F.array(*[F.struct((-F.col("had")[s]).alias("n"), F.xxhash64("link", F.lit(s)).alias("h"), F.lit(s).alias("s"), F.floor(F.col("had")[s] * F.lit(share[s]) + F.lit(room[s])).alias("can")) for s in range(shards)])
         usable = F.filter(F.array_sort(places), lambda p: p["can"] > 0)
         held = F.aggregate(usable, F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("m")), lambda a, p: F.when(a["sum"] >= F.col("size"), a).otherwise(F.struct((a["sum"] + p["can"]).alias("sum"), (a["m"] + 1).alias("m"))))
+        # a table of its own: in the join below a hot link's members may then be split over tasks
         wants = tally.select("link", F.transform(F.slice(usable, 1, F.greatest(held["m"], F.lit(1))), lambda p: F.struct(p["s"].alias("s"), (-p["n"]).alias("n"))).alias("want"))
+        wants = stage_table(wants, "wants")
         stays = F.pmod(F.xxhash64("node", F.lit(5)), F.lit(1 << 20)) < F.element_at(F.array(*[F.lit(int(x * (1 << 20))) for x in share]), F.col("label") + 1)
         asks = placed.join(wants, "link").select("node", "link", "label", F.filter("want", lambda w: w["s"] != F.col("label")).alias("others"), F.exists("want", lambda w: w["s"] == F.col("label")).alias("home"), stays.alias("stays"))
         pick = F.get("others", F.pmod(F.xxhash64("node", F.lit(2)), F.greatest(F.size("others"), F.lit(1))).cast("int"))
@@ -97,8 +100,10 @@ def propagate(members: DataFrame, quotas: list[int], rounds: int = ROUNDS, settl
             asks = asks.groupBy("node", "label").agg(F.max(F.struct("n", F.col("target"), F.col("link"))).alias("x")).select("node", "label", "x.link", "x.target")
         moving = stage_table(asks.where("target <> label").select("node", "link", "target"), "asks")
         moves = stage_table(_accepted(moving, room), "moves")
-        labels = stage_table(labels.join(moves, "node", "left").select("node", F.coalesce("target", "label").alias("label")), "labels")
-        if moves.count() <= settle * total:
+        last, labels = labels, stage_table(labels.join(moves, "node", "left").select("node", F.coalesce("target", "label").alias("label")), "labels")
+        moved = moves.count()
+        drop_staged(last, wants, moving, moves)
+        if moved <= settle * total:
             break
     return members.join(labels, "node").select("node", "link", "label")
 
@@ -116,10 +121,12 @@ def shard_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     slim = stage_table(slim.withColumn("node", F.monotonically_increasing_id()), "slim")
     total = slim.count()
     quotas = [total // shards + (s < total % shards) for s in range(shards)]
-    groups = slim.where("digest is not null").groupBy("digest").agg(F.count("*").alias("m"), F.min("node").alias("link")).where("m > 1")
+    groups = stage_table(slim.where("digest is not null").groupBy("digest").agg(F.count("*").alias("m"), F.min("node").alias("link")).where("m > 1"), "groups")
     members = stage_table(slim.join(groups, "digest").select("node", "link"), "members")
+    drop_staged(groups)
     linked = propagate(members, quotas, rounds).select("node", "link", "label")
-    spread = F.pmod(F.xxhash64("link"), F.lit(16)) * 1_000_000 + F.pmod(F.xxhash64("node"), F.lit(max(1, total // RUN_ROWS)))
+    runs = max(NODE_RUNS, total // (shards * LINK_RUNS * RUN_ROWS))
+    spread = F.pmod(F.xxhash64("link"), F.lit(LINK_RUNS)) * runs + F.pmod(F.xxhash64("node"), F.lit(runs))
     # the start may have put more into a shard than its quota: what is over is dealt out with the rest
     over = number(linked, ["label"], spread, "at", ("link", "node"))
     quota = F.element_at(F.array(*[F.lit(q) for q in quotas]), F.col("label") + 1)
