@@ -16,6 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import fresh, stage_table
+
+#: Rows without a host are dealt over so many parts.
+SALTS = 1024
 #: Rules up to so many bytes (see rule_bytes) are broadcast; more are joined by shuffle.
 BROADCAST_BYTES = 8 << 20
 MADE = ("host", "path", "rule", "verdict")
@@ -68,7 +72,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
 
     h, d = key_of(F.to_json("_parts"))
     keyed = rules.select(h.alias("_key"), d.alias("_digest"), "_rule", "_blocks")
-    # host and path pairs repeat; each is looked up once, so a hot site isn't a hot key
+    # host and path pairs repeat; each is looked up once, with partial results before the shuffle
     sites = base.select("host", "path").where("host != ''").distinct()
     prefixes = F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths])
     exprs = sites.select("host", "path", F.explode(host_suffixes(F.col("host"))).alias("_h"), F.array_compact(prefixes).alias("_ps"))
@@ -78,7 +82,13 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     side = F.broadcast(keyed) if rule_bytes <= BROADCAST_BYTES else keyed
     hits = exprs.join(side, "_key").where(F.col("_full") == F.col("_digest"))
     best = hits.groupBy("host", "path").agg(F.max(F.struct(F.length("_rule").alias("n"), F.col("_blocks").alias("b"), F.col("_rule").alias("r"))).alias("_best"))
-    out = base.join(best, ["host", "path"], "left")
-    verdict = F.when(F.col("_best").isNull(), F.lit(default)).otherwise(F.when(F.col("_best.b"), F.lit("block")).otherwise(F.lit("allow")))
+    # a table of its own, joined by shuffle as it grows with the pages: pages of one hot host and path may be split over tasks there. Rows without a
+    # host fit nothing, and are dealt out
+    salt, found = fresh(base, "_salt"), fresh(base, "_best")
+    best = stage_table(best.select("host", "path", F.lit(-1).cast("long").alias(salt), F.col("_best").alias(found)), "url-rules")
+    dealt = F.when(F.col("host") == "", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.lit(-1)).cast("long")
+    out = base.withColumn(salt, dealt).join(best.hint("merge"), ["host", "path", salt], "left")
+    hit = F.col(f"`{found}`")
+    verdict = F.when(hit.isNull(), F.lit(default)).otherwise(F.when(hit["b"], F.lit("block")).otherwise(F.lit("allow")))
     kept = [F.col(f"`{c}`") for c in base.columns]
-    return out.select(*kept, F.col("_best.r").alias("rule"), verdict.alias("verdict"))
+    return out.select(*kept, hit["r"].alias("rule"), verdict.alias("verdict"))
