@@ -49,15 +49,20 @@ def unwrap(row: Column) -> Column:
     return F.when(kind(row) == "object", out)
 
 
-def metric(row: Column, names: list[str], depth: int = 3) -> Column:
-    """The first of the fields that is there (a null counts): at the top, else in a metric container, in it before beside it."""
+def metric_places(row: Column, depth: int = 3) -> Column:
+    """The row and the metric containers in it, to a depth: what is in one before what is beside it."""
+    own = ", ".join(f"try_variant_get({{v}}, '$.{c}', 'variant')" for c in METRIC_CONTAINERS)
+    text = "array({v})"
+    for level in range(depth):
+        inner = text.format(v=f"x{level}")
+        text = f"concat(array({{v}}), flatten(transform(array_compact(array({own})), x{level} -> {inner})))"
+    return variants.let_sql(row, "row", text.format(v="row"))
 
-    def places(v: Column, left: int) -> Column:
-        inner = F.filter(F.array(*[field(v, c) for c in METRIC_CONTAINERS]), lambda x: x.isNotNull())
-        return F.concat(F.array(v), F.flatten(F.transform(inner, lambda x: places(x, left - 1)))) if left else F.array(v)
 
-    found = F.transform(places(row, depth), lambda v: F.coalesce(*[field(v, n) for n in names]))
-    return F.get(F.filter(found, lambda x: x.isNotNull()), F.lit(0))
+def metric(places: Column, names: list[str]) -> Column:
+    """The first of the fields in the first of the places that has one (a null counts)."""
+    fields = ", ".join(f"try_variant_get(p, '$.{n}', 'variant')" for n in names)
+    return variants.let_sql(places, "ps", f"get(array_compact(transform(ps, p -> coalesce({fields}))), 0)")
 
 
 def accumulate(v: Column, name: str, present: Column | None = None) -> list[Column]:
@@ -107,7 +112,8 @@ def _prediction_issues(parsed: Column, more: list[str]) -> Column:
 
 def _measured(c: DataFrame) -> DataFrame:
     """Adds latency and cost: whether they are there, and their numbers; and codes for those that are no number from 0."""
-    c = c.withColumns({"_latency": metric(F.col("prediction"), LATENCY_KEYS), "_cost": metric(F.col("prediction"), COST_KEYS)})
+    c = c.withColumn("_places", metric_places(F.col("prediction")))
+    c = c.withColumns({"_latency": metric(F.col("_places"), LATENCY_KEYS), "_cost": metric(F.col("_places"), COST_KEYS)})
     out = {}
     for name, unit in (("latency", "ms"), ("cost", "usd")):
         n = variants.number(F.col(f"_{name}"))
@@ -115,7 +121,7 @@ def _measured(c: DataFrame) -> DataFrame:
         out |= {f"{name}_present": there, f"{name}_{unit}": F.when(there & (n >= 0), n)}
     c = c.withColumns(out)
     wrong = [F.when(F.col(f"{n}_present") & F.col(f"{n}_{u}").isNull(), F.lit(f"{n}.invalid")) for n, u in (("latency", "ms"), ("cost", "usd"))]
-    return c.withColumn("codes", F.concat("codes", F.array_compact(F.array(*wrong)))).drop("_latency", "_cost")
+    return c.withColumn("codes", F.concat("codes", F.array_compact(F.array(*wrong)))).drop("_places", "_latency", "_cost")
 
 
 def review_cases(cases: DataFrame) -> DataFrame:
