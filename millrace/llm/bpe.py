@@ -307,7 +307,9 @@ class Encoder:
                 at = at[fresh]
                 new.add(unique[fresh], other[at], code[ragged(first[at], size[at])], size[at])
                 # two pre-tokens with one hash: the second gets a word of its own, which the table doesn't find
-                odd = np.flatnonzero(np.where(words >= 0, self.other[words], new.other_of(unique))[which] != other)
+                expected = new.other_of(unique)
+                expected[words >= 0] = self.other[words[words >= 0]]
+                odd = np.flatnonzero(expected[which] != other)
                 new.add_alone(len(runs), odd, other[odd], code[ragged(first[odd], size[odd])], size[odd])
                 runs.append((row, to, unique, which, np.concatenate([[0], np.cumsum(per_piece)])[np.cumsum([0, *per_text])]))
                 row, held = to, held + chars

@@ -15,6 +15,10 @@ the threshold or more with it: sum of the smaller weights over sum of the larger
    them, and the full distance is tested after it.
 3. What is left is verified exactly from the weights.
 
+SimHash of all windows of every item length, made before anything else, would do the same with far more work: the sums of one length
+over running frames cost about 3900 CPU seconds a GB of text in DataFrame functions, and 29 lengths occur in a benchmark of 40 items. So
+step 1 comes first here; fingerprints and blocks take what it leaves.
+
 At similarity 0.8 two fingerprints differ in 9.7 bits of 64 on average (standard deviation 2.9);
 radius 22 loses about one such pair in 100,000, and none that is nearly equal.
 

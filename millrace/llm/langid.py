@@ -50,7 +50,7 @@ _SPACE = 32
 @dataclass(frozen=True)
 class Settings:
     sample_rows: int = 1600  #: at most so many labelled rows are learned from, in equal parts by language
-    sample_grams: int = 4_000_000  #: and at most so many characters times orders, which bounds their subwords
+    sample_grams: int = 4_000_000  #: and at most so many characters times orders, which bounds their subwords (but one document a language, its shortest, if none fits)
     bits: int = 16
     dim: int = 16
     epochs: int = 6
@@ -175,12 +175,15 @@ def sample(docs: DataFrame, text: str, lang: str, key: Column, settings: Setting
     sizes = few.groupBy("lang", "key").agg(F.max(F.char_length("text")).alias("chars")).collect()
     chosen, room = [], settings.sample_grams // len(counts)
     for name in sorted(counts):
-        left = room
-        for r in sorted((r for r in sizes if r["lang"] == name), key=lambda r: r["key"])[:each]:
+        own = sorted((r for r in sizes if r["lang"] == name), key=lambda r: r["key"])
+        left, took = room, len(chosen)
+        for r in own[:each]:
             grams = min(len(ORDERS) * r["chars"], 1 << settings.bits)
             if grams <= left:
                 left -= grams
                 chosen.append((name, r["key"]))
+        if own and len(chosen) == took:  # none fits: a language is learned from its shortest then
+            chosen.append((name, min(own, key=lambda r: (r["chars"], r["key"]))["key"]))
     picked = docs.sparkSession.createDataFrame(chosen, "lang string, key long")
     one = few.join(F.broadcast(picked), ["lang", "key"]).groupBy("lang", "key").agg(F.min("text").alias("text"))
     got = one.mapInArrow(_features(settings.bits, settings.calibration_part), "lang string, key long, ids binary, n binary, other_ids binary, other_n binary").collect()

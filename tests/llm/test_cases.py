@@ -178,6 +178,10 @@ def test_token_trees_odd_rows(spark, odd, nothing, library):
         assert r["n_tokens"] == len(library.encode(r["text"], add_special_tokens=False).ids) == sum(r["leaf_tokens"])
     long = next(r for r in got if r["doc_id"] == 6)
     assert long["encoded_chars"] < 2000
+    both = token_tree.count_edited(odd.withColumn("tokens_after", F.lit("mine")).withColumn("edits", edit), PATH).collect()
+    want = [(r["doc_id"], r["n_tokens"], len(r["text"]), r["encoded_chars"], len(r["leaf_chars"])) for r in got]
+    assert sorted(map(repr, want)) == sorted(repr((r["doc_id"], r["tokens_after"], r["chars_after"], r["encoded_chars"], r["n_leaves"])) for r in both)
+    assert sum(r["tokens_before"] for r in both) == sum(len(library.encode(t or "", add_special_tokens=False).ids) for _, t in ODD)
     assert token_tree.build(nothing, PATH).count() == 0
     none = token_tree.apply_edits(built.withColumn("edits", F.lit(None).cast("array<struct<place:int,delete:int,insert:string>>")), PATH)
     assert {r["encoded_chars"] for r in none.collect()} == {0}
@@ -396,6 +400,11 @@ def test_bpe_special_tokens_are_taken_from_the_left(tmp_path):
     for a, z, flat, at in enc.lookup(texts):
         got += [flat[at[k] : at[k + 1]].tolist() for k in range(z - a)]
     assert got == [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    bare = str(tmp_path / "bare.json")
+    with open(bare, "w") as f:
+        json.dump({**spec, "added_tokens": []}, f)
+    (one,) = bpe.Encoder(bare).lookup(texts)
+    assert [one[2][one[3][k] : one[3][k + 1]].tolist() for k in range(len(texts))] == [e.ids for e in Tokenizer.from_file(bare).encode_batch(texts, add_special_tokens=False)]
     for key, value in (("lstrip", True), ("single_word", True)):
         with pytest.raises(ValueError, match=key):
             bpe.refuse_unsupported({**spec, "added_tokens": [{**new[0], key: value}]})
