@@ -50,9 +50,7 @@ def planned_edits(doc_id: Column, text: Column) -> Column:
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("edits", planned_edits(F.col("doc_id"), F.col("text")))
-    before = token_tree.build(docs, vocabulary()).withColumn("tokens_before", F.col("n_tokens"))
-    after = token_tree.apply_edits(before, vocabulary())
-    return after.select("doc_id", "tokens_before", F.col("n_tokens").alias("tokens_after"), F.char_length("text").cast("long").alias("chars_after"), "encoded_chars", F.size("leaf_chars").alias("n_leaves"))
+    return token_tree.count_edited(docs, vocabulary())
 
 
 def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

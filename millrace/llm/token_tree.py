@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.bpe import WHITE, Encoder, encoder, texts_of
+from millrace.llm.common import give_back
 
 LEAF = 512
 _SPACES = "".join(map(chr, WHITE))
@@ -160,6 +161,47 @@ def _slices(texts: list[str], most: int = 4 << 20) -> Iterator[tuple[int, int]]:
         row = to
 
 
+def _planted(texts: list[str], enc: Encoder, leaf: int) -> list[Tree]:
+    """A tree of each text; the leaves of all of them are encoded together."""
+    leaves = [split_leaves(t, leaf) for t in texts]
+    counts = token_counts([s for own in leaves for s in own], enc)
+    ends = np.cumsum([len(own) for own in leaves]).tolist()
+    return [Tree(own, counts[end - len(own) : end]) for own, end in zip(leaves, ends)]
+
+
+def _edited(trees: list[Tree], edits: list, enc: Encoder, leaf: int) -> None:
+    for tree, changes in zip(trees, edits):
+        for change in changes or []:
+            if change is not None:
+                tree.edit(change["place"] or 0, change["delete"] or 0, change["insert"] or "", leaf)
+    encode_dirty(trees, enc)
+
+
+_COUNTED = {"tokens_before": T.LongType(), "tokens_after": T.LongType(), "chars_after": T.LongType(), "encoded_chars": T.LongType(), "n_leaves": T.IntegerType()}
+
+
+def count_edited(docs: DataFrame, path: str, text: str = "text", edits: str = "edits", leaf: int = LEAF) -> DataFrame:
+    """docs without text and edits, with counts before and after their edits: build and apply_edits in one pass, when neither the trees nor the new texts are wanted."""
+    base = docs.drop(*[c for c in _COUNTED if c in docs.columns])
+    kept = [f for f in base.schema.fields if f.name not in (text, edits)]
+    schema = T.StructType([*kept, *(T.StructField(k, v) for k, v in _COUNTED.items())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path)
+        for whole in batches:
+            for x, y in _slices(texts_of(whole.column(text))):
+                b = whole.slice(x, y - x)
+                own = _planted(texts_of(b.column(text)), enc, leaf)
+                before = [t.tokens[1] for t in own]
+                _edited(own, b.column(edits).to_pylist(), enc, leaf)
+                made = [before, [t.tokens[1] for t in own], [t.chars[1] for t in own], [t.encoded for t in own]]
+                columns = [*[b.column(f.name) for f in kept], *[pa.array(m, pa.int64()) for m in made], pa.array([len(t.leaves) for t in own], pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
+        give_back()
+
+    return base.mapInArrow(run, schema)
+
+
 def build(docs: DataFrame, path: str, text: str = "text", leaf: int = LEAF) -> DataFrame:
     """docs with their trees' leaves (leaf_chars, leaf_tokens) and n_tokens. The sums above follow from the leaves."""
     base, schema = _with(docs, _MADE)
@@ -194,14 +236,10 @@ def apply_edits(trees: DataFrame, path: str, text: str = "text", edits: str = "e
             for x, y in _slices(texts_of(whole.column(text))):
                 b = whole.slice(x, y - x)
                 own: list[Tree] = []
-                for t, sizes, tokens, changes in zip(texts_of(b.column(text)), b.column("leaf_chars").to_pylist(), b.column("leaf_tokens").to_pylist(), b.column(edits).to_pylist()):
+                for t, sizes, tokens in zip(texts_of(b.column(text)), b.column("leaf_chars").to_pylist(), b.column("leaf_tokens").to_pylist()):
                     ends = np.concatenate([[0], np.cumsum(sizes)]).tolist()
-                    tree = Tree([t[p:q] for p, q in zip(ends, ends[1:])], tokens)
-                    for change in changes or []:
-                        if change is not None:
-                            tree.edit(change["place"] or 0, change["delete"] or 0, change["insert"] or "", leaf)
-                    own.append(tree)
-                encode_dirty(own, enc)
+                    own.append(Tree([t[p:q] for p, q in zip(ends, ends[1:])], tokens))
+                _edited(own, b.column(edits).to_pylist(), enc, leaf)
                 made = {
                     text: pa.array(["".join(t.leaves) for t in own], pa.string()),
                     "leaf_chars": pa.array([[len(s) for s in t.leaves] for t in own], pa.list_(pa.int32())),
