@@ -393,3 +393,25 @@ def test_windows_of_all_documents_equal_a_plain_version(spark, tmp_path):
     keys = Counter((lang, want[i][2]) for i, lang, _ in rows)
     own = lambda k: [want[i] for i, lang, _ in rows if (lang, want[i][2]) == k]
     assert summary == {k: (n, sum(w for _, w, _ in own(k)), max(len((p or "").encode()) for p, _, _ in own(k))) for k, n in keys.items()}
+
+
+def test_title_pairs_of_blocks_in_parts(spark, tmp_path):
+    import duckdb
+
+    from millrace.plans import registry, scoring
+
+    names = ["red bolt", "red ring", "the ring of steel", "", None]
+    rows = [(i // 2 if i < 4 else i, names[i % 5], "Brand#1" if i % 7 else None, ("SMALL", "LARGE")[i % 2], 1 if i % 11 else i % 3) for i in range(90)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    with duckdb.connect() as c:
+        c.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+        want = sorted(c.execute(registry.SQL["q_title_jaccard"]).fetchall(), key=repr)
+    found = scoring.q_title_jaccard(spark, str(tmp_path))
+    assert sorted((tuple(r) for r in found.collect()), key=repr) == want
+    # a score is made for two titles, below where their rows' pairs are written out
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("Generate explode(kb") < plan.index("array_intersect")
+    p = registry.table(spark, str(tmp_path), "part").withColumn("w", F.array_sort(exprs.title_tokens(F.concat("p_name", F.lit(" "), "p_type"))))
+    for most in (1, 7, 50):
+        small = match.pairs_in_blocks(p, "p_partkey", ["p_brand", "p_size"], "w", lambda a, b: F.round(exprs.jaccard(a, b), 6), most)
+        assert sorted((tuple(r) for r in small.collect()), key=repr) == want
