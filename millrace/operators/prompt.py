@@ -10,6 +10,7 @@ from millrace.functions import exprs, variants
 from millrace.functions.exprs import let
 
 _HEADER = r"(?m)(?=^--- .+? \(.+?\)\n)"
+_HEAD_LINE = r"^--- (.+?) \((.+?)\)\z"
 
 
 def section(prompt: Column, start: str, end: str | None = None) -> Column:
@@ -22,22 +23,34 @@ def section(prompt: Column, start: str, end: str | None = None) -> Column:
     return F.when(at > 0, let(F.substring(prompt, at + len(start), F.length(prompt)), cut))
 
 
+def raw_lines(body: Column) -> Column:
+    """array<string> of lines like `12 | text`."""
+    # no line end of any kind may follow, where $ would allow one
+    return F.filter(F.split(body, "\n", -1), lambda x: x.rlike(r"^\d+ \| ?.*\z"))
+
+
+def line_number(raw: Column) -> Column:
+    """Of a numbered line; null beyond the integers."""
+    return F.substring_index(raw, " |", 1).try_cast("int")
+
+
 def numbered_lines(body: Column) -> Column:
     """array<struct<n, text, raw>> of lines like `12 | text`."""
-    # no line end of any kind may follow, where $ would allow one
-    lines = F.filter(F.split(body, "\n", -1), lambda x: x.rlike(r"^\d+ \| ?.*\z"))
-    return F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"^(\d+) \|", 1).cast("int").alias("n"), F.regexp_extract(x, r"^\d+ \| ?(.*)\z", 1).alias("text"), x.alias("raw")))
+    return F.transform(raw_lines(body), lambda x: F.struct(line_number(x).alias("n"), F.regexp_extract(x, r"^\d+ \| ?(.*)\z", 1).alias("text"), x.alias("raw")))
 
 
-def file_blocks(text: Column) -> Column:
-    """array<struct<path, descriptor, body, lines>> of the `--- path (descriptor)` blocks; a body ends at the next header."""
-    parts = F.filter(F.split(text, _HEADER, -1), lambda p: p.rlike(r"^--- .+? \(.+?\)\n"))
+def file_blocks(text: Column, lines=numbered_lines) -> Column:
+    """array<struct<path, descriptor, body, lines>> of the `--- path (descriptor)` blocks; a body ends at the next header. lines: what to make of a body's lines."""
+    cut = F.transform(F.split(text, _HEADER, -1), lambda p: F.struct(F.substring_index(p, "\n", 1).alias("head"), p.alias("all")))
+    # the header is a whole line, so that a part's other lines needn't be looked at for it
+    parts = F.filter(cut, lambda p: p["head"].rlike(_HEAD_LINE) & F.contains(p["all"], F.lit("\n")))
 
     def block(p: Column) -> Column:
-        body = F.regexp_replace(p, r"^--- .+? \(.+?\)\n", "")
-        return F.struct(F.regexp_extract(p, r"^--- (.+?) \((.+?)\)\n", 1).alias("path"), F.regexp_extract(p, r"^--- (.+?) \((.+?)\)\n", 2).alias("descriptor"), body.alias("body"), numbered_lines(body).alias("lines"))
+        path, descriptor = (F.regexp_extract(p["head"], _HEAD_LINE, i) for i in (1, 2))
+        body = F.substring(p["all"], F.length(p["head"]) + 2, F.length(p["all"]))
+        return let(body, lambda b: F.struct(path.alias("path"), descriptor.alias("descriptor"), b.alias("body"), lines(b).alias("lines")))
 
-    return F.coalesce(F.transform(parts, block), F.array().cast("array<struct<path:string,descriptor:string,body:string,lines:array<struct<n:int,text:string,raw:string>>>>"))
+    return F.transform(F.coalesce(parts, F.array().cast("array<struct<head:string,all:string>>")), block)
 
 
 def listed(text: Column, mark: str = PATHS_MARK, bullet: str = "- ") -> Column:

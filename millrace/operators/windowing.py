@@ -42,9 +42,9 @@ def evidence_list(output: Column) -> Column:
 
 def slice_text(block: Column, low: Column, high: Column) -> Column:
     """The block's header and its raw lines from low to high; empty if none."""
-    own = F.filter(block["lines"], lambda x: (x["n"] >= low) & (x["n"] <= high))
     head = F.concat(F.lit("--- "), block["path"], F.lit(" ("), block["descriptor"], F.lit(")\n"))
-    return F.when(F.size(own) > 0, F.concat(head, F.array_join(F.transform(own, lambda x: x["raw"]), "\n"))).otherwise("")
+    own = F.filter(block["lines"], lambda x: (x["n"] >= low) & (x["n"] <= high))
+    return let(own, lambda found: F.when(F.size(found) > 0, F.concat(head, F.array_join(F.transform(found, lambda x: x["raw"]), "\n"))).otherwise(""))
 
 
 def evidence_snippets(blocks: Column, evidence: Column, radius: int = WINDOW_RADIUS) -> Column:
@@ -54,8 +54,8 @@ def evidence_snippets(blocks: Column, evidence: Column, radius: int = WINDOW_RAD
         return F.struct(e["path"].alias("path"), F.greatest(F.lit(1), e["first"] - radius).alias("low"), (F.greatest(e["last"], e["first"]) + radius).alias("high"))
 
     def snippet(e: Column) -> Column:
-        block = F.get(F.filter(blocks, lambda b: b["path"] == e["path"]), F.lit(0))
-        return F.when(block.isNotNull(), slice_text(block, e["low"], e["high"])).otherwise("")
+        first = F.get(F.filter(blocks, lambda b: b["path"] == e["path"]), F.lit(0))
+        return let(first, lambda block: F.when(block.isNotNull(), slice_text(block, e["low"], e["high"])).otherwise(""))
 
     return F.filter(F.transform(F.array_distinct(F.transform(evidence, around)), snippet), lambda s: s != "")
 
@@ -65,41 +65,56 @@ def head_snippets(blocks: Column, lines: int = CLEAN_LINES) -> Column:
     start = F.struct(F.lit(lines).alias("left"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, b: Column) -> Column:
-        own = F.slice(b["lines"], 1, F.greatest(acc["left"], F.lit(0)))
-        head = F.concat(F.lit("--- "), b["path"], F.lit(" ("), b["descriptor"], F.lit(")\n"), F.array_join(F.transform(own, lambda x: x["raw"]), "\n"))
-        return F.struct((acc["left"] - F.size(own)).alias("left"), F.when(F.size(own) > 0, F.concat(acc["out"], F.array(head))).otherwise(acc["out"]).alias("out"))
+        def add(own: Column) -> Column:
+            head = F.concat(F.lit("--- "), b["path"], F.lit(" ("), b["descriptor"], F.lit(")\n"), F.array_join(F.transform(own, lambda x: x["raw"]), "\n"))
+            return F.struct((acc["left"] - F.size(own)).alias("left"), F.when(F.size(own) > 0, F.concat(acc["out"], F.array(head))).otherwise(acc["out"]).alias("out"))
+
+        return let(F.slice(b["lines"], 1, F.greatest(acc["left"], F.lit(0))), add)
 
     return F.aggregate(blocks, start, step)["out"]
 
 
+def _with_lines(blocks: Column, lines) -> Column:
+    return F.transform(blocks, lambda b: F.struct(b["path"].alias("path"), b["descriptor"].alias("descriptor"), lines(b["lines"]).alias("lines")))
+
+
 def window_prompt(text: Column, evidence: Column, budget: int = WINDOW_BYTES) -> Column:
-    """struct<prompt, windowed, strategy, omitted, blocks>. Gate and slices count UTF-16 units and characters, the cap UTF-8 bytes. A null text stays."""
-    parts = split_files(text)
-    blocks = prompt.file_blocks(parts["files"])
+    """struct<prompt, windowed, strategy, omitted, blocks>. Gate and slices count UTF-16 units and characters, the cap UTF-8 bytes. A null text stays.
+
+    Each step's value has a name: written out at every use, blocks would be made again for each piece of evidence. Short texts have none of it.
+    """
     short = F.struct(text.alias("prompt"), F.lit(False).alias("windowed"), F.lit("unchanged").alias("strategy"), F.lit(0).alias("omitted"), F.lit(-1).alias("blocks"))
-    plain = let(
-        exprs.truncate_utf8(clamp_prelude(text, budget), budget),
-        lambda p: F.struct(p.alias("prompt"), (p != text).alias("windowed"), F.lit("prompt-clamp-no-files-section").alias("strategy"), F.greatest(F.lit(0), exprs.utf16_len(text) - exprs.utf16_len(p)).alias("omitted"), F.lit(0).alias("blocks")),
-    )
-
-    def centered(snippets: Column) -> Column:
-        files = F.when(F.size(snippets) > 0, F.concat(F.array_join(snippets, "\n\n"), F.lit("\n"))).otherwise("")
-        joined = let(files, lambda f: F.concat(clamp_prelude(parts["prelude"], F.greatest(F.lit(4000), budget - exprs.utf16_len(f))), f))
-        note = len(NOTE_TRAILING.encode())
-        cut = let(joined, lambda j: F.when(exprs.utf16_len(j) > budget, F.concat(exprs.truncate_utf8(j, max(0, budget - note)), F.lit(NOTE_TRAILING))).otherwise(j))
-        return let(
-            exprs.truncate_utf8(cut, budget),
-            lambda p: F.struct(
-                p.alias("prompt"),
-                F.lit(True).alias("windowed"),
-                F.when(F.size(evidence) > 0, "evidence-centered-file-window").otherwise("clean-review-head-file-window").alias("strategy"),
-                F.greatest(F.lit(0), exprs.utf16_len(text) - exprs.utf16_len(p)).alias("omitted"),
-                F.size(snippets).alias("blocks"),
-            ),
-        )
-
-    snippets = F.when(F.size(evidence) > 0, evidence_snippets(blocks, evidence)).otherwise(head_snippets(blocks))
-    return F.when(text.isNull() | (exprs.utf16_len(text) <= budget), short).when(F.size(blocks) == 0, plain).otherwise(let(snippets, centered))
+
+    def bounded(cut: Column, windowed, strategy: Column, units: Column, blocks: Column) -> Column:
+        def out(p: Column) -> Column:
+            return F.struct(p.alias("prompt"), windowed(p).alias("windowed"), strategy.alias("strategy"), F.greatest(F.lit(0), units - exprs.utf16_len(p)).alias("omitted"), blocks.alias("blocks"))
+
+        return let(cut, lambda c: let(exprs.truncate_utf8(c, budget), out))
+
+    def centered(parts: Column, blocks: Column, items: Column, units: Column) -> Column:
+        def joined(snippets: Column) -> Column:
+            files = F.when(F.size(snippets) > 0, F.concat(F.array_join(snippets, "\n\n"), F.lit("\n"))).otherwise("")
+            whole = let(files, lambda f: F.concat(clamp_prelude(parts["prelude"], F.greatest(F.lit(4000), budget - exprs.utf16_len(f))), f))
+            note = len(NOTE_TRAILING.encode())
+            cut = let(whole, lambda j: F.when(exprs.utf16_len(j) > budget, F.concat(exprs.truncate_utf8(j, max(0, budget - note)), F.lit(NOTE_TRAILING))).otherwise(j))
+            strategy = F.when(F.size(items) > 0, "evidence-centered-file-window").otherwise("clean-review-head-file-window")
+            return bounded(cut, lambda p: F.lit(True), strategy, units, F.size(snippets))
+
+        numbered = _with_lines(blocks, lambda lines: F.transform(lines, lambda x: F.struct(prompt.line_number(x).alias("n"), x.alias("raw"))))
+        first = _with_lines(blocks, lambda lines: F.transform(F.slice(lines, 1, CLEAN_LINES), lambda x: F.struct(x.alias("raw"))))
+        around = let(numbered, lambda b: evidence_snippets(b, items))
+        return let(F.when(F.size(items) > 0, around).otherwise(head_snippets(first)), joined)
+
+    def long(units: Column) -> Column:
+        plain = bounded(clamp_prelude(text, budget), lambda p: p != text, F.lit("prompt-clamp-no-files-section"), units, F.lit(0))
+
+        def with_blocks(parts: Column, blocks: Column) -> Column:
+            return F.when(F.size(blocks) == 0, plain).otherwise(let(evidence, lambda items: centered(parts, blocks, items, units)))
+
+        return let(split_files(text), lambda parts: let(prompt.file_blocks(parts["files"], prompt.raw_lines), lambda blocks: with_blocks(parts, blocks)))
+
+    # a text has at most as many UTF-16 units as UTF-8 bytes
+    return F.when(text.isNull() | (exprs.utf8_len(text) <= budget), short).otherwise(let(exprs.utf16_len(text), lambda units: F.when(units <= budget, short).otherwise(long(units))))
 
 
 def window_rows(rows: DataFrame, budget: int = WINDOW_BYTES) -> DataFrame:

@@ -145,6 +145,22 @@ def test_windowing_keeps_lines_around_evidence(spark):
     assert (plain["strategy"], plain["blocks"], len(plain["prompt"])) == ("prompt-clamp-no-files-section", 0, 4000)
 
 
+def test_windowing_makes_blocks_once(spark, sf_dir):
+    from millrace.plans import windows
+
+    for q in (windows.q_window_rows,):
+        plan = q(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        # one cut at headers, one at line ends, and each line is looked at once
+        assert (plan.count("split("), plan.lower().count("rlike")) == (2, 2)
+
+
+def test_line_numbers_beyond_integers_are_in_no_window(spark):
+    text = "p" * 4001 + "\nFiles:\n--- a.py (x)\n99999999999 | far\n5 | near\n30 | out"
+    w = windowed(spark, text, [("a.py", 5, 5)])
+    assert (w["blocks"], w["strategy"]) == (1, "evidence-centered-file-window")
+    assert one(spark, windowing.evidence_snippets(prompt.file_blocks(F.lit(text)), F.expr("array(struct('a.py' AS path, 5L AS first, 5L AS last))"))) == ["--- a.py (x)\n5 | near"]
+
+
 def test_clean_review_keeps_28_lines_in_all(spark):
     text = "p" * 4001 + "\nFiles:\n" + "--- a (x)\n" + "\n".join(f"{i} | a" for i in range(1, 21)) + "\n--- b (x)\n" + "\n".join(f"{i} | b" for i in range(1, 21))
     got = one(spark, windowing.head_snippets(prompt.file_blocks(F.col("s"))), s=text)
