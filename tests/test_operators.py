@@ -148,7 +148,7 @@ def test_windowing_keeps_lines_around_evidence(spark):
 def test_windowing_makes_blocks_once(spark, sf_dir):
     from millrace.plans import windows
 
-    for q in (windows.q_window_rows,):
+    for q in (windows.q_window_rows, windows.q_window_strategies):
         plan = q(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
         # one cut at headers, one at line ends, and each line is looked at once
         assert (plan.count("split("), plan.lower().count("rlike")) == (2, 2)
