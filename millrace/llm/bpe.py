@@ -29,7 +29,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-from millrace.llm.common import U64, mix, span_hashes
+from millrace.llm.common import U64, chunks, give_back, mix, span_hashes, text_buffers
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 #: The code points that \s stands for in the library's pattern.
@@ -37,8 +37,8 @@ WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0
 #: The endings that the pattern cuts off after an apostrophe.
 SHORT, LONG = "stmd", ("re", "ve", "ll")
 #: Distinct pre-tokens that a worker keeps; characters cut and given back at once; characters whose new pre-tokens are merged
-#: at once (a longer text is taken alone).
-KEEP, CUT_CHARS, BLOCK_CHARS = 1_000_000, 1 << 20, 8 << 20
+#: at once (a longer text is taken alone); bytes of these whose first pairs are put in order at once.
+KEEP, CUT_CHARS, BLOCK_CHARS, MERGE_BYTES = 1_000_000, 1 << 20, 8 << 20, 1 << 19
 
 
 @cache
@@ -143,6 +143,12 @@ class _New:
         self.parts.append((none.astype(U64), none, others, codes, sizes))
         self.count += len(places)
 
+    def take_codes(self) -> np.ndarray:
+        """The code points of all, which aren't kept here any longer."""
+        out = self.codes
+        self.parts = [(*p[:3], p[3][:0], p[4]) for p in self.parts]
+        return out
+
     def __getattr__(self, name: str) -> np.ndarray:
         names = ("hashes", "words", "others", "codes", "sizes")
         if name not in names:
@@ -177,7 +183,8 @@ class Encoder:
         for content, i in self.special.items():
             self.bytes_of[i] = content.encode()
         self.special_in = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.byte_ranks = self.rank(np.repeat(self.first, 256), np.tile(self.first, 256)).reshape(256, 256)
+        self.byte_ranks = self.rank(np.repeat(self.first, 256), np.tile(self.first, 256)).astype(np.int32).reshape(256, 256)
+        self.first = self.first.astype(np.int32)
         self.forget()
 
     def _special_key(self, content: str) -> np.uint64:
@@ -218,8 +225,9 @@ class Encoder:
     def merge_all(self, data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, given as bytes end to end with the n + 1 places where they start; and where their ids start."""
         n = int(begin[-1])
+        place = np.int32 if n < 1 << 31 else np.int64
         sym = self.first[data]
-        nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
+        nxt, prv = np.arange(1, n + 1, dtype=place), np.arange(-1, n - 1, dtype=place)
         full = np.diff(begin) > 0
         nxt[begin[1:][full] - 1] = -1
         prv[begin[:-1][full]] = -1
@@ -244,8 +252,9 @@ class Encoder:
                     index[one] = [at[x:y]]
                     heapq.heappush(active, one)
 
-        inner = np.flatnonzero(nxt >= 0)
-        note(inner, self.byte_ranks[data[inner], data[inner + 1]])
+        for x in range(0, n, MERGE_BYTES):
+            inner = (np.flatnonzero(nxt[x : x + MERGE_BYTES] >= 0) + x).astype(place)
+            note(inner, self.byte_ranks[data[inner], data[inner + 1]])
         while active:
             rank = heapq.heappop(active)
             found = index.pop(rank)
@@ -269,7 +278,7 @@ class Encoder:
             prv[after[some]] = at[some]
             before = prv[at]
             touched = np.concatenate([before[before >= 0], at[some]])
-            note(touched, self.rank(sym[touched], sym[nxt[touched]]))
+            note(touched, self.rank(sym[touched].astype(np.int64), sym[nxt[touched]]))
         ends = np.concatenate([[0], np.cumsum(alive)])
         return sym[alive], ends[begin]
 
@@ -316,7 +325,7 @@ class Encoder:
             base = len(self.off) - 1
             if new.count:
                 order = np.argsort(new.hashes)
-                self._store(new.hashes[order], new.words[order] + base, new.others, *self._encoded(new.codes, new.sizes))
+                self._store(new.hashes[order], new.words[order] + base, new.others, *self._encoded(new.take_codes(), new.sizes))
             for number, (start, end, unique, which, starts) in enumerate(runs):
                 words = self.numbers(unique)[which]
                 places, alone = new.alone.get(number, (np.zeros(0, np.int64),) * 2)
@@ -390,5 +399,13 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def lookup_column(enc: Encoder, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """What lookup gives, for a column: only a block's texts at a time are strings, and what a block took goes back to the system."""
+    for x, y in chunks(text_buffers(column)[1], BLOCK_CHARS):
+        for a, z, flat, at in enc.lookup(texts_of(column.slice(x, y - x))):
+            yield x + a, x + z, flat, at
+        give_back()
+
+
 def texts_of(column: pa.Array) -> list[str]:
     return ["" if t is None else t for t in column.to_pylist()]

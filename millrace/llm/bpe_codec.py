@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from millrace.llm.bpe import encoder, texts_of
-from millrace.llm.common import give_back
+from millrace.llm.bpe import encoder, lookup_column
+from millrace.llm.common import give_back, text_buffers
 
 
 def _schema(df: DataFrame, made: dict[str, T.DataType]) -> tuple[DataFrame, T.StructType]:
@@ -33,13 +33,14 @@ def encode(docs: DataFrame, path: str, text: str = "text", check: bool = False,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in batches:
-            texts = texts_of(b.column(text))
-            for a, z, flat, at in enc.lookup(texts):
+            for a, z, flat, at in lookup_column(enc, b.column(text)):
                 ids = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int32()))
                 columns = [*b.select(carried).slice(a, z - a).columns, ids, pa.array(np.diff(at), pa.int64())]
                 if check:
-                    back = (b"".join([enc.bytes_of[i] for i in flat[x:y].tolist()]).decode("utf-8", "replace") for x, y in zip(at[:-1].tolist(), at[1:].tolist()))
-                    columns.append(pa.array([x == y for x, y in zip(back, texts[a:z])], pa.bool_()))
+                    back = (b"".join([enc.bytes_of[i] for i in flat[x:y].tolist()]) for x, y in zip(at[:-1].tolist(), at[1:].tolist()))
+                    data, place = text_buffers(b.column(text).slice(a, z - a))
+                    own = (data[x:y].tobytes() for x, y in zip(place[:-1].tolist(), place[1:].tolist()))
+                    columns.append(pa.array([x == y or x.decode("utf-8", "replace").encode() == y for x, y in zip(back, own)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
         give_back()
 
@@ -71,7 +72,7 @@ def digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         enc = encoder(path)
         for b in batches:
             shown, read = enc.shown, enc.bytes_of
-            for a, z, flat, at in enc.lookup(texts_of(b.column(text))):
+            for a, z, flat, at in lookup_column(enc, b.column(text)):
                 n, coded, decoded = np.diff(at), [], []
                 for x, y in zip(at[:-1].tolist(), at[1:].tolist()):
                     own = flat[x:y].tolist()

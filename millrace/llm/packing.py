@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.bpe import encoder, texts_of
+from millrace.llm.bpe import encoder, lookup_column
 from millrace.llm.common import give_back
 
 CAPACITY = 2048
@@ -145,7 +145,7 @@ def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
 
         for b in batches:
             ids, numbers = b.column(0).to_pylist(), b.column(2).to_pylist()
-            for a, z, flat, at in enc.lookup(texts_of(b.column(1))):
+            for a, z, flat, at in lookup_column(enc, b.column(1)):
                 row = a
                 while row < z:
                     to = max(row + 1, a + int(np.searchsorted(at, at[row - a] + max(1, group_ids - total), side="right")) - 1)

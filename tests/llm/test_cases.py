@@ -384,6 +384,30 @@ def test_bpe_tells_pre_tokens_of_one_hash_apart(library, monkeypatch):
     assert got == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_bpe_blocks_take_little_memory(library, monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    enc = bpe.Encoder(PATH)
+    data = np.random.default_rng(1).integers(97, 123, 1 << 20).astype(np.uint8)
+    tracemalloc.start()
+    enc.merge_all(data, np.arange(0, len(data) + 1, 8))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * len(data)
+    # of a column, only a block's texts are strings at once
+    monkeypatch.setattr(bpe, "BLOCK_CHARS", 150)
+    seen, made = [], bpe.texts_of
+    monkeypatch.setattr(bpe, "texts_of", lambda column: seen.append(len(column)) or made(column))
+    texts = [None, "", *[prose(random.Random(i), 9) for i in range(30)], "é本😀" * 99, None]
+    got = {}
+    for a, z, flat, at in bpe.lookup_column(enc, pa.array(["x", *texts]).slice(1)):
+        got |= {a + k: flat[at[k] : at[k + 1]].tolist() for k in range(z - a)}
+    assert [got[i] for i in range(len(texts))] == [e.ids for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert sum(seen) == len(texts) and max(seen) < 9
+
+
 def test_bpe_special_tokens_are_taken_from_the_left(tmp_path):
     import json
 
