@@ -34,13 +34,29 @@ def utf16_len(s: Column) -> Column:
     return (F.octet_length(F.encode(s, "UTF-16BE")) / 2).cast("int")
 
 
+def exceeds_utf16(s: Column, most: int) -> Column:
+    """Whether s has more code units. It has no more than bytes and no fewer than characters; only between these is it encoded."""
+    return F.when(F.octet_length(s) <= most, F.lit(False)).when(F.length(s) > most, F.lit(True)).otherwise(utf16_len(s) > most)
+
+
 def truncate_utf8(s: Column, most: Column | int) -> Column:
     """The longest prefix of whole characters within so many UTF-8 bytes."""
     limit = F.lit(most) if isinstance(most, int) else most
     raw = s.cast("binary")
-    cuts = F.array(*[F.substring(raw, F.lit(1), F.greatest(limit - k, F.lit(0))) for k in range(4)])
-    whole = F.filter(cuts, lambda b: F.is_valid_utf8(b.cast("string")))
-    return F.when(F.octet_length(s) <= limit, s).otherwise(F.get(whole, F.lit(0)).cast("string"))
+    cuts = [F.substring(raw, F.lit(1), F.greatest(limit - k, F.lit(0))).cast("string") for k in range(4)]
+    # the first that is valid; those after it aren't looked at
+    whole = F.coalesce(*[let(cut, lambda c: F.when(F.is_valid_utf8(c), c)) for cut in cuts])
+    return F.when(F.octet_length(s) <= limit, s).otherwise(whole)
+
+
+def place_of(mark: str, s: Column) -> Column:
+    """Where the mark first is, in characters from 1; 0 if nowhere, which contains finds faster than locate."""
+    return F.when(~F.contains(s, F.lit(mark)), F.lit(0)).otherwise(F.locate(mark, s))
+
+
+def rest_from(s: Column, start: Column) -> Column:
+    """All from a character on."""
+    return F.substring(s, start, F.lit(2**31 - 1))
 
 
 def blank(s: Column) -> Column:

@@ -47,7 +47,7 @@ def file_blocks(text: Column, lines=numbered_lines) -> Column:
 
     def block(p: Column) -> Column:
         path, descriptor = (F.regexp_extract(p["head"], _HEAD_LINE, i) for i in (1, 2))
-        body = F.substring(p["all"], F.length(p["head"]) + 2, F.length(p["all"]))
+        body = exprs.rest_from(p["all"], F.length(p["head"]) + 2)
         return let(body, lambda b: F.struct(path.alias("path"), descriptor.alias("descriptor"), b.alias("body"), lines(b).alias("lines")))
 
     return F.transform(F.coalesce(parts, F.array().cast("array<struct<head:string,all:string>>")), block)

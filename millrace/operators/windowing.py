@@ -13,20 +13,28 @@ from millrace.operators import prompt
 
 def clamp_prelude(s: Column, budget: Column | int) -> Column:
     """Within a budget of characters (but for the note): the head alone, or head and tail around the JSON shape."""
-    budget = F.lit(budget) if isinstance(budget, int) else budget
-    head = F.greatest(F.lit(1000), F.floor(budget * 55 / 100).cast("int"))
-    tail = F.greatest(F.lit(1000), budget - head)
-    shape = F.locate(SHAPE_MARK, s)
-    start = F.greatest(shape, F.length(s) - tail + 1)
-    both = F.concat(F.substring(s, F.lit(1), head), F.lit(NOTE_MIDDLE), F.substring(s, start, F.length(s)))
-    return F.when(F.length(s) <= budget, s).when(shape == 0, F.concat(F.substring(s, F.lit(1), budget), F.lit(NOTE_TRUNCATED))).otherwise(both)
+
+    def cut(most: Column, length: Column) -> Column:
+        head = F.greatest(F.lit(1000), F.floor(most * 55 / 100).cast("int"))
+        tail = F.greatest(F.lit(1000), most - head)
+
+        def around(shape: Column) -> Column:
+            both = F.concat(F.substring(s, F.lit(1), head), F.lit(NOTE_MIDDLE), exprs.rest_from(s, F.greatest(shape, length - tail + 1)))
+            return F.when(shape == 0, F.concat(F.substring(s, F.lit(1), most), F.lit(NOTE_TRUNCATED))).otherwise(both)
+
+        return F.when(length <= most, s).otherwise(let(exprs.place_of(SHAPE_MARK, s), around))
+
+    return let(F.lit(budget) if isinstance(budget, int) else budget, lambda most: let(F.length(s), lambda length: cut(most, length)))
 
 
 def split_files(s: Column) -> Column:
     """struct<prelude, files>: the mark stays in the prelude; files is null without one."""
-    at = F.locate(FILES_MARK, s)
-    end = at + len(FILES_MARK) - 1
-    return F.struct(F.when(at > 0, F.substring(s, 1, end)).otherwise(s).alias("prelude"), F.when(at > 0, F.substring(s, end + 1, F.length(s))).alias("files"))
+
+    def of(at: Column) -> Column:
+        end = at + len(FILES_MARK) - 1
+        return F.struct(F.when(at > 0, F.substring(s, F.lit(1), end)).otherwise(s).alias("prelude"), F.when(at > 0, exprs.rest_from(s, end + 1)).alias("files"))
+
+    return let(exprs.place_of(FILES_MARK, s), of)
 
 
 def evidence_list(output: Column) -> Column:
@@ -79,48 +87,61 @@ def _with_lines(blocks: Column, lines) -> Column:
 
 
 def window_prompt(text: Column, evidence: Column, budget: int = WINDOW_BYTES) -> Column:
-    """struct<prompt, windowed, strategy, omitted, blocks>. Gate and slices count UTF-16 units and characters, the cap UTF-8 bytes. A null text stays.
+    """struct<prompt, windowed, strategy, omitted, blocks> of bounded_prompt."""
+
+    def out(w: Column) -> Column:
+        return F.struct(w["prompt"].alias("prompt"), w["windowed"].alias("windowed"), w["strategy"].alias("strategy"), omitted_units(text, w).alias("omitted"), w["blocks"].alias("blocks"))
+
+    return let(bounded_prompt(text, evidence, budget), out)
+
+
+def omitted_units(text: Column, window: Column) -> Column:
+    """UTF-16 units by which the text is longer than its window (of bounded_prompt)."""
+    return F.when(window["blocks"] < 0, F.lit(0)).otherwise(F.greatest(F.lit(0), exprs.utf16_len(text) - exprs.utf16_len(window["prompt"])))
+
+
+def bounded_prompt(text: Column, evidence: Column, budget: int = WINDOW_BYTES) -> Column:
+    """struct<prompt, windowed, strategy, blocks>. Gate and slices count UTF-16 units and characters, the cap UTF-8 bytes. A null text stays.
 
     Each step's value has a name: written out at every use, blocks would be made again for each piece of evidence. Short texts have none of it.
     """
-    short = F.struct(text.alias("prompt"), F.lit(False).alias("windowed"), F.lit("unchanged").alias("strategy"), F.lit(0).alias("omitted"), F.lit(-1).alias("blocks"))
+    short = F.struct(text.alias("prompt"), F.lit(False).alias("windowed"), F.lit("unchanged").alias("strategy"), F.lit(-1).alias("blocks"))
 
-    def bounded(cut: Column, windowed, strategy: Column, units: Column, blocks: Column) -> Column:
+    def bounded(cut: Column, windowed, strategy: Column, blocks: Column) -> Column:
         def out(p: Column) -> Column:
-            return F.struct(p.alias("prompt"), windowed(p).alias("windowed"), strategy.alias("strategy"), F.greatest(F.lit(0), units - exprs.utf16_len(p)).alias("omitted"), blocks.alias("blocks"))
+            return F.struct(p.alias("prompt"), windowed(p).alias("windowed"), strategy.alias("strategy"), blocks.alias("blocks"))
 
         return let(cut, lambda c: let(exprs.truncate_utf8(c, budget), out))
 
-    def centered(parts: Column, blocks: Column, items: Column, units: Column) -> Column:
+    def centered(parts: Column, blocks: Column, items: Column) -> Column:
         def joined(snippets: Column) -> Column:
             files = F.when(F.size(snippets) > 0, F.concat(F.array_join(snippets, "\n\n"), F.lit("\n"))).otherwise("")
-            whole = let(files, lambda f: F.concat(clamp_prelude(parts["prelude"], F.greatest(F.lit(4000), budget - exprs.utf16_len(f))), f))
+            # files take nothing away from a budget that isn't above the least
+            left = (lambda f: F.greatest(F.lit(4000), budget - exprs.utf16_len(f))) if budget > 4000 else (lambda f: F.lit(4000))
+            whole = let(files, lambda f: F.concat(clamp_prelude(parts["prelude"], left(f)), f))
             note = len(NOTE_TRAILING.encode())
-            cut = let(whole, lambda j: F.when(exprs.utf16_len(j) > budget, F.concat(exprs.truncate_utf8(j, max(0, budget - note)), F.lit(NOTE_TRAILING))).otherwise(j))
+            cut = let(whole, lambda j: F.when(exprs.exceeds_utf16(j, budget), F.concat(exprs.truncate_utf8(j, max(0, budget - note)), F.lit(NOTE_TRAILING))).otherwise(j))
             strategy = F.when(F.size(items) > 0, "evidence-centered-file-window").otherwise("clean-review-head-file-window")
-            return bounded(cut, lambda p: F.lit(True), strategy, units, F.size(snippets))
+            return bounded(cut, lambda p: F.lit(True), strategy, F.size(snippets))
 
         numbered = _with_lines(blocks, lambda lines: F.transform(lines, lambda x: F.struct(prompt.line_number(x).alias("n"), x.alias("raw"))))
         first = _with_lines(blocks, lambda lines: F.transform(F.slice(lines, 1, CLEAN_LINES), lambda x: F.struct(x.alias("raw"))))
         around = let(numbered, lambda b: evidence_snippets(b, items))
         return let(F.when(F.size(items) > 0, around).otherwise(head_snippets(first)), joined)
 
-    def long(units: Column) -> Column:
-        plain = bounded(clamp_prelude(text, budget), lambda p: p != text, F.lit("prompt-clamp-no-files-section"), units, F.lit(0))
-
-        def with_blocks(parts: Column, blocks: Column) -> Column:
-            return F.when(F.size(blocks) == 0, plain).otherwise(let(evidence, lambda items: centered(parts, blocks, items, units)))
+    plain = bounded(clamp_prelude(text, budget), lambda p: p != text, F.lit("prompt-clamp-no-files-section"), F.lit(0))
 
-        return let(split_files(text), lambda parts: let(prompt.file_blocks(parts["files"], prompt.raw_lines), lambda blocks: with_blocks(parts, blocks)))
+    def with_blocks(parts: Column, blocks: Column) -> Column:
+        return F.when(F.size(blocks) == 0, plain).otherwise(let(evidence, lambda items: centered(parts, blocks, items)))
 
-    # a text has at most as many UTF-16 units as UTF-8 bytes
-    return F.when(text.isNull() | (exprs.utf8_len(text) <= budget), short).otherwise(let(exprs.utf16_len(text), lambda units: F.when(units <= budget, short).otherwise(long(units))))
+    long = let(split_files(text), lambda parts: let(prompt.file_blocks(parts["files"], prompt.raw_lines), lambda blocks: with_blocks(parts, blocks)))
+    return F.when(text.isNull() | ~exprs.exceeds_utf16(text, budget), short).otherwise(long)
 
 
 def window_rows(rows: DataFrame, budget: int = WINDOW_BYTES) -> DataFrame:
     """Chat rows with bounded prompts and six more metadata fields; messages are the first three. The last one's output says where the evidence lies."""
     output = variants.parse_strict(F.element_at("messages", -1)["content"])
-    found = rows.withColumn("_w", window_prompt(F.get("messages", F.lit(1))["content"], evidence_list(output), budget))
+    found = rows.withColumn("_w", bounded_prompt(F.get("messages", F.lit(1))["content"], evidence_list(output), budget))
     user = F.struct(F.get("messages", F.lit(1))["role"].alias("role"), F.col("_w.prompt").alias("content"))
     meta = F.col("metadata")
     for name, value in (
@@ -128,7 +149,7 @@ def window_rows(rows: DataFrame, budget: int = WINDOW_BYTES) -> DataFrame:
         ("windowStrategy", F.col("_w.strategy")),
         ("originalPromptBytes", F.coalesce(F.col("metadata.promptBytes"), exprs.utf8_len(F.get("messages", F.lit(1))["content"]))),
         ("windowPromptBytes", exprs.utf8_len(F.col("_w.prompt"))),
-        ("omittedPromptChars", F.col("_w.omitted")),
+        ("omittedPromptChars", omitted_units(F.get("messages", F.lit(1))["content"], F.col("_w"))),
         ("retainedFileBlocks", F.col("_w.blocks")),
     ):
         meta = meta.withField(name, value)

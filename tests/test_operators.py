@@ -154,6 +154,20 @@ def test_windowing_makes_blocks_once(spark, sf_dir):
         assert (plan.count("split("), plan.lower().count("rlike")) == (2, 2)
 
 
+def test_windows_are_encoded_and_searched_once(spark, sf_dir):
+    from millrace.plans import windows
+
+    plan = windows.q_window_strategies(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    # omitted units aren't asked for, and the gates look into bytes and characters first
+    assert (plan.count("encode("), plan.count("locate(")) == (2, 3)
+    w = windowed(spark, "😀" * 2001, [])
+    assert (w["strategy"], w["omitted"], w["windowed"]) == ("prompt-clamp-no-files-section", 2002, True)
+    assert windowed(spark, "😀" * 2000, [])["strategy"] == "unchanged"
+    assert [one(spark, exprs.exceeds_utf16(F.col("s"), 4), s=t) for t in ("abcd", "abcde", "éééé", "a😀é", "😀😀é")] == [False, True, False, False, True]
+    marked = "é😀\nFiles:z\nFiles:\nx\nFiles:\ny"
+    assert one(spark, windowing.split_files(F.col("s")), s=marked).asDict() == {"prelude": "é😀\nFiles:z\nFiles:\n", "files": "x\nFiles:\ny"}
+
+
 def test_line_numbers_beyond_integers_are_in_no_window(spark):
     text = "p" * 4001 + "\nFiles:\n--- a.py (x)\n99999999999 | far\n5 | near\n30 | out"
     w = windowed(spark, text, [("a.py", 5, 5)])
