@@ -445,3 +445,21 @@ def test_title_pairs_of_blocks_in_parts(spark, tmp_path):
     for most in (1, 7, 50):
         small = match.pairs_in_blocks(p, "p_partkey", ["p_brand", "p_size"], "w", lambda a, b: F.round(exprs.jaccard(a, b), 6), most)
         assert sorted((tuple(r) for r in small.collect()), key=repr) == want
+
+
+def test_title_pairs_of_a_brand_whatever_the_size(spark, tmp_path):
+    import duckdb
+
+    from millrace.plans import registry, scoring
+
+    rows = [(1, "red bolt", "Brand#1", "SMALL", 1), (2, "red bolt", "Brand#1", "SMALL", 2), (3, "red ring", "Brand#1", "SMALL", 3), (4, "red bolt", "Brand#1", "SMALL", None), (5, "red bolt", "Brand#2", "SMALL", 1), (6, "red bolt", None, "SMALL", 1)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    want = [(1, 2, 1.0), (1, 3, 0.5), (1, 4, 1.0), (2, 3, 0.5), (2, 4, 1.0), (3, 4, 0.5)]
+    assert sorted(tuple(r) for r in scoring.q_title_jaccard(spark, str(tmp_path)).collect()) == want
+    with duckdb.connect() as c:
+        c.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+        assert sorted(c.execute(registry.SQL["q_title_jaccard"]).fetchall()) == want
+    p = registry.table(spark, str(tmp_path), "part").withColumn("w", F.array_sort(exprs.title_tokens(F.concat("p_name", F.lit(" "), "p_type"))))
+    for most in (1, 2, 50):
+        small = match.pairs_in_blocks(p, "p_partkey", ["p_brand"], "w", lambda a, b: F.round(exprs.jaccard(a, b), 6), most)
+        assert sorted(tuple(r) for r in small.collect()) == want
